@@ -25,20 +25,23 @@ def lgd(secured: Column, p: CostParams) -> Column:
 
 def expected_loss(ead_: Column, lgd_: Column, p: CostParams) -> Column:
     reversal = (p.effective_rate_pa + p.penal_rate_pa) / 100.0 * p.income_reversal_months / 12.0
-    return ead_ * lgd_ + ead_ * F.lit(reversal)
+    return ead_ * lgd_ + ead_ * reversal
 
 
-def band_costs(ead_: Column, went_bad: Column, lgd_: Column, p: CostParams) -> dict[str, Column]:
-    """Cost of the account in each band, keyed by band."""
-    y = went_bad.cast("double")
-    loss = expected_loss(ead_, lgd_, p)
-    interest = ead_ * F.lit(p.effective_rate_pa / 100.0)
+def band_costs(n: Column, ead_: Column, ead_bad: Column, lgd_: Column, p: CostParams) -> dict[str, Column]:
+    """Cost of ``n`` accounts in each band, keyed by band.
 
-    def flagged(review: float, friction: float, cure: float) -> Column:
-        return F.lit(review) + (1.0 - y) * friction * interest + y * loss * (1.0 - cure)
+    ``ead_bad`` is the part of the exposure that goes bad, so the same formula
+    prices one account (n = 1) and a histogram cell of accounts with one LGD.
+    """
+    loss = expected_loss(ead_bad, lgd_, p)
+    interest_good = (ead_ - ead_bad) * p.effective_rate_pa / 100.0
+
+    def flagged(review, friction, cure) -> Column:
+        return n * review + interest_good * friction + loss * (1.0 - cure)
 
     return {
-        "green": y * loss,
+        "green": loss,
         "amber": flagged(p.review_cost_amber, p.friction_share_amber, p.cure_share_amber),
         "red": flagged(p.review_cost_red, p.friction_share_red, p.cure_share_red),
     }

@@ -197,7 +197,7 @@ SELECT account_id, period, round(y * el, 0) AS green,
  round(1500.0 + (1 - y) * 0.02 * ead * 0.1275 + y * el * 0.9, 0) AS amber,
  round(18000.0 + (1 - y) * 0.15 * ead * 0.1275 + y * el * 0.65, 0) AS red FROM x""")
 def band_costs(t: Tables):
-    by_band = costs.band_costs(F.col("ead"), F.col("went_bad"), F.col("lgd"), CostParams())
+    by_band = costs.band_costs(F.lit(1), F.col("ead"), F.col("ead") * F.col("went_bad"), F.col("lgd"), CostParams())
     return _exposures(t).select(*KEY, *[F.round(c, 0).alias(b) for b, c in by_band.items()])
 
 

@@ -258,7 +258,8 @@ SELECT (CASE WHEN sanctioned <= q[1] THEN 0 WHEN sanctioned <= q[2] THEN 1 WHEN
  count(*) AS n, round(avg(went_bad), 6) AS rate FROM eligible, e GROUP BY 1""")
 def quintile_ticket_cut(t: Tables):
     edges = edges_scalar(exact_quantiles(t.eligible(), "sanctioned", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))
-    return t.eligible().groupBy(right_closed_bin(F.col("sanctioned"), edges).alias("quintile")).agg(
+    rows = t.eligible().withColumn("edges", edges)
+    return rows.groupBy(right_closed_bin(F.col("sanctioned"), F.col("edges")).alias("quintile")).agg(
         F.count("*").alias("n"), F.round(F.avg("went_bad"), 6).alias("rate"))
 
 
@@ -272,7 +273,7 @@ def sma_shares(t: Tables):
 
 @query("ag14_histogram_mode", """
 WITH b AS (SELECT least(floor(utilisation / 0.025)::BIGINT, 39) AS bin, count(*) AS n FROM panel WHERE utilisation > 0 AND utilisation <= 1 GROUP BY 1)
-SELECT round((arg_max(bin, n * 1000 - bin) + 0.5) * 0.025, 4) AS mode, max(n) AS n FROM b""")
+SELECT round((arg_max(bin, n * 1000 - bin) + 0.5::DOUBLE) * 0.025::DOUBLE, 4) AS mode, max(n) AS n FROM b""")
 def histogram_mode(t: Tables):
     return _rounded(quality.histogram_mode(t.panel().where(F.col("utilisation") > 0), "utilisation", 40, 0.0, 1.0), 4, "mode")
 

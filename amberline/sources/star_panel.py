@@ -111,6 +111,7 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("decision_score", F.round(F.avg("pd").over(by_period.rowsBetween(-3, 0)), 6))
         .withColumn("vintage_months", F.col("vintage_0") + 3 * F.col("period"))
         .withColumn("utilisation", F.col("demanded") / (F.col("demanded") + 150000.0))
+        .withColumn("fine_score", F.round(0.8 * F.col("decision_score") + 0.2 * (1 - F.col("utilisation")), 6))
         .drop("vintage_0")
     )
 
@@ -144,11 +145,12 @@ npa AS (SELECT account_id, min(period) AS npa_period FROM run WHERE idle >= 10 G
 std AS (SELECT run.*, npa_period, cast(9 * idle AS DOUBLE) AS dpd, coalesce(npa_period - period, -1) AS to_npa
         FROM run LEFT JOIN npa ON npa.account_id = run.account_id
         WHERE npa_period IS NULL OR period < npa_period),
-panel AS (SELECT * EXCLUDE (vintage_0), CASE WHEN to_npa BETWEEN 1 AND 4 THEN 1 ELSE 0 END AS went_bad,
+lab AS (SELECT * EXCLUDE (vintage_0), CASE WHEN to_npa BETWEEN 1 AND 4 THEN 1 ELSE 0 END AS went_bad,
                CASE WHEN period <= 22 THEN 1 ELSE 0 END AS labelable,
                cast(idle AS DOUBLE) / (idle + 6) AS pd,
                round(avg(cast(idle AS DOUBLE) / (idle + 6)) OVER (PARTITION BY account_id ORDER BY period
                      ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS decision_score,
                vintage_0 + 3 * period AS vintage_months,
                demanded / (demanded + 150000.0::DOUBLE) AS utilisation
-          FROM std)"""
+          FROM std),
+panel AS (SELECT *, round(0.8::DOUBLE * decision_score + 0.2::DOUBLE * (1 - utilisation), 6) AS fine_score FROM lab)"""
