@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from amberline.functions.numeric import clip, clipped_logit
 from amberline.operators.aggregates import with_interval
-from amberline.operators.histogram import cumulative, score_histogram
+from amberline.operators.histogram import cumulative, stored_histogram
 from amberline.operators.quantiles import edges_scalar, left_closed_bin, quantiles_of_ranked, right_closed_bin
-from amberline.session import materialise
 
 
 def _gap(bins: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +76,7 @@ def served_calibration(df: DataFrame, raw: str, calibrated: str, outcome: str =
     """Brier score and equal-count ECE of the raw and the calibrated score, one row each."""
     parts = []
     for name in (raw, calibrated):
-        hist = score_histogram(df, name, outcome)
+        hist = stored_histogram(df, name, outcome)
         both = brier(hist).select(F.lit(name).alias("score"), "brier")
         parts.append(both.withColumn("ece", ece_equal_count(hist).select("ece").scalar()))
     return parts[0].unionByName(parts[1])
@@ -100,7 +99,7 @@ def cox_calibration(df: DataFrame, score: str = "decision_score", outcome: str =
     small aggregate; the driver sees five numbers per step. The cluster term
     sums residuals per account on the rows. One row; NULLs when it cannot be fitted.
     """
-    hist = materialise(score_histogram(df, score, outcome), "cox")
+    hist = stored_histogram(df, score, outcome)
     x = clipped_logit(F.col("score"))
     a = b = 0.0
     inverse = None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from amberline.functions.hashing import unit_mod
 from amberline.operators.quantiles import left_closed_bin, quantiles_of_ranked, with_rank_range
 from amberline.operators.scalars import lookup_map
+from amberline.session import materialise
 
 FLOOR = 1e-6
 
@@ -39,6 +40,7 @@ def numeric_csi(df: DataFrame, expected: Column, features: tuple[str, ...], bins
     values = df.where(expected.isNotNull()).select(expected.alias("_e"), F.explode(cells).alias("c")).where(
         F.col("c.value").isNotNull() & ~F.isnan("c.value")).groupBy("c.feature", "c.value").agg(
         F.count(F.when(F.col("_e"), 1)).alias("e"), F.count(F.when(~F.col("_e"), 1)).alias("a"))
+    values = materialise(values, "value-counts")
     ranked = with_rank_range(values.where(F.col("e") > 0), "value", ("feature",), n="e")
     edges = quantiles_of_ranked(ranked, "value", tuple(i / bins for i in range(bins + 1)), ("feature",), n="e").groupBy("feature").agg(
         F.array_sort(F.collect_set("value")).alias("edges"))
@@ -46,6 +48,7 @@ def numeric_csi(df: DataFrame, expected: Column, features: tuple[str, ...], bins
         "_edges", F.element_at("_edges", F.col("feature")))
     per_bin = binned.where(F.size("_edges") >= 3).groupBy("feature", left_closed_bin(F.col("value"), F.col("_edges")).alias("bin")).agg(
         F.sum("e").alias("e"), F.sum("a").alias("a"))
+    per_bin = materialise(per_bin, "bin-counts")
     # np.unique edges < 3 means nothing to compare: such features rate 0
     empty = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     return empty.join(_stability(per_bin), "feature", "left").select("feature", F.coalesce("csi", F.lit(0.0)).alias("csi"))
@@ -62,7 +65,7 @@ def categorical_csi(df: DataFrame, expected: Column, features: tuple[str, ...])
     levels = df.where(expected.isNotNull()).select(expected.alias("_e"), F.explode(cells).alias("c")).where(
         F.col("c.level").isNotNull()).groupBy("c.feature", "c.level").agg(
         F.count(F.when(F.col("_e"), 1)).alias("e"), F.count(F.when(~F.col("_e"), 1)).alias("a"))
-    return _stability(levels)
+    return _stability(materialise(levels, "level-counts"))
 
 
 def feature_csi_table(df: DataFrame, expected: Column, numeric: tuple[str, ...], categorical: tuple[str, ...]) -> DataFrame:

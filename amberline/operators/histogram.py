@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amberline.config import SCORE_DECIMALS
+from amberline.session import materialise
 
 
 def score_histogram(df: DataFrame, score: str = "decision_score", outcome: str = "went_bad",
@@ -24,6 +25,11 @@ def score_histogram(df: DataFrame, score: str = "decision_score", outcome: str =
         *[F.sum(c).alias(name) for name, c in sums.items()])
 
 
+def stored_histogram(df: DataFrame, *args, **kw) -> DataFrame:
+    """:func:`score_histogram` written to the work folder, for measures that need several passes."""
+    return materialise(score_histogram(df, *args, **kw), "histogram")
+
+
 def cumulative(hist: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
     """Add rows and failures below each score, and the group totals."""
     keys = [F.col(g) for g in groups] or [F.lit(0)]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from amberline.session import materialise
+
 SLOTS = 4096
 
 
@@ -69,8 +71,13 @@ def quantiles_of_ranked(ranked: DataFrame, value: str, probs: tuple[float, ...],
 
 def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...], groups: tuple[str, ...] = (),
                     slots: int = SLOTS) -> DataFrame:
-    """Exact quantiles of a column of any cardinality, per group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    """Exact quantiles of a column of any cardinality, per group.
+
+    The table is read once; the value counts are written to the work folder and
+    the ranks are found on them.
+    """
+    counts = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")), "value-counts")
     return quantiles_of_ranked(with_rank_range(counts, value, groups, slots=slots), value, probs, groups)
 
 

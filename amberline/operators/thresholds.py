@@ -12,6 +12,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amberline.config import RUPEES_PER_CRORE, SCORE_DECIMALS, CostParams, candidate_fractions
@@ -21,6 +22,7 @@ from amberline.operators.aggregates import POOLED
 from amberline.operators.histogram import cumulative
 from amberline.operators.joins import cut_index
 from amberline.operators.quantiles import quantiles_of_ranked
+from amberline.session import materialise
 
 LEVELS = ("all_constraints", "portfolio_monotone", "pooled_monotone", "non_empty")
 SUMS = ("n", "bad", "green", "amber", "red", "ead")
@@ -28,11 +30,16 @@ SWEPT = ("cure_share_red", "review_cost_red", "lgd_unsecured", "friction_share_r
 
 
 def cost_histogram(book: DataFrame, score: str = "decision_score", outcome: str = "went_bad") -> DataFrame:
-    """Counts and exposures per (portfolio, secured, score); ``secured`` may be NULL (unknown)."""
-    return book.where(F.col(score).isNotNull()).groupBy(
+    """Counts and exposures per (portfolio, secured, score); ``secured`` may be NULL (unknown).
+
+    The book is read once: the histogram is written to the work folder and the
+    whole search runs on it.
+    """
+    hist = book.where(F.col(score).isNotNull()).groupBy(
         "portfolio", F.col("secured").cast("int").alias("secured"), F.round(score, SCORE_DECIMALS).alias("score")).agg(
         F.count("*").alias("n"), F.sum(outcome).alias("bad"), F.sum("ead").alias("ead"),
         F.sum(F.col("ead") * F.col(outcome)).alias("ead_bad"))
+    return materialise(hist, "cost-histogram")
 
 
 def priced(hist: DataFrame, p=None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -68,8 +75,9 @@ def candidate_cuts(hist: DataFrame) -> Column:
 def cut_table(hist: DataFrame, cells: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sums flagged at each candidate cut-off, per portfolio and pooled, with the totals.
 
-    One row per (keys, portfolio): ``cuts`` is an array of structs (j, cut, n, bad,
-    costs) of at most 96 entries in ascending order of the cut-off.
+    One row per (keys, portfolio, cut): ``j`` is the ascending position of the
+    cut-off, ``n``, ``bad`` and the costs are the sums at or above it, ``all_*``
+    the totals. At most 96 rows per portfolio, written to the work folder.
     """
     cells = priced(hist) if cells is None else cells
     binned = cells.withColumn("_cuts", candidate_cuts(hist)).select(
@@ -77,39 +85,42 @@ def cut_table(hist: DataFrame, cells: DataFrame | None = None, keys: tuple[str,
         cut_index(F.col("score"), F.col("_cuts")).alias("bin"), *SUMS)
     per_bin = binned.groupBy(*keys, "portfolio", "bin").agg(
         *[F.sum(c).alias(c) for c in SUMS], F.first("_cuts").alias("_cuts"))
-    folded = per_bin.groupBy(*keys, "portfolio").agg(
-        F.collect_list(F.struct("bin", *SUMS)).alias("_bins"), F.first("_cuts").alias("_cuts"),
-        F.struct(*[F.sum(c).alias(c) for c in SUMS]).alias("all"))
-
-    def at(j: Column) -> Column:
-        reached = F.filter("_bins", lambda b: b["bin"] >= j)
-        sums = [F.aggregate(reached, F.lit(0.0), lambda acc, b, c=c: acc + b[c].cast("double")).alias(c) for c in SUMS]
-        return F.struct(j.alias("j"), F.element_at("_cuts", j).alias("cut"), *sums)
-
-    return folded.withColumn("cuts", F.transform(F.sequence(F.lit(1), F.size("_cuts")), at)).select(
-        *keys, "portfolio", "all", "cuts")
+    # a bin counts for every cut-off up to its own; j = 0 collects the totals
+    spread = per_bin.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
+    reached = F.col("bin") >= F.col("j")
+    sums = spread.groupBy(*keys, "portfolio", "j").agg(
+        F.first("_cuts").alias("_cuts"), *[F.coalesce(F.sum(F.when(reached, F.col(c))), F.lit(0)).alias(c) for c in SUMS])
+    whole = W.partitionBy(*keys, "portfolio")
+    totals = {f"all_{c}": F.max(F.when(F.col("j") == 0, F.col(c))).over(whole) for c in SUMS}
+    rows = sums.withColumns(totals).where(F.col("j") > 0).withColumn("cut", F.element_at("_cuts", F.col("j")))
+    return materialise(rows.drop("_cuts"), "cut-table")
 
 
 def cost_grid(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every (amber, red) pair with its cost and the strictest rung it satisfies (1 = strictest)."""
-    pairs = table.withColumn("a", F.explode("cuts")).withColumn(
-        "r", F.explode(F.filter("cuts", lambda c: c["j"] > F.col("a.j"))))
-    a, r, whole = F.col("a"), F.col("r"), F.col("all")
-    cost = r["red"] + (a["amber"] - r["amber"]) + (whole["green"] - a["green"])
-    red = rate(r["bad"], r["n"])
-    amber = rate(a["bad"] - r["bad"], a["n"] - r["n"])
-    green = rate(whole["bad"] - a["bad"], whole["n"] - a["n"])
+    """Every (amber, red) pair with its cost and the strictest rung it satisfies (1 = strictest).
+
+    The join pairs the at most 96 cut-offs of a portfolio with the higher ones.
+    """
+    on = [*keys, "portfolio"]
+    a = table.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("j", "cut", *SUMS)], *[f"all_{c}" for c in SUMS])
+    r = table.select(*on, *[F.col(c).alias(f"r_{c}") for c in ("j", "cut", *SUMS)])
+    pairs = a.join(r, on).where(F.col("r_j") > F.col("a_j"))
+    c = F.col
+    cost = c("r_red") + (c("a_amber") - c("r_amber")) + (c("all_green") - c("a_green"))
+    red = rate(c("r_bad"), c("r_n"))
+    amber = rate(c("a_bad") - c("r_bad"), c("a_n") - c("r_n"))
+    green = rate(c("all_bad") - c("a_bad"), c("all_n") - c("a_n"))
     rows = pairs.select(
-        *keys, "portfolio", a["cut"].alias("amber"), r["cut"].alias("red"), cost.alias("cost"), a["n"].alias("n_flagged"),
-        r["n"].alias("n_red"), a["bad"].alias("bad_flagged"), r["bad"].alias("bad_red"), whole["bad"].alias("bad_all"),
-        ((green < amber) & (amber < red)).alias("monotone"), (r["n"] >= 1).alias("has_red"))
+        *on, c("a_cut").alias("amber"), c("r_cut").alias("red"), cost.alias("cost"), c("a_n").alias("n_flagged"), c("r_n").alias("n_red"),
+        c("a_bad").alias("bad_flagged"), c("r_bad").alias("bad_red"), c("all_bad").alias("bad_all"),
+        ((green < amber) & (amber < red)).alias("monotone"), (c("r_n") >= 1).alias("has_red"))
     pooled = F.col("portfolio") == POOLED
 
-    def of_pooled(c: str) -> Column:
-        return F.max(F.when(pooled, F.col(c))).alias(c)
+    def of_pooled(name: str) -> Column:
+        return F.max(F.when(pooled, F.col(name))).alias(name)
 
     per_pair = rows.groupBy(*keys, "amber", "red").agg(
-        *[of_pooled(c) for c in ("cost", "n_flagged", "n_red", "bad_flagged", "bad_red", "bad_all")],
+        *[of_pooled(name) for name in ("cost", "n_flagged", "n_red", "bad_flagged", "bad_red", "bad_all")],
         F.max(pooled & F.col("monotone")).alias("_pooled"), F.min("monotone").alias("_everywhere"), F.min("has_red").alias("_red"))
     rung = (F.when(F.col("_everywhere") & F.col("_red"), 1).when(F.col("_everywhere"), 2)
             .when(F.col("_pooled"), 3).otherwise(4))

@@ -61,7 +61,7 @@ SELECT b AS budget, max(floor(n * b))::BIGINT AS n_reviewed, count(*) FILTER (rk
  round(count(*) FILTER (rk <= floor(n * b) AND went_bad = 1) / sum(went_bad), 6) AS recall
 FROM r, (SELECT unnest([0.02::DOUBLE, 0.05, 0.1, 0.2]) AS b) GROUP BY 1""")
 def recall_at_budget(t: Tables):
-    return _rounded(ranking.recall_at_budgets(t.eligible(), (0.02, 0.05, 0.1, 0.2), KEYS), 6, "recall")
+    return _rounded(ranking.recall_at_budgets(t.stored(t.eligible(), *KEYS, "decision_score", "went_bad"), (0.02, 0.05, 0.1, 0.2), KEYS), 6, "recall")
 
 
 @query("ev04b_recall_at_book_budget", f"""
@@ -70,7 +70,7 @@ SELECT 0.1::DOUBLE AS budget, max(greatest(round_even(n * 0.1, 0), 1))::BIGINT A
  count(*) FILTER (rk <= greatest(round_even(n * 0.1, 0), 1) AND went_bad = 1) AS n_caught, sum(went_bad)::BIGINT AS n_bad,
  round(count(*) FILTER (rk <= greatest(round_even(n * 0.1, 0), 1) AND went_bad = 1) / sum(went_bad), 6) AS recall FROM r""")
 def recall_at_book_budget(t: Tables):
-    return _rounded(ranking.recall_at_budgets(t.book(), (0.1,), KEYS, book_grain=True), 6, "recall")
+    return _rounded(ranking.recall_at_budgets(t.stored(t.book(), *KEYS, "decision_score", "went_bad"), (0.1,), KEYS, book_grain=True), 6, "recall")
 
 
 @query("ev05_recall_by_lead_bucket", """
@@ -93,7 +93,7 @@ dr AS (SELECT *, k / n AS rate, {WILSON_SQL} AS ci_lo, {WILSON_HIGH_SQL} AS ci_h
 WITH {DECILE_SQL} SELECT portfolio, decile, score_lo, score_hi, k::BIGINT AS k, n::BIGINT AS n, round(rate, 6) AS rate,
  round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM dr""")
 def deciles(t: Tables):
-    return _rounded(ranking.deciles(histogram.two_grains(t.eligible()), KEYS, ("portfolio",)), 6, "rate", "ci_lo", "ci_hi")
+    return _rounded(ranking.deciles(histogram.two_grains(t.stored(t.eligible(), *KEYS, "portfolio", "decision_score", "went_bad")), KEYS, ("portfolio",)), 6, "rate", "ci_lo", "ci_hi")
 
 
 MONO_SQL = f"""{BAND_CELLS_SQL}, br AS (SELECT portfolio, max(CASE WHEN band = 'green' THEN round(CASE WHEN n > 0 THEN k / n ELSE 0 END, 4) END) AS green,
@@ -114,13 +114,13 @@ steps AS (SELECT portfolio, count(up) AS steps, count(*) FILTER (up) AS steps_ok
 
 @query("ev08_decile_steps", f"WITH {STEPS_SQL} SELECT portfolio, steps, steps_ok, round(fraction_ok, 6) AS fraction_ok FROM steps")
 def decile_steps(t: Tables):
-    rows = ranking.deciles(histogram.two_grains(t.eligible()), KEYS, ("portfolio",))
+    rows = ranking.deciles(histogram.two_grains(t.stored(t.eligible(), *KEYS, "portfolio", "decision_score", "went_bad")), KEYS, ("portfolio",))
     return _rounded(ranking.decile_steps(rows, ("portfolio",)), 6, "fraction_ok").drop("steps_ok_ci")
 
 
 @query("ev09_decile_steps_by_interval", f"WITH {STEPS_SQL} SELECT portfolio, steps, steps_ok_ci FROM steps")
 def decile_steps_by_interval(t: Tables):
-    rows = ranking.deciles(histogram.two_grains(t.eligible()), KEYS, ("portfolio",))
+    rows = ranking.deciles(histogram.two_grains(t.stored(t.eligible(), *KEYS, "portfolio", "decision_score", "went_bad")), KEYS, ("portfolio",))
     return ranking.decile_steps(rows, ("portfolio",)).select("portfolio", "steps", "steps_ok_ci")
 
 
@@ -128,7 +128,7 @@ def decile_steps_by_interval(t: Tables):
 WITH {STEPS_SQL}, {MONO_SQL} SELECT portfolio, green, amber, red, green < amber AND amber < red AS monotone, steps, steps_ok, steps_ok_ci,
  round(fraction_ok, 6) AS fraction_ok, green < amber AND amber < red AND fraction_ok >= 0.9 AS passed FROM br JOIN steps USING (portfolio)""")
 def rank_order_exhibit(t: Tables):
-    return _rounded(ranking.rank_order_violations(_banded(t), KEYS), 6, "fraction_ok")
+    return _rounded(ranking.rank_order_violations(t.stored(_banded(t), *KEYS, "portfolio", "band", "decision_score", "went_bad"), KEYS), 6, "fraction_ok")
 
 
 @query("ev11_precision_decomposition", """
@@ -149,11 +149,11 @@ def ece_equal_width(t: Tables):
 
 
 def _hist(t: Tables):
-    return histogram.score_histogram(t.eligible(), "fine_score")
+    return histogram.stored_histogram(t.eligible(), "fine_score")
 
 
 BINS_SQL = f"""{HIST_SQL}, q AS (SELECT list_sort(list_distinct(quantile_cont(fine_score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM eligible),
-bins AS (SELECT len(list_filter(e[2:-2], x -> x <= score)) + 1 AS bin, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS k, sum(n * score) AS s FROM hist, q GROUP BY 1)"""
+bins AS (SELECT len(list_filter(e[2:-2], lambda x: x <= score)) + 1 AS bin, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS k, sum(n * score) AS s FROM hist, q GROUP BY 1)"""
 
 
 @query("ev13_ece_equal_count", f"WITH {BINS_SQL} SELECT round(sum(n * abs(s / n - k / n)) / sum(n), 6) AS ece FROM bins")
@@ -182,7 +182,7 @@ CALIBRATED_SQL = """round(CASE WHEN fine_score <= 0.1 THEN 0.0 WHEN fine_score >
 @query("ev16_served_calibration", f"""
 WITH x AS (SELECT went_bad AS y, unnest(['fine_score', 'calibrated']) AS score, unnest([fine_score, {CALIBRATED_SQL}]) AS v FROM eligible),
 e AS (SELECT score, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM x GROUP BY 1),
-b AS (SELECT score, len(list_filter(e[2:-2], q -> q <= v)) AS bin, count(*)::DOUBLE AS n, sum(y) AS k, sum(v) AS s FROM x JOIN e USING (score) GROUP BY 1, 2),
+b AS (SELECT score, len(list_filter(e[2:-2], lambda q: q <= v)) AS bin, count(*)::DOUBLE AS n, sum(y) AS k, sum(v) AS s FROM x JOIN e USING (score) GROUP BY 1, 2),
 g AS (SELECT score, sum(n * abs(s / n - k / n)) / sum(n) AS ece FROM b GROUP BY 1)
 SELECT score, round(avg((v - y) * (v - y)), 6) AS brier, round(max(ece), 6) AS ece FROM x JOIN g USING (score) GROUP BY 1""")
 def served_calibration(t: Tables):
@@ -210,7 +210,7 @@ WINDOWS = F.when(F.col("period") < 8, F.lit(True)).when(F.col("period") >= 15, F
 
 def _csi_sql(name: str, feature: str, expected: str = "period < 8", actual: str = "period >= 15") -> str:
     return f"""{name}_e AS (SELECT list_sort(list_distinct(quantile_cont({feature}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM eligible WHERE {expected}),
-{name}_b AS (SELECT len(list_filter(e[2:-2], q -> q <= {feature})) AS bin, count(*) FILTER ({expected})::DOUBLE AS e, count(*) FILTER ({actual})::DOUBLE AS a
+{name}_b AS (SELECT len(list_filter(e[2:-2], lambda q: q <= {feature})) AS bin, count(*) FILTER ({expected})::DOUBLE AS e, count(*) FILTER ({actual})::DOUBLE AS a
  FROM eligible, {name}_e WHERE {feature} IS NOT NULL AND (({expected}) OR ({actual})) GROUP BY 1),
 {name}_s AS (SELECT greatest(e / sum(e) OVER (), 1e-6) AS e, greatest(a / sum(a) OVER (), 1e-6) AS a FROM {name}_b),
 {name} AS (SELECT CASE WHEN (SELECT len(e) FROM {name}_e) < 3 THEN 0 ELSE sum((a - e) * ln(a / e)) END AS csi FROM {name}_s)"""
@@ -241,7 +241,7 @@ u AS (SELECT 'utilisation' AS feature, csi FROM f1 UNION ALL SELECT 'dpd', csi F
  UNION ALL SELECT 'vintage_months', csi FROM f4 UNION ALL SELECT 'region', csi FROM f5)
 SELECT feature, round(csi, 6) AS csi, csi = (SELECT max(csi) FROM u) AS binding FROM u""")
 def feature_csi_table(t: Tables):
-    out = drift.feature_csi_table(t.eligible(), WINDOWS, ("utilisation", "dpd", "bureau_score", "vintage_months"), ("region",))
+    out = drift.feature_csi_table(t.stored(t.eligible(), "period", "utilisation", "dpd", "bureau_score", "vintage_months", "region"), WINDOWS, ("utilisation", "dpd", "bureau_score", "vintage_months"), ("region",))
     return _rounded(out, 6, "csi")
 
 
@@ -359,8 +359,8 @@ def oot_ratio(t: Tables):
 
 @query("ev30_regime_delta", f"""
 WITH r AS (SELECT portfolio, fine_score AS score, went_bad AS y FROM eligible), {metrics_sql('r', 'portfolio')},
-c AS (SELECT min(auc) AS lo, max(auc) AS hi FROM m WHERE g IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD'))
-SELECT g AS regime, round(auc - (lo + hi) / 2, 6) AS delta, auc < lo OR auc > hi AS outside FROM m, c WHERE g NOT IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
+ctl AS (SELECT min(auc) AS lo, max(auc) AS hi FROM m WHERE g IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD'))
+SELECT g AS regime, round(auc - (lo + hi) / 2, 6) AS delta, auc < lo OR auc > hi AS outside FROM m, ctl WHERE g NOT IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
 def regime_delta(t: Tables):
     from amberline.operators.scorecard import regime_delta as compare
     m = histogram.rank_metrics(histogram.score_histogram(t.eligible(), "fine_score", groups=("portfolio",)), ("portfolio",))

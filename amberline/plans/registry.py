@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from amberline.session import materialise
 from amberline.sources import star_panel
 
 
@@ -33,6 +34,10 @@ class Tables:
     def eligible(self) -> DataFrame:
         return self.panel().where(F.col("labelable") == 1)
 
+    def stored(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The named columns of a derived table, written once for operators that read it several times."""
+        return materialise(df.select(*columns), "panel")
+
     def book(self) -> DataFrame:
         """The frozen book: one row per account at the reference period, banded."""
         return self.panel().where(F.col("period") == star_panel.REFERENCE_PERIOD).withColumn(

@@ -257,8 +257,9 @@ WITH e AS (SELECT quantile_cont(sanctioned, [0.2, 0.4, 0.6, 0.8]) AS q FROM elig
 SELECT (CASE WHEN sanctioned <= q[1] THEN 0 WHEN sanctioned <= q[2] THEN 1 WHEN sanctioned <= q[3] THEN 2 WHEN sanctioned <= q[4] THEN 3 ELSE 4 END) AS quintile,
  count(*) AS n, round(avg(went_bad), 6) AS rate FROM eligible, e GROUP BY 1""")
 def quintile_ticket_cut(t: Tables):
-    edges = edges_scalar(exact_quantiles(t.eligible(), "sanctioned", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))
-    rows = t.eligible().withColumn("edges", edges)
+    stored = t.stored(t.eligible(), "sanctioned", "went_bad")
+    edges = edges_scalar(exact_quantiles(stored, "sanctioned", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))
+    rows = stored.withColumn("edges", edges)
     return rows.groupBy(right_closed_bin(F.col("sanctioned"), F.col("edges")).alias("quintile")).agg(
         F.count("*").alias("n"), F.round(F.avg("went_bad"), 6).alias("rate"))
 
@@ -394,7 +395,7 @@ def _fingerprint_sql(name: str, where: str) -> str:
 @query("ag25_table_fingerprint", f"""
 WITH {_fingerprint_sql('fp', 'true')} SELECT "column", stat, round(value, 4) AS value FROM fp""")
 def table_fingerprint(t: Tables):
-    return _rounded(fingerprint.table_fingerprint(t.panel(), ("sanctioned", "utilisation"), ("region",)), 4, "value")
+    return _rounded(fingerprint.table_fingerprint(t.stored(t.panel(), "sanctioned", "utilisation", "region"), ("sanctioned", "utilisation"), ("region",)), 4, "value")
 
 
 @query("ag36_compare_fingerprints", f"""
@@ -402,7 +403,8 @@ WITH {_fingerprint_sql('fa', 'period < 13')}, {_fingerprint_sql('fb', 'period >=
 SELECT "column", stat, round(fa.value, 4) AS "left", round(fb.value, 4) AS "right",
  coalesce(abs(fa.value - fb.value) <= 0.01 * greatest(abs(fa.value), 1.0), false) AS passed FROM fa FULL JOIN fb USING ("column", stat)""")
 def compare_fingerprints(t: Tables):
-    halves = [fingerprint.table_fingerprint(t.panel().where(c), ("sanctioned", "utilisation"), ("region",))
+    rows = t.stored(t.panel(), "period", "sanctioned", "utilisation", "region")
+    halves = [fingerprint.table_fingerprint(rows.where(c), ("sanctioned", "utilisation"), ("region",))
               for c in (F.col("period") < 13, F.col("period") >= 13)]
     return _rounded(fingerprint.compare_fingerprints(*halves, 0.01), 4, "left", "right")
 

@@ -83,7 +83,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-        "spark.log.level": "ERROR"})
+        "spark.log.level": "OFF", "spark.ui.showConsoleProgress": "false"})
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
