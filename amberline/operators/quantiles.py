@@ -53,20 +53,26 @@ def quantiles_of_ranked(ranked: DataFrame, value: str, probs: tuple[float, ...],
     One row per (group, prob): ``value``.
     """
     keys = list(groups)
-    aggs = [F.max("total").alias("_total")]
     first, last = F.col("before"), F.col("before") + F.col(n) - 1
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("total") - 1)
-        for side, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            aggs.append(F.max(F.when((first <= at) & (at <= last), F.col(value))).alias(f"_{side}{i}"))
-    cells = ranked.groupBy(*keys).agg(*aggs)
-    rows = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        part = position - F.floor(position)
-        at = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part
-        rows.append(F.struct(F.lit(float(p)).alias("prob"), at.alias("value")))
-    return cells.select(*keys, F.explode(F.array(*rows)).alias("_q")).select(*keys, "_q.prob", "_q.value")
+
+    def position(p):
+        at = p * (F.col("total") - 1)
+        return F.struct(p.alias("prob"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("part"))
+
+    def covers(rank):
+        return (first <= rank) & (rank <= last)
+
+    # every rank lies in exactly one row, so at most two rows per probability survive
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]), position)
+    hits = ranked.select(*keys, F.col(value).alias("_v"), first.alias("_first"), last.alias("_last"), F.explode(
+        F.filter(wanted, lambda w: covers(w["lo"]) | covers(w["hi"]))).alias("w"))
+
+    def value_at(side):
+        return F.max(F.when((F.col("_first") <= F.col(f"w.{side}")) & (F.col(f"w.{side}") <= F.col("_last")), F.col("_v")))
+
+    ends = hits.groupBy(*keys, F.col("w.prob").alias("prob")).agg(
+        value_at("lo").alias("_lo"), value_at("hi").alias("_hi"), F.max("w.part").alias("_part"))
+    return ends.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...], groups: tuple[str, ...] = (),

@@ -62,7 +62,7 @@ def candidate_cuts(t: Tables):
     return hist.groupBy().agg(F.first(thresholds.candidate_cuts(hist)).alias("c")).select(F.explode("c").alias("cut"))
 
 
-@query("th02_cost_grid", f"WITH {GRID_SQL} SELECT amber, red, round(cost, 0) AS cost, n_flagged, n_red, bad_flagged, bad_red, bad_all, rung FROM cg")
+@query("th02_cost_grid", f"WITH {GRID_SQL} SELECT amber, red, round(cost, 0) AS cost, n_flagged::BIGINT AS n_flagged, n_red::BIGINT AS n_red, bad_flagged::BIGINT AS bad_flagged, bad_red::BIGINT AS bad_red, bad_all::BIGINT AS bad_all, rung FROM cg")
 def cost_grid(t: Tables):
     return _rounded(_grid(t), 0, "cost")
 
@@ -78,22 +78,23 @@ def feasibility_ladder(t: Tables):
     return thresholds.feasible_counts(_grid(t))
 
 
-@query("th04_pick", f"WITH {PICK_SQL} SELECT amber, red, rung, round(cost, 0) AS cost, n_flagged, n_red FROM best")
+@query("th04_pick", f"WITH {PICK_SQL} SELECT amber, red, rung, round(cost, 0) AS cost, n_flagged::BIGINT AS n_flagged, n_red::BIGINT AS n_red FROM best")
 def pick(t: Tables):
     return _rounded(thresholds.pick(_grid(t)), 0, "cost")
 
 
-def _evaluate_sql(amber: str, red: str) -> str:
-    return f"""SELECT {amber}::DOUBLE AS amber, {red}::DOUBLE AS red, CASE WHEN ng > 0 AND na > 0 AND nr > 0 THEN CASE WHEN m AND each AND reds THEN 1 WHEN m AND each THEN 2 WHEN m THEN 3 ELSE 4 END END AS rung,
- round(c, 0) AS cost, round(c / n, 2) AS cost_per_account, n, b::BIGINT AS n_bad, ng AS n_green, na AS n_amber, nr AS n_red, round(coalesce(br / nr, 0), 6) AS red_precision,
- round(coalesce(ba / na, 0), 6) AS amber_precision, round(coalesce(bg / b, 0), 6) AS missed_share, round((na + nr) / n, 6) AS flagged_share, round(coalesce(br / b, 0), 6) AS recall_red,
- round(coalesce((ba + br) / b, 0), 6) AS recall_flagged, round(ex, 1) AS exposure_flagged
- FROM (SELECT *, coalesce(bg / nullif(ng, 0), 0) < coalesce(ba / nullif(na, 0), 0) AND coalesce(ba / nullif(na, 0), 0) < coalesce(br / nullif(nr, 0), 0) AS m FROM (SELECT count(*) AS n, sum(y) AS b, count(*) FILTER (s < {amber}) AS ng, count(*) FILTER (s >= {amber} AND s < {red}) AS na, count(*) FILTER (s >= {red}) AS nr,
-  coalesce(sum(y) FILTER (s < {amber}), 0) AS bg, coalesce(sum(y) FILTER (s >= {amber} AND s < {red}), 0) AS ba, coalesce(sum(y) FILTER (s >= {red}), 0) AS br,
-  sum(CASE WHEN s >= {red} THEN r WHEN s >= {amber} THEN a ELSE g END) AS c, sum(ead) FILTER (s >= {amber}) AS ex FROM co)),
- (SELECT bool_and(coalesce(bg / nullif(ng, 0), 0) < coalesce(ba / nullif(na, 0), 0) AND coalesce(ba / nullif(na, 0), 0) < coalesce(br / nullif(nr, 0), 0)) AS each, bool_and(nr >= 1) AS reds FROM (SELECT portfolio, count(*) FILTER (s < {amber}) AS ng,
-  count(*) FILTER (s >= {amber} AND s < {red}) AS na, count(*) FILTER (s >= {red}) AS nr, coalesce(sum(y) FILTER (s < {amber}), 0) AS bg, coalesce(sum(y) FILTER (s >= {amber} AND s < {red}), 0) AS ba,
-  coalesce(sum(y) FILTER (s >= {red}), 0) AS br FROM co GROUP BY 1))"""
+def _evaluate_sql(pairs: str) -> str:
+    """CTE ``ev``: everything each (role, amber, red) pair implies on the policy book."""
+    mono = "coalesce(bg / nullif(ng, 0), 0) < coalesce(ba / nullif(na, 0), 0) AND coalesce(ba / nullif(na, 0), 0) < coalesce(br / nullif(nr, 0), 0)"
+    return f"""prs AS ({pairs}),
+pf AS (SELECT role, amber, red, portfolio, count(*) FILTER (s < amber) AS ng, count(*) FILTER (s >= amber AND s < red) AS na, count(*) FILTER (s >= red) AS nr,
+ coalesce(sum(y) FILTER (s < amber), 0) AS bg, coalesce(sum(y) FILTER (s >= amber AND s < red), 0) AS ba, coalesce(sum(y) FILTER (s >= red), 0) AS br,
+ sum(CASE WHEN s >= red THEN r WHEN s >= amber THEN a ELSE g END) AS c, coalesce(sum(ead) FILTER (s >= amber), 0) AS ex FROM prs, co GROUP BY 1, 2, 3, 4),
+tt AS (SELECT role, amber, red, sum(ng) AS ng, sum(na) AS na, sum(nr) AS nr, sum(bg) AS bg, sum(ba) AS ba, sum(br) AS br, sum(c) AS c, sum(ex) AS ex, bool_and({mono}) AS each, bool_and(nr >= 1) AS reds FROM pf GROUP BY 1, 2, 3),
+ev AS (SELECT role, amber, red, CASE WHEN ng > 0 AND na > 0 AND nr > 0 THEN CASE WHEN {mono} AND each AND reds THEN 1 WHEN {mono} AND each THEN 2 WHEN {mono} THEN 3 ELSE 4 END END AS rung,
+ round(c, 0) AS cost, round(c / (ng + na + nr), 2) AS cost_per_account, (ng + na + nr)::BIGINT AS n, (bg + ba + br)::BIGINT AS n_bad, ng::BIGINT AS n_green, na::BIGINT AS n_amber, nr::BIGINT AS n_red,
+ round(coalesce(br / nullif(nr, 0), 0), 6) AS red_precision, round(coalesce(ba / nullif(na, 0), 0), 6) AS amber_precision, round(bg / (bg + ba + br), 6) AS missed_share,
+ round((na + nr) / (ng + na + nr), 6) AS flagged_share, round(br / (bg + ba + br), 6) AS recall_red, round((ba + br) / (bg + ba + br), 6) AS recall_flagged, round(ex, 1) AS exposure_flagged FROM tt)"""
 
 
 def _evaluated(df):
@@ -101,7 +102,7 @@ def _evaluated(df):
     return _rounded(_rounded(_rounded(df, 0, "cost"), 2, "cost_per_account"), 1, "exposure_flagged")
 
 
-@query("th05_evaluate", f"WITH {GRID_SQL}, e AS ({_evaluate_sql('0.3', '0.5')}) SELECT * FROM e")
+@query("th05_evaluate", f"WITH {GRID_SQL}, {_evaluate_sql('SELECT 1 AS role, 0.3::DOUBLE AS amber, 0.5::DOUBLE AS red')} SELECT * EXCLUDE (role) FROM ev")
 def evaluate(t: Tables):
     return _evaluated(thresholds.evaluate(thresholds.priced(_hist(t)), 0.3, 0.5))
 
@@ -109,7 +110,7 @@ def evaluate(t: Tables):
 @query("th06_alternatives", f"""
 WITH {PICK_SQL}, d AS (SELECT round(g.amber, 4) AS amber, round(g.red, 4) AS red, min(g.cost) AS cost, arg_min(g.n_red, g.cost) AS n_red, arg_min(g.n_flagged, g.cost) AS n_flagged
  FROM cg g, best WHERE g.rung <= best.rung GROUP BY 1, 2)
-SELECT amber, red, round(cost, 0) AS cost, n_red, n_flagged FROM d ORDER BY d.cost, amber DESC, red DESC LIMIT 6""")
+SELECT amber, red, round(cost, 0) AS cost, n_red::BIGINT AS n_red, n_flagged::BIGINT AS n_flagged FROM d ORDER BY d.cost, amber DESC, red DESC LIMIT 6""")
 def alternatives(t: Tables):
     grid = _grid(t)
     rung = thresholds.pick(grid).select("rung").scalar()
@@ -119,7 +120,7 @@ def alternatives(t: Tables):
 @query("th06b_cost_curve", f"""
 WITH {PICK_SQL}, s AS (SELECT 'red' AS sweep, g.red AS cut, g.cost, g.n_red AS n, g.bad_red AS bad, g.bad_all FROM cg g, best WHERE g.amber = best.amber
  UNION ALL SELECT 'amber', g.amber, g.cost, g.n_flagged, g.bad_flagged, g.bad_all FROM cg g, best WHERE g.red = best.red)
-SELECT sweep, cut, round(cost, 0) AS cost, n, bad, bad_all - bad AS bad_outside, n - bad AS false_positives FROM s""")
+SELECT sweep, cut, round(cost, 0) AS cost, n::BIGINT AS n, bad::BIGINT AS bad, (bad_all - bad)::BIGINT AS bad_outside, (n - bad)::BIGINT AS false_positives FROM s""")
 def cost_curve(t: Tables):
     grid = _grid(t)
     return _rounded(thresholds.cost_curve(grid, thresholds.pick(grid)), 0, "cost")
@@ -139,12 +140,11 @@ SENSITIVITY_PICKS = " UNION ALL ".join(
 def sensitivity(t: Tables):
     hist = _hist(t)
     rung = thresholds.pick(thresholds.cost_grid(thresholds.cut_table(hist))).select("rung").scalar()
-    return thresholds.sensitivity(hist, rung)
+    return _rounded(thresholds.sensitivity(hist, rung), 4, "value")
 
 
-ROLES_SQL = f"""{PICK_SQL}, roles AS (SELECT 'chosen' AS role, x.* FROM (SELECT * FROM best) b, LATERAL ({_evaluate_sql('b.amber', 'b.red')}) x
- UNION ALL SELECT 'unconstrained', x.* FROM (SELECT * FROM free) b, LATERAL ({_evaluate_sql('b.amber', 'b.red')}) x
- UNION ALL SELECT 'current', x.* FROM ({_evaluate_sql('0.04', '0.40')}) x)"""
+ROLES_SQL = f"""{PICK_SQL}, {_evaluate_sql("SELECT 'chosen' AS role, amber, red FROM best UNION ALL SELECT 'unconstrained', amber, red FROM free UNION ALL SELECT 'current', 0.04, 0.40")},
+roles AS (SELECT * FROM ev)"""
 
 
 @query("th08_choose", f"WITH {ROLES_SQL} SELECT * FROM roles")
