@@ -300,4 +300,4 @@ def identity_fixture_check(t: Tables):
     # a document per hundred accounts, each the shape of a fixture file
     docs = t.accounts().groupBy(F.floor(key / 100).alias("g")).agg(F.collect_list(row).alias("accounts"))
     docs.select(F.struct(F.lit("fixture").alias("mode"), F.lit("2026-01-01").alias("generated_at")).alias("_meta"), "accounts").write.json(path)
-    return pulls.fixture_violations(pulls.read_identity_fixture(t.spark, path.rstrip("/") + "/*.json"), 8)
+    return pulls.fixture_violations(pulls.read_identity_fixture(t.spark, path, multiline=False), 8)

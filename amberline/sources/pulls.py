@@ -26,9 +26,9 @@ def read_pull_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.col("e.provenance").alias("provenance"), F.col("e.records").alias("records"))
 
 
-def read_identity_fixture(spark: SparkSession, path: str) -> DataFrame:
-    """One row per covered account."""
-    return spark.read.schema(FIXTURE_SCHEMA).json(path, multiLine=True).select(
+def read_identity_fixture(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One row per covered account. ``multiline`` is for one indented document, else one document per line."""
+    return spark.read.schema(FIXTURE_SCHEMA).json(path, multiLine=multiline).select(
         F.col("_meta.mode").alias("mode"), F.explode("accounts").alias("a")).select("mode", "a.*")
 
 
