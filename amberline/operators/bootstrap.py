@@ -2,8 +2,9 @@
 
 Each account draws a Poisson(1) weight per replicate from a hash of its id, the
 large-sample equivalent of drawing accounts with replacement. Rows are first
-combined to (account, score); only then are they multiplied by the replicates,
-and the products are combined map-side into one histogram per replicate.
+combined to (account, score), at most one per period, and each account draws its
+weights once; the weighted counts are combined map-side into one histogram per
+replicate.
 """
 
 from __future__ import annotations
@@ -42,9 +43,12 @@ def replicate_histograms(df: DataFrame, scores: tuple[str, ...], replicates: int
     cells = long.where(F.col("m.score").isNotNull()).groupBy(
         account, *groups, F.col("m.model").alias("model"), F.col("m.score").alias("score")).agg(
         F.count("*").alias("n"), F.sum("_y").alias("bad"))
-    drawn = cells.withColumn("d", F.explode(replicate_weights(account, replicates)))
-    return drawn.groupBy(F.col("d.replicate").alias("replicate"), "model", *groups, "score").agg(
-        F.sum(F.col("d.weight") * F.col("n")).alias("n"), F.sum(F.col("d.weight") * F.col("bad")).alias("bad"))
+    # one array per account, at most one entry per period and model: its weights are drawn once
+    folded = cells.groupBy(account).agg(F.collect_list(F.struct(*groups, "model", "score", "n", "bad")).alias("_cells"))
+    drawn = folded.withColumn("d", F.explode(replicate_weights(account, replicates))).select("d", F.explode("_cells").alias("c"))
+    keys = [F.col(f"c.{k}").alias(k) for k in ("model", *groups, "score")]
+    return drawn.groupBy(F.col("d.replicate").alias("replicate"), *keys).agg(
+        F.sum(F.col("d.weight") * F.col("c.n")).alias("n"), F.sum(F.col("d.weight") * F.col("c.bad")).alias("bad"))
 
 
 def interval(stats: DataFrame, column: str, level: float = 0.95, groups: tuple[str, ...] = ()) -> DataFrame:

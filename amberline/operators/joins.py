@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.config import OVERLAY_FIELDS
-from amberline.operators.windows import BY_PERIOD
+from amberline.operators.windows import by_period
 
 
 def with_static(book: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def levels_missing_from(train: DataFrame, test: DataFrame, column: str) -> DataF
 
 def hold_between_refreshes(df: DataFrame, value: str, refreshed: Column, name: str | None = None) -> DataFrame:
     """Value as of the account's last refresh (as-of join within the account)."""
-    held = F.last(F.when(refreshed, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(BY_PERIOD)
+    held = F.last(F.when(refreshed, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(by_period())
     return df.withColumn(name or value, held["v"])
 
 
@@ -56,7 +56,7 @@ def reported_with_lag(df: DataFrame, value: str, lag: Column, name: str) -> Data
     The lag may differ by row. Each row is joined to the source row on an equal
     (account, period) key, so no range condition is needed.
     """
-    first = F.first(value).over(BY_PERIOD)
+    first = F.first(value).over(by_period())
     rows = df.withColumn("_first", first).withColumn("_at", F.col("period") - lag)
     source = df.select("account_id", F.col("period").alias("_at"), F.col(value).alias("_then"))
     joined = rows.join(source, ["account_id", "_at"], "left")

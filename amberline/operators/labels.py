@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.config import LABEL_HORIZON_MONTHS, NPA_DPD, SMA2_DPD, SMA2_HORIZON_MONTHS
-from amberline.operators.windows import BY_ACCOUNT, BY_PERIOD
+from amberline.operators.windows import by_account, by_period
 
 
 def with_first_npa(df: DataFrame, npa_dpd: float = NPA_DPD) -> DataFrame:
     """Add ``npa_period``: the first period at or past the NPA threshold."""
-    return df.withColumn("npa_period", F.min(F.when(F.col("dpd") >= npa_dpd, F.col("period"))).over(BY_ACCOUNT))
+    return df.withColumn("npa_period", F.min(F.when(F.col("dpd") >= npa_dpd, F.col("period"))).over(by_account()))
 
 
 def to_npa(npa_period: Column, period: Column) -> Column:
@@ -28,7 +28,7 @@ def sma2_within(horizon: int = SMA2_HORIZON_MONTHS, threshold: float = SMA2_DPD)
 
     Must be computed before post-NPA rows are dropped: it looks through them.
     """
-    ahead = F.max("dpd").over(BY_PERIOD.rowsBetween(1, horizon))
+    ahead = F.max("dpd").over(by_period().rowsBetween(1, horizon))
     return F.when(ahead >= threshold, 1).otherwise(0)
 
 

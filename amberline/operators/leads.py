@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amberline.operators.windows import BY_ACCOUNT
+from amberline.operators.windows import by_account
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ def sustained_lead(df: DataFrame, flagged: Column, horizon: int = 12) -> DataFra
     the largest ``to_npa`` below that.
     """
     near = df.where(F.col("to_npa") <= horizon).withColumn("_on", F.coalesce(flagged, F.lit(False)))
-    broken = F.min(F.when(~F.col("_on"), F.col("to_npa"))).over(BY_ACCOUNT)
+    broken = F.min(F.when(~F.col("_on"), F.col("to_npa"))).over(by_account())
     inside = F.col("to_npa").between(1, horizon) & (F.col("to_npa") < F.coalesce(F.col("_break"), F.lit(horizon + 1)))
     leads = near.withColumn("_break", broken).groupBy("account_id").agg(
         F.coalesce(F.max(F.when(inside, F.col("to_npa"))), F.lit(0)).alias("lead"))

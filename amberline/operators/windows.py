@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from amberline.config import SMOOTH_ROWS
 from amberline.functions.numeric import collection_ratio, pct_change
 
-BY_ACCOUNT = W.partitionBy("account_id")
-BY_PERIOD = BY_ACCOUNT.orderBy("period")
+def by_account():
+    """All rows of one account."""
+    return W.partitionBy("account_id")
+
+
+def by_period():
+    """Rows of one account in period order."""
+    return by_account().orderBy("period")
 
 
 def trailing(rows: int):
     """Window of the last ``rows`` rows, current one included, truncated at the start."""
-    return BY_PERIOD.rowsBetween(-(rows - 1), 0)
+    return by_period().rowsBetween(-(rows - 1), 0)
 
 
 def rolling_sum(value: Column, rows: int) -> Column:
@@ -36,8 +42,8 @@ def rolling_min(value: Column, rows: int) -> Column:
 
 def lag_hold_first(value: Column, k: int) -> Column:
     """Value ``k`` rows ago; the first row's value before that."""
-    at_start = F.row_number().over(BY_PERIOD) <= k
-    return F.when(at_start, F.first(value).over(BY_PERIOD)).otherwise(F.lag(value, k).over(BY_PERIOD))
+    at_start = F.row_number().over(by_period()) <= k
+    return F.when(at_start, F.first(value).over(by_period())).otherwise(F.lag(value, k).over(by_period()))
 
 
 def flag(condition: Column) -> Column:
@@ -96,14 +102,14 @@ def channel_features(df: DataFrame, salary_gap: float = 0.5) -> DataFrame:
 def with_run_length(df: DataFrame, condition: Column, name: str = "run") -> DataFrame:
     """Add the length of the run of TRUE rows ending at each row (0 when FALSE)."""
     on = F.coalesce(condition, F.lit(False))
-    islands = df.withColumn("_island", F.sum(F.when(on, 0).otherwise(1)).over(BY_PERIOD))
+    islands = df.withColumn("_island", F.sum(F.when(on, 0).otherwise(1)).over(by_period()))
     length = F.sum(F.when(on, 1).otherwise(0)).over(
         W.partitionBy("account_id", "_island").orderBy("period"))
     return islands.withColumn(name, length).drop("_island")
 
 
 def cumulative_arrears(demanded: Column, collected: Column) -> Column:
-    return F.sum(demanded - collected).over(BY_PERIOD)
+    return F.sum(demanded - collected).over(by_period())
 
 
 def outstanding_with_arrears(schedule: Column, demanded: Column, collected: Column) -> Column:
@@ -113,7 +119,7 @@ def outstanding_with_arrears(schedule: Column, demanded: Column, collected: Colu
 def periods_overdue(df: DataFrame, due: Column, slipped: Column, name: str = "overdue") -> DataFrame:
     """Periods since the last due date when that renewal slipped, else 0."""
     rows = df.withColumn("_due", F.last(F.when(due, F.struct("period", slipped.alias("slipped"))),
-                                        ignorenulls=True).over(BY_PERIOD))
+                                        ignorenulls=True).over(by_period()))
     late = F.when(F.col("_due.slipped"), F.col("period") - F.col("_due.period")).otherwise(0)
     return rows.withColumn(name, late).drop("_due")
 
@@ -125,7 +131,7 @@ def decision_score(source: Column, rows: int = SMOOTH_ROWS) -> Column:
 
 def carry_forward_reversal(collected: Column, demanded: Column, reversed_: Column) -> Column:
     """A reversed collection is credited the period after, capped at that period's demand."""
-    carried = F.coalesce(F.lag(F.when(reversed_, collected)).over(BY_PERIOD), F.lit(0.0))
+    carried = F.coalesce(F.lag(F.when(reversed_, collected)).over(by_period()), F.lit(0.0))
     kept = F.when(reversed_, F.lit(0.0)).otherwise(collected)
     return F.least(kept + carried, demanded)
 
@@ -154,7 +160,7 @@ def trend_slope(df: DataFrame, reference: int, points: int = 6, min_history: int
     history = df.where(F.col("period") <= reference)
     last = W.partitionBy("account_id").orderBy(F.desc("period"))
     ranked = history.withColumn("_age", F.row_number().over(last) - 1).withColumn(
-        "_n", F.count("*").over(BY_ACCOUNT))
+        "_n", F.count("*").over(by_account()))
     centre = (points - 1) / 2.0
     spread = sum((i - centre) ** 2 for i in range(points))
     per = ranked.where(F.col("_age") < points).groupBy("account_id").agg(
@@ -179,10 +185,10 @@ def lag_autocorrelation(df: DataFrame, value: str, lag: int = 12) -> DataFrame:
     left out.
     """
     centred = (
-        df.withColumn("_n", F.count("*").over(BY_ACCOUNT)).withColumn("_seen", F.count(value).over(BY_ACCOUNT))
+        df.withColumn("_n", F.count("*").over(by_account())).withColumn("_seen", F.count(value).over(by_account()))
         .where((F.col("_n") >= 2 * lag) & (F.col("_seen") == F.col("_n")))
-        .withColumn("_x", F.col(value) - F.avg(value).over(BY_ACCOUNT))
-        .withColumn("_cross", F.col("_x") * F.lag("_x", lag).over(BY_PERIOD))
+        .withColumn("_x", F.col(value) - F.avg(value).over(by_account()))
+        .withColumn("_cross", F.col("_x") * F.lag("_x", lag).over(by_period()))
     )
     per = centred.groupBy("account_id").agg(
         F.sum("_cross").alias("_cross"), F.sum(F.col("_x") * F.col("_x")).alias("_var"))

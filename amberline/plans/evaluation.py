@@ -205,7 +205,10 @@ def cox_calibration(t: Tables):
 
 
 # Expected rows: periods 0-7; compared rows: periods 15-22.
-WINDOWS = F.when(F.col("period") < 8, F.lit(True)).when(F.col("period") >= 15, F.lit(False))
+
+
+def windows():
+    return F.when(F.col("period") < 8, F.lit(True)).when(F.col("period") >= 15, F.lit(False))
 
 
 def _csi_sql(name: str, feature: str, expected: str = "period < 8", actual: str = "period >= 15") -> str:
@@ -224,7 +227,7 @@ def _cat_csi_sql(name: str, feature: str) -> str:
 
 @query("ev19_psi", f"WITH {_csi_sql('f', 'fine_score')} SELECT 'fine_score' AS feature, round(csi, 6) AS psi FROM f")
 def psi(t: Tables):
-    return _rounded(drift.psi(t.eligible(), WINDOWS, "fine_score"), 6, "psi")
+    return _rounded(drift.psi(t.eligible(), windows(), "fine_score"), 6, "psi")
 
 
 @query("ev20_csi_categorical", f"""
@@ -232,7 +235,7 @@ WITH {_cat_csi_sql('f1', "(vintage_months // 12)::VARCHAR")}, {_cat_csi_sql('f2'
 SELECT 'age_year' AS feature, round(csi, 6) AS csi FROM f1 UNION ALL SELECT 'region', round(csi, 6) FROM f2""")
 def csi_categorical(t: Tables):
     rows = t.eligible().withColumn("age_year", F.floor(F.col("vintage_months") / 12))
-    return _rounded(drift.categorical_csi(rows, WINDOWS, ("age_year", "region")), 6, "csi")
+    return _rounded(drift.categorical_csi(rows, windows(), ("age_year", "region")), 6, "csi")
 
 
 @query("ev21_feature_csi_table", f"""
@@ -241,7 +244,7 @@ u AS (SELECT 'utilisation' AS feature, csi FROM f1 UNION ALL SELECT 'dpd', csi F
  UNION ALL SELECT 'vintage_months', csi FROM f4 UNION ALL SELECT 'region', csi FROM f5)
 SELECT feature, round(csi, 6) AS csi, csi = (SELECT max(csi) FROM u) AS binding FROM u""")
 def feature_csi_table(t: Tables):
-    out = drift.feature_csi_table(t.stored(t.eligible(), "period", "utilisation", "dpd", "bureau_score", "vintage_months", "region"), WINDOWS, ("utilisation", "dpd", "bureau_score", "vintage_months"), ("region",))
+    out = drift.feature_csi_table(t.stored(t.eligible(), "period", "utilisation", "dpd", "bureau_score", "vintage_months", "region"), windows(), ("utilisation", "dpd", "bureau_score", "vintage_months"), ("region",))
     return _rounded(out, 6, "csi")
 
 
@@ -315,7 +318,10 @@ def decile_stability(t: Tables):
     return bootstrap.decile_stability(t.eligible(), "fine_score", REPLICATES)
 
 
-ATTRIBUTES = {"region": F.col("region"), "constitution": F.col("constitution"), "state": F.col("state")}
+def attributes():
+    return {"region": F.col("region"), "constitution": F.col("constitution"), "state": F.col("state")}
+
+
 GROUPS_SQL = f"""ga AS (SELECT went_bad, CASE WHEN decision_score >= 0.28 THEN 1 ELSE 0 END AS f, unnest(['region', 'constitution', 'state']) AS cut,
  unnest([region, constitution, state]) AS level FROM eligible),
 gt AS (SELECT cut, level, count(*)::DOUBLE AS n, sum(f)::DOUBLE AS k, sum(went_bad)::DOUBLE AS n_pos, sum(f * went_bad)::DOUBLE AS k_pos FROM ga GROUP BY 1, 2),
@@ -323,7 +329,7 @@ gr AS (SELECT *, k / n AS flag_rate, CASE WHEN n_pos > 0 THEN k_pos / n_pos END
 
 
 def _groups(t: Tables):
-    return fairness.group_table(t.eligible(), F.col("decision_score") >= 0.28, ATTRIBUTES, min_n=1200)
+    return fairness.group_table(t.eligible(), F.col("decision_score") >= 0.28, attributes(), min_n=1200)
 
 
 @query("ev27_adverse_impact_ratio", f"""

@@ -223,7 +223,7 @@ a AS (SELECT portfolio, band, least(base + CASE WHEN rk <= 300 - (SELECT sum(bas
 r AS (SELECT account_id, portfolio, band, row_number() OVER (PARTITION BY portfolio, band ORDER BY {SAMPLE_HASH}) AS rn FROM book)
 SELECT account_id, r.portfolio, r.band FROM r JOIN a USING (portfolio, band) WHERE rn <= take OR account_id % 100 = 7""")
 def stratified_sample(t: Tables):
-    book = t.book().select("account_id", "portfolio", "band")
+    book = t.stored(t.book(), "account_id", "portfolio", "band")
     return splits.stratified_sample(book, 300, ("portfolio", "band"), book.where(F.col("account_id") % 100 == 7))
 
 
@@ -234,7 +234,8 @@ tk AS (SELECT lv, least(round_even(s * scale, 0), have) AS take FROM m),
 r AS (SELECT account_id, period, lv, row_number() OVER (PARTITION BY lv ORDER BY md5(account_id::VARCHAR || '|' || period::VARCHAR || '|replenish')) AS rn FROM lv WHERE period BETWEEN 10 AND 15)
 SELECT account_id, period, lv AS age_year FROM r JOIN tk USING (lv) WHERE rn <= take""")
 def replenish(t: Tables):
-    rows = t.panel().select("account_id", "period", F.floor(F.col("vintage_months") / 12).alias("age_year"))
+    rows = t.panel().withColumn("age_year", F.floor(F.col("vintage_months") / 12))
+    rows = t.stored(rows, "account_id", "period", "age_year")
     return splits.replenish(rows.where(F.col("period") < 8), rows.where(F.col("period").between(10, 15)), "age_year", ("account_id", "period")) \
         .select("account_id", "period", "age_year")
 

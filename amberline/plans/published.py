@@ -8,12 +8,15 @@ from amberline.functions import display, reasons
 from amberline.operators import book, gates, graph, joins, provenance
 from amberline.plans.registry import Tables, query
 from amberline.plans.summaries import _rounded
-from amberline.plans.timeseries import FLAGGED, LEAD_SQL
+from amberline.plans.timeseries import flagged, LEAD_SQL
 from amberline.operators.leads import sustained_lead
 from amberline.sources import documents
 
 # Contributions of a transparent score: distance of each signal from its calm level.
-CONTRIBUTIONS = {
+
+
+def contributions():
+    return {
     "dpd": F.col("dpd") / 90, "utilisation": F.col("utilisation") - 0.7, "collection_ratio": 0.97 - F.col("collection_ratio"),
     "bureau_score": (650 - F.col("bureau_score")) / 1000.0, "vintage_months": (12 - F.col("vintage_months")) / 48.0,
 }
@@ -25,7 +28,7 @@ def _with_ratio(df):
 
 
 def _reasons(df):
-    return df.withColumn("reasons", reasons.reason_codes(CONTRIBUTIONS, {f: F.col(f) for f in CONTRIBUTIONS}))
+    return df.withColumn("reasons", reasons.reason_codes(contributions(), {f: F.col(f) for f in contributions()}))
 
 
 REASON_SQL = """ratio AS (SELECT *, round(CASE WHEN demanded > 0 THEN collected / demanded ELSE 1 END, 4) AS cr FROM {source}),
@@ -147,7 +150,7 @@ p AS ((SELECT 0 AS k, -to_npa AS o, account_id FROM bl WHERE band = 'amber' AND
 @query("sp10_spotlight", f"WITH {PICKS_SQL} SELECT account_id, row_number() OVER (ORDER BY min(k), min(account_id)) AS place FROM (SELECT * FROM p WHERE false) GROUP BY 1 UNION ALL "
        f"SELECT account_id, row_number() OVER (ORDER BY k, o, account_id) FROM p")
 def spotlight(t: Tables):
-    leads = sustained_lead(t.panel(), FLAGGED, 4)
+    leads = sustained_lead(t.panel(), flagged(), 4)
     return book.spotlight(t.book().join(leads, "account_id")).withColumn("place", F.col("place").cast("bigint"))
 
 

@@ -237,7 +237,8 @@ def two_grain_exhibit(t: Tables):
     return _rounded(out, 6, "mean_score", "bad_rate")
 
 
-CUTS = {"portfolio": F.col("portfolio"), "constitution": F.col("constitution"), "secured": F.col("secured"),
+def cuts():
+    return {"portfolio": F.col("portfolio"), "constitution": F.col("constitution"), "secured": F.col("secured"),
         "geography": F.col("region"), "calendar": F.col("period")}
 
 
@@ -247,7 +248,7 @@ WITH x AS (SELECT went_bad, unnest(['portfolio', 'constitution', 'secured', 'geo
 g AS (SELECT cut, level, count(*) AS n, round(avg(went_bad), 6) AS rate FROM x GROUP BY 1, 2)
 SELECT cut, level, n, rate, row_number() OVER (PARTITION BY cut ORDER BY CASE WHEN cut IN ('secured', 'calendar') THEN level::DOUBLE END, level)::INT AS level_rank FROM g""")
 def metric_by_cut(t: Tables):
-    long = aggregates.stack_levels(t.eligible(), CUTS, "went_bad")
+    long = aggregates.stack_levels(t.eligible(), cuts(), "went_bad")
     cells = long.groupBy("cut", "level").agg(F.count("*").alias("n"), F.round(F.avg("went_bad"), 6).alias("rate"))
     return aggregates.level_order(cells)
 

@@ -127,7 +127,7 @@ def bad_within(t: Tables):
 
 def _dense(t: Tables):
     rows = star_panel.dense_conduct(t.spark, t.sf_dir)
-    last = F.max(F.when(F.col("txn_count") > 0, F.col("period"))).over(windows.BY_PERIOD)
+    last = F.max(F.when(F.col("txn_count") > 0, F.col("period"))).over(windows.by_period())
     return rows.withColumn("dpd", 9.0 * (F.col("period") - F.coalesce(last, F.lit(-1))))
 
 
@@ -183,7 +183,10 @@ def labelable(t: Tables):
     return labels.with_labelable(t.panel().drop("labelable"), 4).select(*KEY, "labelable")
 
 
-FLAGGED = F.col("decision_score") >= 0.28
+def flagged():
+    return F.col("decision_score") >= 0.28
+
+
 LEAD_SQL = """b AS (SELECT account_id, min(CASE WHEN decision_score < 0.28 AND to_npa <= 4 THEN to_npa END) AS brk FROM panel GROUP BY 1),
 leads AS (SELECT p.account_id, coalesce(max(CASE WHEN to_npa BETWEEN 1 AND 4 AND to_npa < coalesce(brk, 5) THEN to_npa END), 0) AS lead
   FROM panel p JOIN b USING (account_id) GROUP BY 1)"""
@@ -191,7 +194,7 @@ leads AS (SELECT p.account_id, coalesce(max(CASE WHEN to_npa BETWEEN 1 AND 4 AND
 
 @query("wn15_sustained_lead", f"WITH {LEAD_SQL} SELECT account_id, lead FROM leads")
 def sustained_lead(t: Tables):
-    return leads.sustained_lead(t.panel(), FLAGGED, 4)
+    return leads.sustained_lead(t.panel(), flagged(), 4)
 
 
 @query("wn16_lead_before_delinquency", """
@@ -199,7 +202,7 @@ SELECT account_id, min(CASE WHEN dpd > 0 THEN period END) AS first_late, min(CAS
  min(CASE WHEN dpd > 0 THEN period END) - min(CASE WHEN decision_score >= 0.28 THEN period END) AS lead
 FROM panel GROUP BY 1 HAVING max(CASE WHEN to_npa BETWEEN 1 AND 4 THEN 1 ELSE 0 END) = 1""")
 def lead_before_delinquency(t: Tables):
-    return leads.lead_before_delinquency(t.panel(), FLAGGED, 4)
+    return leads.lead_before_delinquency(t.panel(), flagged(), 4)
 
 
 BASE_SQL = """base AS (SELECT account_id, coalesce(median(CASE WHEN to_npa > 8 THEN inflow END),
@@ -349,7 +352,7 @@ SELECT count(*) AS n, median(lead)::DOUBLE AS median_lead, round(avg(lead), 6) A
  round(avg(CASE WHEN lead >= 2 THEN 1 ELSE 0 END), 6) AS share_early, round(avg(CASE WHEN lead = 0 THEN 1 ELSE 0 END), 6) AS share_never FROM f""")
 def median_first_warning(t: Tables):
     failing = t.panel().where(F.col("npa_period").isNotNull())
-    out = leads.warning_census(leads.sustained_lead(failing, FLAGGED, 4), 2)
+    out = leads.warning_census(leads.sustained_lead(failing, flagged(), 4), 2)
     return out.select("n", "median_lead", *[F.round(c, 6).alias(c) for c in ("mean_lead", "share_early", "share_never")])
 
 
@@ -359,7 +362,7 @@ SELECT bucket, count(lead) AS n, round(count(lead) / (SELECT count(*) FROM f), 6
 FROM (VALUES ('1-2', 1, 2), ('3-3', 3, 3), ('4-4', 4, 4)) v(bucket, lo, hi) LEFT JOIN f ON lead BETWEEN lo AND hi GROUP BY 1""")
 def leads_by_bucket(t: Tables):
     failing = t.panel().where(F.col("npa_period").isNotNull())
-    out = leads.leads_by_bucket(leads.sustained_lead(failing, FLAGGED, 4), [(1, 2), (3, 3), (4, 4)])
+    out = leads.leads_by_bucket(leads.sustained_lead(failing, flagged(), 4), [(1, 2), (3, 3), (4, 4)])
     return out.withColumn("share", F.round("share", 6))
 
 

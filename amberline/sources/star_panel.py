@@ -84,9 +84,7 @@ def dense_conduct(spark: SparkSession, sf_dir: str) -> DataFrame:
         "period", F.explode(F.sequence(F.lit(0), F.lit(PERIODS - 1))))
     at = F.element_at("by_period", F.col("period"))
     zero = {"txn_count": F.lit(0).cast("bigint"), "bounce": F.lit(0)}
-    for m in measures:
-        grid = grid.withColumn(m, F.coalesce(at[m], zero.get(m, F.lit(0.0))))
-    return grid.drop("by_period")
+    return grid.withColumns({m: F.coalesce(at[m], zero.get(m, F.lit(0.0))) for m in measures}).drop("by_period")
 
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,20 +98,16 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("npa_period", F.min(F.when(F.col("idle") >= IDLE_AT_NPA, F.col("period"))).over(account))
         .where(F.col("npa_period").isNull() | (F.col("period") < F.col("npa_period")))
     )
-    to_npa = F.coalesce(F.col("npa_period") - F.col("period"), F.lit(-1))
-    return (
-        rows
-        .withColumn("dpd", (9 * F.col("idle")).cast("double"))
-        .withColumn("to_npa", to_npa)
-        .withColumn("went_bad", F.col("to_npa").between(1, HORIZON).cast("int"))
-        .withColumn("labelable", (F.col("period") <= PERIODS - 1 - HORIZON).cast("int"))
-        .withColumn("pd", F.col("idle").cast("double") / (F.col("idle") + 6))
-        .withColumn("decision_score", F.round(F.avg("pd").over(by_period.rowsBetween(-3, 0)), 6))
-        .withColumn("vintage_months", F.col("vintage_0") + 3 * F.col("period"))
-        .withColumn("utilisation", F.col("demanded") / (F.col("demanded") + 150000.0))
-        .withColumn("fine_score", F.round(0.8 * F.col("decision_score") + 0.2 * (1 - F.col("utilisation")), 6))
-        .drop("vintage_0")
-    )
+    idle, period, demanded = F.col("idle"), F.col("period"), F.col("demanded")
+    rows = rows.withColumns({
+        "dpd": (9 * idle).cast("double"), "to_npa": F.coalesce(F.col("npa_period") - period, F.lit(-1)),
+        "labelable": (period <= PERIODS - 1 - HORIZON).cast("int"), "pd": idle.cast("double") / (idle + 6),
+        "vintage_months": F.col("vintage_0") + 3 * period, "utilisation": demanded / (demanded + 150000.0)})
+    rows = rows.withColumns({
+        "went_bad": F.col("to_npa").between(1, HORIZON).cast("int"),
+        "decision_score": F.round(F.avg("pd").over(by_period.rowsBetween(-3, 0)), 6)})
+    return rows.withColumn(
+        "fine_score", F.round(0.8 * F.col("decision_score") + 0.2 * (1 - F.col("utilisation")), 6)).drop("vintage_0")
 
 
 # The same panel for the SQL check.
