@@ -31,13 +31,11 @@ def sustained_lead(df: DataFrame, flagged: Column, horizon: int = 12) -> DataFra
     The run breaks at the smallest ``to_npa`` of an unflagged row; the lead is
     the largest ``to_npa`` below that.
     """
-    near = df.where(F.col("to_npa") <= horizon).withColumn("_on", F.coalesce(flagged, F.lit(False)))
-    broken = F.min(F.when(~F.col("_on"), F.col("to_npa"))).over(by_account())
+    on = F.coalesce(flagged, F.lit(False))
+    broken = F.min(F.when(~F.col("_on") & (F.col("to_npa") <= horizon), F.col("to_npa"))).over(by_account())
     inside = F.col("to_npa").between(1, horizon) & (F.col("to_npa") < F.coalesce(F.col("_break"), F.lit(horizon + 1)))
-    leads = near.withColumn("_break", broken).groupBy("account_id").agg(
+    return df.withColumn("_on", on).withColumn("_break", broken).groupBy("account_id").agg(
         F.coalesce(F.max(F.when(inside, F.col("to_npa"))), F.lit(0)).alias("lead"))
-    return df.select("account_id").distinct().join(leads, "account_id", "left").select(
-        "account_id", F.coalesce("lead", F.lit(0)).alias("lead"))
 
 
 def lead_before_delinquency(df: DataFrame, flagged: Column, horizon: int = 12) -> DataFrame:
@@ -85,14 +83,15 @@ def sustained_signal_leads(df: DataFrame, rule: Rule, slide: int = 18, sustain:
     """
     rows = _window_rows(df, rule, slide)
     offsets = rows.agg(F.array_sort(F.collect_set("to_npa"))).scalar()
-    fired = rows.where("_fired").withColumn("_pos", F.array_position(offsets, F.col("to_npa")))
+    fired = F.col("_fired")
     by_pos = W.partitionBy("account_id").orderBy("_pos")
-    runs = fired.withColumn("_island", F.col("_pos") - F.row_number().over(by_pos)).withColumn(
-        "_run", F.row_number().over(W.partitionBy("account_id", "_island").orderBy("_pos")))
-    held = F.col("_run") >= F.least(F.col("_pos"), F.lit(sustain))
-    hits = runs.where(held).groupBy("account_id").agg(F.max("to_npa").alias("lead"))
-    return rows.select("account_id").distinct().join(hits, "account_id", "left").select(
-        "account_id", F.coalesce("lead", F.lit(0)).alias("lead"))
+    # positions minus the fired rows so far is constant inside an unbroken run
+    rows = rows.withColumn("_pos", F.array_position(offsets, F.col("to_npa"))).withColumn(
+        "_island", F.when(fired, F.col("_pos") - F.sum(fired.cast("int")).over(by_pos)))
+    run = F.row_number().over(W.partitionBy("account_id", "_island").orderBy("_pos"))
+    held = fired & (F.col("_run") >= F.least(F.col("_pos"), F.lit(sustain)))
+    return rows.withColumn("_run", run).groupBy("account_id").agg(
+        F.coalesce(F.max(F.when(held, F.col("to_npa"))), F.lit(0)).alias("lead"))
 
 
 def first_warning(df: DataFrame, rules: list[Rule], slide: int = 18, sustain: int = 3) -> DataFrame:

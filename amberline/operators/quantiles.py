@@ -27,6 +27,7 @@ def with_rank_range(counts: DataFrame, value: str, groups: tuple[str, ...] = (),
         F.sum(n).alias("_m"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     outer = outer.select(*keys, "_slot", "_lo", "_hi", _running_before("_m", keys, "_slot").alias("_outer"),
                          F.sum("_m").over(W.partitionBy(*keys)).alias("total"))
+    outer = materialise(outer, "slots")  # at most ``slots`` rows per group: joined by broadcast as its size shows
     split = slotted.join(outer, [*keys, "_slot"]).withColumn(
         "_sub", _slot(F.col(value), F.col("_lo"), F.col("_hi"), slots))
     inner = split.groupBy(*keys, "_slot", "_sub").agg(F.sum(n).alias("_m")).select(

@@ -14,6 +14,7 @@ from amberline.operators.aggregates import rates_by_band, with_interval
 from amberline.operators.histogram import cumulative, score_histogram, two_grains
 from amberline.operators.quantiles import quantiles_of_ranked
 from amberline.operators.scalars import one_value
+from amberline.session import materialise
 
 TIE_HEX = 4  # 65,536 tie buckets inside one score
 
@@ -44,16 +45,18 @@ def slice_totals(df: DataFrame, slice_of: Callable[[Column, Column], Column], ke
 
     scores = rows.groupBy(*g, "score").agg(F.count("*").alias("n"), F.sum("_y").alias("bad"))
     scores = scores.withColumn("_total", F.sum("n").over(W.partitionBy(*(g or [F.lit(0)]))))
-    scores = placed(scores, g, order("score"), F.lit(0))
-    split = scores.where(F.col("_first") != F.col("_last")).select(
-        *g, "score", F.col("_before").alias("_offset"), "_total")
+    # the histogram and the boundary cells are small tables of known size: Spark
+    # broadcasts them by their file size instead of shuffling the rows
+    scores = materialise(placed(scores, g, order("score"), F.lit(0)), "score-cells")
+    split = materialise(scores.where(F.col("_first") != F.col("_last")).select(
+        *g, "score", F.col("_before").alias("_offset"), "_total"), "split-scores")
 
     tied = rows.join(split, [*g, "score"])
     buckets = tied.groupBy(*g, "score", "_bucket", "_offset", "_total").agg(
         F.count("*").alias("n"), F.sum("_y").alias("bad"))
-    buckets = placed(buckets, [*g, "score"], F.col("_bucket"), F.col("_offset"))
-    open_buckets = buckets.where(F.col("_first") != F.col("_last")).select(
-        *g, "score", "_bucket", F.col("_before").alias("_at"), "_total")
+    buckets = materialise(placed(buckets, [*g, "score"], F.col("_bucket"), F.col("_offset")), "tie-cells")
+    open_buckets = materialise(buckets.where(F.col("_first") != F.col("_last")).select(
+        *g, "score", "_bucket", F.col("_before").alias("_at"), "_total"), "split-ties")
 
     numbered = rows.join(open_buckets, [*g, "score", "_bucket"]).withColumn(
         "_rank", F.col("_at") + F.row_number().over(W.partitionBy(*g, "score", "_bucket").orderBy("_tie")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amberline.functions.hashing import key_hash, unit_mod
+from amberline.session import materialise
 
 CELL_HEX = 4  # 65,536 cells of hash values per group
 
@@ -46,6 +47,7 @@ def take_by_hash(df: DataFrame, take: DataFrame, groups: tuple[str, ...], key: t
     cells = cells.withColumn("_before", F.sum("_n").over(W.partitionBy(*(g or [F.lit(0)])).orderBy("_cell")) - F.col("_n"))
     used = cells.where(F.col("_before") < F.col("take")).select(
         *g, "_cell", F.when(F.col("_before") + F.col("_n") > F.col("take"), F.col("take") - F.col("_before")).alias("_left"))
+    used = materialise(used, "hash-cells")  # of known size, so Spark can broadcast it rather than shuffle the rows
     candidates = rows.join(used, [*g, "_cell"])
     whole = candidates.where(F.col("_left").isNull())
     cut = candidates.where(F.col("_left").isNotNull()).withColumn(

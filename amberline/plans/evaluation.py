@@ -204,10 +204,9 @@ def cox_calibration(t: Tables):
     return calibration.cox_calibration(t.eligible(), "fine_score")
 
 
-# Expected rows: periods 0-7; compared rows: periods 15-22.
-
 
 def windows():
+    """Expected rows: periods 0-7; compared rows: periods 15-22."""
     return F.when(F.col("period") < 8, F.lit(True)).when(F.col("period") >= 15, F.lit(False))
 
 

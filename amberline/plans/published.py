@@ -12,14 +12,13 @@ from amberline.plans.timeseries import flagged, LEAD_SQL
 from amberline.operators.leads import sustained_lead
 from amberline.sources import documents
 
-# Contributions of a transparent score: distance of each signal from its calm level.
-
 
 def contributions():
+    """Contributions of a transparent score: distance of each signal from its calm level."""
     return {
-    "dpd": F.col("dpd") / 90, "utilisation": F.col("utilisation") - 0.7, "collection_ratio": 0.97 - F.col("collection_ratio"),
-    "bureau_score": (650 - F.col("bureau_score")) / 1000.0, "vintage_months": (12 - F.col("vintage_months")) / 48.0,
-}
+        "dpd": F.col("dpd") / 90, "utilisation": F.col("utilisation") - 0.7, "collection_ratio": 0.97 - F.col("collection_ratio"),
+        "bureau_score": (650 - F.col("bureau_score")) / 1000.0, "vintage_months": (12 - F.col("vintage_months")) / 48.0,
+    }
 
 
 def _with_ratio(df):
