@@ -63,17 +63,18 @@ def auc_interval(df: DataFrame, score: str, replicates: int, groups: tuple[str,
     return interval(rank_metrics(hist, ("replicate", *groups)), "auc", groups=groups)
 
 
-def paired_delta_interval(df: DataFrame, base: str, other: str, replicates: int, **kw) -> DataFrame:
-    """Intervals of AUC(other) - AUC(base) and the Brier difference on the same draws."""
-    hist = replicate_histograms(df, (base, other), replicates, **kw)
-    stats = rank_metrics(hist, ("replicate", "model")).join(brier(hist, ("replicate", "model")), ["replicate", "model"])
+def paired_delta_intervals(df: DataFrame, base: str, others: tuple[str, ...], replicates: int, **kw) -> DataFrame:
+    """Intervals of AUC and Brier of each other score minus the base, on the same draws."""
+    hist = replicate_histograms(df, (base, *others), replicates, **kw)
+    stats = rank_metrics(hist, ("replicate", "model")).join(brier(hist, ("replicate", "model")), ["replicate", "model"]) \
+        .select("replicate", "model", "auc", "brier").unpivot(["replicate", "model"], ["auc", "brier"], "metric", "value")
+    of_base = stats.where(F.col("model") == base).select("replicate", "metric", F.col("value").alias("_base"))
+    deltas = stats.where(F.col("model") != base).join(of_base, ["replicate", "metric"]).withColumn("delta", F.col("value") - F.col("_base"))
+    return interval(deltas, "delta", groups=("model", "metric"))
 
-    def side(model: str, metric: str) -> Column:
-        return F.max(F.when(F.col("model") == model, F.col(metric)))
 
-    deltas = stats.groupBy("replicate").agg(*[
-        (side(other, m) - side(base, m)).alias(m) for m in ("auc", "brier")]).unpivot("replicate", ["auc", "brier"], "metric", "delta")
-    return interval(deltas, "delta", groups=("metric",))
+def paired_delta_interval(df: DataFrame, base: str, other: str, replicates: int, **kw) -> DataFrame:
+    return paired_delta_intervals(df, base, (other,), replicates, **kw).drop("model")
 
 
 def ratio_interval(df: DataFrame, score: str, split: str, top: str, bottom: str, replicates: int, **kw) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from amberline.operators import bootstrap, calibration, drift, fairness, histogram, ranking
+from amberline.operators import bootstrap, calibration, drift, fairness, histogram, ranking, scorecard
 from amberline.operators.aggregates import rates_by_band
 from amberline.plans.registry import Tables, query
 from amberline.plans.scalar import WILSON_HIGH_SQL, WILSON_SQL
@@ -367,9 +367,8 @@ WITH r AS (SELECT portfolio, fine_score AS score, went_bad AS y FROM eligible),
 ctl AS (SELECT min(auc) AS lo, max(auc) AS hi FROM m WHERE g IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD'))
 SELECT g AS regime, round(auc - (lo + hi) / 2, 6) AS delta, auc < lo OR auc > hi AS outside FROM m, ctl WHERE g NOT IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD')""")
 def regime_delta(t: Tables):
-    from amberline.operators.scorecard import regime_delta as compare
     m = histogram.rank_metrics(histogram.score_histogram(t.eligible(), "fine_score", groups=("portfolio",)), ("portfolio",))
-    return _rounded(compare(m.withColumnRenamed("portfolio", "regime"), "auc", ("BUILDING", "FURNITURE", "HOUSEHOLD")), 6, "delta")
+    return _rounded(scorecard.regime_delta(m.withColumnRenamed("portfolio", "regime"), "auc", ("BUILDING", "FURNITURE", "HOUSEHOLD")), 6, "delta")
 
 
 SCORECARD_COST = """sum(CASE WHEN band = 'green' THEN went_bad * loss WHEN band = 'amber' THEN 1500 + (1 - went_bad) * 0.02 * 0.1275 * sanctioned + went_bad * loss * 0.9
@@ -383,7 +382,6 @@ s AS (SELECT count(*) AS n, count(*) FILTER (went_bad = 1 AND band = 'red') / co
  count(*) FILTER (band <> 'green') / count(*) AS fl, avg((decision_score - went_bad) * (decision_score - went_bad)) AS br, {SCORECARD_COST} AS c FROM b)
 SELECT s.n, round(auc, 6) AS auc, round(br, 6) AS brier, round(p, 6) AS red_precision, round(miss, 6) AS missed_share, round(fl, 6) AS flagged_share, round(c, 1) AS cost_per_account FROM s, m""")
 def snapshot_scorecard(t: Tables):
-    from amberline.operators.scorecard import snapshot_scorecard as card
-    out = card(t.book().withColumn("ead", F.col("sanctioned")), 0.28, 0.40)
+    out = scorecard.snapshot_scorecard(t.book().withColumn("ead", F.col("sanctioned")), 0.28, 0.40)
     digits = {"cost_per_account": 1, "n": 0}
     return out.select(*[F.round(c, digits.get(c, 6)).alias(c) if c != "n" else F.col(c) for c in out.columns])

@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from amberline.functions import reasons
 from amberline.operators import bootstrap, calibration, company, drift, histogram, model, splits
+from amberline.operators.quality import null_share
 from amberline.plans.files import RATIOS, _events, _years
 from amberline.plans.registry import Tables, query
 from amberline.session import materialise, work_dir
@@ -40,8 +42,6 @@ def _metrics(df, name: str, column: str):
 @query("ml01_assemble_features", """
 SELECT account_id, period, 18 AS inputs, CASE WHEN bureau_score IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS bureau_missing FROM eligible""")
 def assemble_features(t: Tables):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
     rows = model.with_missing_flags(_rows(t), NUMERIC)
     out = Pipeline(stages=model.assembler(NUMERIC, CATEGORICAL)).fit(rows).transform(rows)
     return out.select("account_id", "period", F.size(vector_to_array("features")).alias("inputs"), F.col("bureau_score_missing").alias("bureau_missing"))
@@ -124,12 +124,11 @@ def family_ablation(t: Tables):
     train, test = _sides(t)
     variants = {"full": NUMERIC} | {f"no_{f}": [c for c in NUMERIC if c not in cols] for f, cols in FAMILIES.items()}
     scored = model.compare_fits(train, test, variants)
-    worst = bootstrap.paired_delta_interval(scored, "p_full", "p_no_repayment", 20).where(F.col("metric") == "auc")
-    span = worst.agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
-    out = model.variant_aucs(scored, list(variants)).withColumn("_s", span)
-    mine = F.col("variant") == "no_repayment"
-    return out.select("variant", F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"),
-                      F.when(mine, F.round("_s.lo", 6)).alias("delta_lo"), F.when(mine, F.round("_s.hi", 6)).alias("delta_hi"))
+    others = tuple(f"p_{v}" for v in variants if v != "full")
+    spans = bootstrap.paired_delta_intervals(scored, "p_full", others, 20).where(F.col("metric") == "auc").select(
+        F.expr("substr(model, 3)").alias("variant"), F.round("lo", 6).alias("delta_lo"), F.round("hi", 6).alias("delta_hi"))
+    out = model.variant_aucs(scored, list(variants)).join(spans, "variant", "left")
+    return out.select("variant", F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"), "delta_lo", "delta_hi")
 
 
 @query("ml10_stress_tests")
@@ -186,7 +185,6 @@ WITH c AS (SELECT unnest(['dpd', 'utilisation', 'txn_count', 'inflow', 'bureau_s
 SELECT "column", round(1 - n / total, 6) AS null_share, CASE "column" WHEN 'dpd' THEN 'repayment' WHEN 'utilisation' THEN 'utilisation' WHEN 'txn_count' THEN 'cash_flow' WHEN 'inflow' THEN 'cash_flow' WHEN 'bureau_score' THEN 'bureau'
  WHEN 'region' THEN 'profile' END AS family, "column" = 'sanctioned' AS orphan FROM c""")
 def availability_manifest(t: Tables):
-    from amberline.operators.quality import null_share
     shares = null_share(t.eligible(), ("dpd", "utilisation", "txn_count", "inflow", "bureau_score", "sanctioned", "region"))
     return model.availability(shares).select("column", F.round("share", 6).alias("null_share"), "family", "orphan")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from amberline.functions import display, reasons
 from amberline.operators import book, gates, graph, joins, provenance
+from amberline.operators.leads import sustained_lead
 from amberline.plans.registry import Tables, query
 from amberline.plans.summaries import _rounded
-from amberline.plans.timeseries import flagged, LEAD_SQL
-from amberline.operators.leads import sustained_lead
+from amberline.plans.timeseries import LEAD_SQL, flagged
+from amberline.session import work_dir
 from amberline.sources import documents
 
 
@@ -177,9 +181,6 @@ WITH {REASON_SQL.format(source='book')} SELECT account_id, decision_score, CASE
  CASE WHEN account_id % 5 = 0 THEN 'FIXTURE' ELSE 'SIMULATED' END AS identity FROM why""")
 def scored_book(t: Tables):
     """Writes the nested documents and reads them back."""
-    from amberline.session import work_dir
-    import os
-    import uuid
     rows = _reasons(_with_ratio(t.book())).withColumn("pd", F.when(F.col("account_id") % 9 == 0, float("nan")).otherwise(F.round("pd", 6)))
     source = F.when(F.col("account_id") % 5 == 0, "FIXTURE").otherwise("SIMULATED")
     rows = rows.withColumn("identity_source", source).withColumn("model_source", provenance.weakest(source, F.lit("SIMULATED")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amberline.config import CostParams
-from amberline.operators import aggregates, fingerprint, joins, labels, masks, quality
+from amberline.operators import aggregates, fingerprint, joins, labels, masks, quality, scorecard
 from amberline.operators.quantiles import edges_scalar, exact_quantiles, right_closed_bin
+from amberline.operators.windows import contiguity_violations
 from amberline.plans.registry import Tables, query
 from amberline.plans.scalar import WILSON_HIGH_SQL, WILSON_SQL
 from amberline.plans.timeseries import WO, _dense, _signals
@@ -182,12 +183,14 @@ WITH o AS (SELECT count(*) AS n, count(*) FILTER (to_npa BETWEEN 1 AND 3) AS bad
  count(*) FILTER (band = 'red') AS red, count(*) FILTER (band = 'red' AND to_npa BETWEEN 1 AND 3) AS red_bad,
  count(*) FILTER ((band = 'red') = (to_npa BETWEEN 1 AND 3)) AS correct, count(*) FILTER (band = 'green' AND to_npa BETWEEN 1 AND 3) AS missed,
  count(*) FILTER (band <> 'green') AS flagged FROM book),
-m AS (SELECT 'red_precision' AS metric, red_bad::DOUBLE AS k, red::DOUBLE AS n FROM o UNION ALL SELECT 'raw_accuracy', correct, n FROM o
+rk AS (SELECT to_npa BETWEEN 1 AND 3 AS y, row_number() OVER (ORDER BY decision_score DESC, md5(account_id::VARCHAR || '|' || period::VARCHAR)) AS r, count(*) OVER () AS t FROM book),
+m AS (SELECT 'recall_at_budget' AS metric, count(*) FILTER (y AND r <= greatest(round_even(t * 0.1, 0), 1))::DOUBLE AS k, count(*) FILTER (y)::DOUBLE AS n FROM rk UNION ALL SELECT 'red_precision' AS metric, red_bad::DOUBLE AS k, red::DOUBLE AS n FROM o UNION ALL SELECT 'raw_accuracy', correct, n FROM o
  UNION ALL SELECT 'base_rate', bad, n FROM o UNION ALL SELECT 'base_rate_long', long_bad, n FROM o UNION ALL SELECT 'missed_share', missed, bad FROM o
  UNION ALL SELECT 'flagged_share', flagged, n FROM o UNION ALL SELECT 'flag_nobody', n - bad, n FROM o)
 SELECT metric, k::BIGINT AS k, n::BIGINT AS n, round(k / n, 6) AS rate, round({WILSON_SQL}, 6) AS ci_lo, round({WILSON_HIGH_SQL}, 6) AS ci_hi FROM m""")
 def honest_metrics(t: Tables):
-    return _rounded(aggregates.honest_metrics(t.book(), 3, 4), 6, "rate", "ci_lo", "ci_hi")
+    book = t.stored(t.book(), *KEY, "band", "to_npa", "decision_score")
+    return _rounded(scorecard.honest_block(book, 3, 4, KEY), 6, "rate", "ci_lo", "ci_hi")
 
 
 @query("ag06_portfolio_summary", """
@@ -438,7 +441,6 @@ SELECT 'periods_not_contiguous', 0, true""")
 def quality_report(t: Tables):
     surplus = quality.duplicate_keys(t.panel(), *KEY).agg(
         F.lit("duplicate_account_period").alias("check"), F.coalesce(F.sum("surplus"), F.lit(0)).alias("violations"))
-    from amberline.operators.windows import contiguity_violations
     holes = contiguity_violations(t.panel()).agg(
         F.lit("periods_not_contiguous").alias("check"), F.count("*").alias("violations"))
     return quality.quality_report(_impossible(t), surplus, holes)

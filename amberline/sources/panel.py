@@ -65,11 +65,13 @@ def read_accounts(spark: SparkSession, path: str, fmt: str = "parquet", schema:
 
 
 def write_panel(df: DataFrame, path: str, fmt: str = "parquet", partition: str = "month_idx") -> None:
-    """Write partitioned by month; rows are gathered per month first so a month is few files.
+    """Write partitioned by month.
 
-    An absent number becomes an empty CSV cell.
+    Rows are rebalanced by month first: a month becomes a few files of the
+    advisory partition size, however many rows it has. An absent number becomes
+    an empty CSV cell.
     """
-    writer = df.repartition(partition, F.pmod(F.xxhash64("account_id"), F.lit(16))).write.mode("overwrite").partitionBy(partition)
+    writer = df.hint("rebalance", F.col(partition)).write.mode("overwrite").partitionBy(partition)
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
     else:
