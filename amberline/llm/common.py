@@ -5,18 +5,23 @@ Rules every operator here keeps:
 * a null text (or html) counts as the empty text;
 * an operator picks the columns it needs under its own names first, so further
   columns of the input, whatever their names, neither clash nor get lost in
-  :func:`keep_only`;
+  :func:`drop_ids`;
 * a row without an id gets its own result row with a null id and is never
   linked with another row by its id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+OUT_ROWS = 5_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +44,17 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
-def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The non-empty batches."""
-    return (f for f in frames if len(f))
+def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``run`` over each partition's rows, as plain tuples both ways and Arrow batches on the wire.
+
+    Integers stay integers beside nulls, and a task holds one batch in and one batch out.
+    """
+    spark_schema = StructType.fromDDL(schema)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(spark_schema)
+        rows = run(row for batch in found for row in zip(*(c.to_pylist() for c in batch.columns)))
+        while block := list(itertools.islice(rows, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), arrow)], schema=arrow)
+
+    return df.mapInArrow(batches, schema)
