@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import exact_dedup, packing
+from amberline.llm import exact_dedup, lexicon, packing
 from amberline.llm.common import read, sha256
 
 
@@ -19,6 +19,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), carry={"text_sha256": sha256("text")})
 
 
+def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 SQL = {
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
