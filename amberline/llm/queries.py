@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import exact_dedup, html_extract, lexicon, packing, toxicity
+from amberline.llm import exact_dedup, html_extract, lexicon, minhash_join, packing, toxicity
 from amberline.llm.common import read, sha256
 
 
@@ -32,6 +32,11 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_join.classes(read(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 SQL = {
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
