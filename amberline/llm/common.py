@@ -44,12 +44,12 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
-def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str | StructType) -> DataFrame:
     """``run`` over each partition's rows, as plain tuples both ways and Arrow batches on the wire.
 
     Integers stay integers beside nulls, and a task holds one batch in and one batch out.
     """
-    spark_schema = StructType.fromDDL(schema)
+    spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(spark_schema)
