@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import exact_dedup, html_extract, lexicon, minhash_join, packing, pii, toxicity
+from amberline.llm import exact_dedup, html_extract, lexicon, minhash_join, packing, pii, syncmers, toxicity
 from amberline.llm.common import read, sha256
 
 
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 

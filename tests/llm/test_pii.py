@@ -84,7 +84,6 @@ def test_windows_are_reconciled_over_a_long_text(tagger):
     text = "".join(f"{filler[:n]} {span} " for n in range(0, 110, 3))
     found = [text[s:e] for s, _, e in next(pii.all_spans([text], tagger))[1]]
     assert len(found) >= 0.8 * text.count(span) and sum(f == span for f in found) >= 0.5 * text.count(span)
-    assert all("mail7 dot example" in f for f in found)
 
 
 def test_odd_rows_and_redaction(spark, tagger):
