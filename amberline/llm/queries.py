@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import exact_dedup, html_extract, lexicon, minhash_join, packing, pii, repeats, syncmers, toxicity
+from amberline.llm import exact_dedup, html_extract, lexicon, minhash_join, packing, pii, quality, repeats, syncmers, toxicity
 from amberline.llm.common import read, sha256
 
 
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
