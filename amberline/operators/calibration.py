@@ -82,13 +82,24 @@ def served_calibration(df: DataFrame, raw: str, calibrated: str, outcome: str =
     return parts[0].unionByName(parts[1])
 
 
-def high_risk_cell(df: DataFrame, band: str = "red", reference: int | None = None) -> DataFrame:
-    """The band's own calibration point over all rows and at the reference period."""
+MIN_INFORMATIVE = 30  # fixed value: rows of a cell worth reading
+
+
+def high_risk_cell(df: DataFrame, band: str = "red", reference: int | None = None, action: int = 8, informative: int = MIN_INFORMATIVE) -> DataFrame:
+    """The band's own calibration point over all rows and at the reference period.
+
+    The pooled row counts the label, the snapshot row those that reach NPA within the
+    ``action`` window. Both rows are always there, with n = 0 and no prediction for an
+    empty cell; a cell of fewer than ``informative`` rows is flagged.
+    """
     at = F.col("period") == reference if reference is not None else F.lit(False)
-    cells = df.where(F.col("band") == band).withColumn(
-        "scope", F.explode(F.when(at, F.array(F.lit("pooled"), F.lit("snapshot"))).otherwise(F.array(F.lit("pooled")))))
-    return with_interval(cells.groupBy("scope").agg(
-        F.count("*").alias("n"), F.sum("went_bad").alias("k"), F.avg("decision_score").alias("predicted")))
+    scopes = F.array(F.struct(F.lit("pooled").alias("scope"), F.lit(True).alias("holds"), F.col("went_bad").alias("bad")),
+                     F.struct(F.lit("snapshot").alias("scope"), at.alias("holds"), F.col("to_npa").between(1, action).cast("int").alias("bad")))
+    rows = df.where(F.col("band") == band).select("decision_score", F.explode(scopes).alias("s")).where("s.holds")
+    found = rows.groupBy("s.scope").agg(F.count("*").alias("n"), F.sum("s.bad").alias("k"), F.avg("decision_score").alias("predicted"))
+    both = df.sparkSession.createDataFrame([("pooled",), ("snapshot",)], "scope string").join(found, "scope", "left")
+    both = both.withColumns({"n": F.coalesce("n", F.lit(0)), "k": F.coalesce("k", F.lit(0))})
+    return with_interval(both).withColumn("informative", F.col("n") >= informative)
 
 
 def cox_calibration(df: DataFrame, score: str = "decision_score", outcome: str = "went_bad",

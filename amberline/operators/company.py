@@ -11,9 +11,14 @@ MEASURES = {"income": "Total Income", "networth": "Net worth", "pat": "PAT", "bo
             "cover_given": "Interest cover (times)", "leverage_given": "Debt to equity ratio (times)"}  # fixed values: source column names
 
 # fixed values: two-digit industry codes
-INDUSTRY = {"01": "Agriculture", "10": "Food products", "13": "Textiles", "14": "Apparel", "20": "Chemicals", "21": "Pharmaceuticals",
-            "22": "Rubber & plastics", "24": "Basic metals", "25": "Fabricated metal", "27": "Electrical equipment", "28": "Machinery",
-            "41": "Construction", "46": "Wholesale trade", "47": "Retail trade", "62": "IT services"}
+INDUSTRY = {
+    "01": "Agriculture", "05": "Mining", "10": "Food products", "11": "Beverages", "13": "Textiles", "14": "Apparel", "15": "Leather",
+    "16": "Wood products", "17": "Paper", "18": "Printing", "20": "Chemicals", "21": "Pharmaceuticals", "22": "Rubber & plastics",
+    "23": "Cement & minerals", "24": "Basic metals", "25": "Fabricated metal", "26": "Electronics", "27": "Electrical equipment",
+    "28": "Machinery", "29": "Auto & parts", "30": "Other transport eqpt", "31": "Furniture", "32": "Other manufacturing", "35": "Power",
+    "41": "Construction", "42": "Civil engineering", "43": "Specialised construction", "45": "Auto trade", "46": "Wholesale trade",
+    "47": "Retail trade", "49": "Land transport", "52": "Warehousing", "55": "Hotels", "56": "Restaurants", "62": "IT services",
+    "64": "Finance", "68": "Real estate", "71": "Engineering services", "72": "R&D", "82": "Business support"}
 
 
 def first_default_year(events: DataFrame) -> DataFrame:

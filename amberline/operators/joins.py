@@ -45,8 +45,9 @@ def levels_missing_from(train: DataFrame, test: DataFrame, column: str) -> DataF
 
 
 def hold_between_refreshes(df: DataFrame, value: str, refreshed: Column, name: str | None = None) -> DataFrame:
-    """Value as of the account's last refresh (as-of join within the account)."""
-    held = F.last(F.when(refreshed, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(by_period())
+    """Value as of the account's last refresh (as-of join within the account); its first value before any."""
+    now = F.struct(F.col(value).alias("v"))
+    held = F.coalesce(F.last(F.when(refreshed, now), ignorenulls=True).over(by_period()), F.first(now).over(by_period()))
     return df.withColumn(name or value, held["v"])
 
 

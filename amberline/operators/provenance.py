@@ -55,9 +55,11 @@ def account_provenance(accounts: DataFrame, fixture_ids: DataFrame, answered: Da
 
 
 def answered_ids(records: DataFrame, text: str = "record") -> DataFrame:
-    """Identifier values anywhere in nested JSON records."""
-    pattern = rf'"(?:{"|".join(ID_FIELDS)})"\s*:\s*"?([^",}}\]\s]+)"?'
-    ids = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("id")
+    """Identifier values anywhere in nested JSON records: whole strings and numbers; nulls and nested values are none."""
+    field = rf'"(?:{"|".join(ID_FIELDS)})"\s*:\s*'
+    strings = F.regexp_extract_all(F.col(text), F.lit(field + r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    numbers = F.regexp_extract_all(F.col(text), F.lit(field + r"(-?[0-9][0-9.eE+-]*)"), F.lit(1))
+    ids = F.explode(F.concat(strings, numbers)).alias("id")
     return records.select(ids).where(F.col("id") != "").distinct()
 
 

@@ -155,7 +155,8 @@ def trend_slope(df: DataFrame, reference: int, points: int = 6, min_history: int
                 min_slope: float = 0.002) -> DataFrame:
     """Least-squares slope of the last ``points`` scores up to the reference.
 
-    NULL when the history is too short or the trend is not rising.
+    NULL when the history is too short, one of the points has no score, or the trend is
+    not rising.
     """
     history = df.where(F.col("period") <= reference)
     last = W.partitionBy("account_id").orderBy(F.desc("period"))
@@ -165,9 +166,9 @@ def trend_slope(df: DataFrame, reference: int, points: int = 6, min_history: int
     spread = sum((i - centre) ** 2 for i in range(points))
     per = ranked.where(F.col("_age") < points).groupBy("account_id").agg(
         (F.sum((centre - F.col("_age")) * F.col("decision_score")) / spread).alias("slope"),
-        F.max_by("decision_score", "period").alias("score"), F.max("_n").alias("n_history"))
-    rising = (F.col("n_history") >= min_history) & (F.col("slope") > min_slope)
-    return per.withColumn("slope", F.when(rising, F.col("slope")))
+        F.max_by("decision_score", "period").alias("score"), F.max("_n").alias("n_history"), F.count("decision_score").alias("_scored"))
+    rising = (F.col("n_history") >= min_history) & (F.col("_scored") == points) & (F.col("slope") > min_slope)
+    return per.withColumn("slope", F.when(rising, F.col("slope"))).drop("_scored")
 
 
 def runway(trend: DataFrame, red: float, ceiling: float = 0.85, longest: int = 12) -> DataFrame:

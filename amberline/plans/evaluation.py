@@ -192,9 +192,11 @@ def served_calibration(t: Tables):
 
 
 @query("ev17_high_risk_cell", f"""
-WITH x AS (SELECT unnest(CASE WHEN period = 16 THEN ['pooled', 'snapshot'] ELSE ['pooled'] END) AS scope, went_bad, decision_score FROM eligible WHERE decision_score >= 0.4),
-c AS (SELECT scope, count(*)::DOUBLE AS n, sum(went_bad)::DOUBLE AS k, avg(decision_score) AS p FROM x GROUP BY 1)
-SELECT scope, n::BIGINT AS n, k::BIGINT AS k, round(p, 6) AS predicted, round(k / n, 6) AS rate, round({WILSON_SQL}, 6) AS ci_lo, round({WILSON_HIGH_SQL}, 6) AS ci_hi FROM c""")
+WITH x AS (SELECT 'pooled' AS scope, went_bad AS bad, decision_score FROM eligible WHERE decision_score >= 0.4 UNION ALL
+ SELECT 'snapshot', CASE WHEN to_npa BETWEEN 1 AND 8 THEN 1 ELSE 0 END, decision_score FROM eligible WHERE decision_score >= 0.4 AND period = 16),
+c AS (SELECT scope, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, avg(decision_score) AS p FROM (VALUES ('pooled'), ('snapshot')) s(scope) LEFT JOIN x USING (scope) GROUP BY 1)
+SELECT scope, n::BIGINT AS n, k::BIGINT AS k, round(p, 6) AS predicted, CASE WHEN n > 0 THEN round(k / n, 6) ELSE 0 END AS rate,
+ CASE WHEN n > 0 THEN round({WILSON_SQL}, 6) ELSE 0 END AS ci_lo, CASE WHEN n > 0 THEN round({WILSON_HIGH_SQL}, 6) ELSE 0 END AS ci_hi, n >= 30 AS informative FROM c""")
 def high_risk_cell(t: Tables):
     return _rounded(calibration.high_risk_cell(_banded(t), reference=16), 6, "predicted", "rate", "ci_lo", "ci_hi")
 

@@ -115,7 +115,6 @@ def event_month_counts(t: Tables):
     return company.event_month_counts(_events(t))
 
 
-YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 LONG_SQL = """base AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS year, sum(o_totalprice) AS inc FROM orders GROUP BY 1, 2),
 lg AS (SELECT printf('Customer#%09d', k) AS company, year, unnest(['Total Income', 'Net worth', 'PAT', 'Total borrowings including default', 'Interest expense', 'PBIT', 'Interest cover (times)']) AS measure,
  unnest([round(inc, 0), CASE WHEN (k + year) % 13 <> 0 THEN round(inc * ((k + year) % 5 - 1) / 4, 0) END, round(inc * ((k + 2 * year) % 6 - 1) / 20, 0), CASE WHEN (k + year) % 9 = 0 THEN 0 ELSE round(inc * ((k + year) % 7) / 5, 0) END,
@@ -143,16 +142,18 @@ def _long(t: Tables):
     """Writes the wide file (one column per year and measure) and reads it back to long form."""
     # blank: not supplied; '-': supplied but unreadable
     text = {m: F.coalesce(F.col(f"`{m}`").cast("decimal(18,0)").cast("string"), F.lit("" if m.startswith("Interest cover") else "-")) for m in MEASURE_NAMES}
+    span = t.read("orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    held = range(span[0], span[1] + 1) if span[0] is not None else ()
     cells = _base(t).select("k", "year", *[c.alias(m) for m, c in text.items()])
     wide = cells.groupBy("k").agg(*[F.max(F.when(F.col("year") == y, F.col(f"`{m}`"))).alias(f"c{i}_{j}")
-                                    for i, y in enumerate(YEARS) for j, m in enumerate(MEASURE_NAMES)])
-    columns = [f"c{i}_{j}" for i in range(len(YEARS)) for j in range(len(MEASURE_NAMES))]
+                                    for i, y in enumerate(held) for j, m in enumerate(MEASURE_NAMES)])
+    columns = [f"c{i}_{j}" for i in range(len(held)) for j in range(len(MEASURE_NAMES))]
     body = wide.select(F.format_string("Customer#%09d", "k").alias("company"), *columns)
     path = _folder(t, "financials")
     body.write.csv(path, emptyValue="", nullValue="")
     read = t.spark.read.schema(", ".join(f"`{c}` string" for c in ["company", *columns])).csv(path)
-    years = [None, *[y for y in YEARS for _ in MEASURE_NAMES]]
-    return company_files.financials_to_long(read, years, ["Company Name", *[m for _ in YEARS for m in MEASURE_NAMES]])
+    years = [None, *[y for y in held for _ in MEASURE_NAMES]]
+    return company_files.financials_to_long(read, years, ["Company Name", *[m for _ in held for m in MEASURE_NAMES]])
 
 
 @query("io06_wide_financials_to_long", f"WITH {LONG_SQL} SELECT company, year, measure, value + 0 AS value FROM long")
@@ -180,11 +181,12 @@ def financial_ratios(t: Tables):
     return _rounded(company.financial_ratios(_years(t)), 6, *RATIOS).select("company", "year", *RATIOS)
 
 
-@query("pr22_industry_label", """
-SELECT p_partkey, CASE p_size % 50 WHEN 1 THEN 'Agriculture' WHEN 10 THEN 'Food products' WHEN 13 THEN 'Textiles' WHEN 14 THEN 'Apparel' WHEN 20 THEN 'Chemicals' WHEN 21 THEN 'Pharmaceuticals' WHEN 22 THEN 'Rubber & plastics'
- WHEN 24 THEN 'Basic metals' WHEN 25 THEN 'Fabricated metal' WHEN 27 THEN 'Electrical equipment' WHEN 28 THEN 'Machinery' WHEN 41 THEN 'Construction' WHEN 46 THEN 'Wholesale trade' WHEN 47 THEN 'Retail trade' ELSE 'Other' END AS industry FROM part""")
+INDUSTRY_SQL = " ".join(f"WHEN {int(code)} THEN '{name}'" for code, name in company.INDUSTRY.items())
+
+
+@query("pr22_industry_label", f"SELECT p_partkey, CASE p_partkey % 90 {INDUSTRY_SQL} ELSE 'Other' END AS industry FROM part")
 def industry_label(t: Tables):
-    return t.read("part").select("p_partkey", company.industry_label(F.lpad((F.col("p_size") % 50).cast("string"), 2, "0")).alias("industry"))
+    return t.read("part").select("p_partkey", company.industry_label(F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0")).alias("industry"))
 
 
 @query("pr25_financial_reasons", f"""

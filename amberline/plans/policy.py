@@ -202,15 +202,15 @@ def three_way_split(t: Tables):
 
 
 @query("sp03_out_of_time_split", """
-SELECT account_id, period, CASE WHEN period >= 19 THEN 'test' ELSE 'train' END AS side FROM eligible WHERE period >= 19 OR period + 4 <= 19""")
+SELECT account_id, period, CASE WHEN period >= cut THEN 'test' ELSE 'train' END AS side FROM eligible, (SELECT periods - 8 AS cut FROM bounds) WHERE period >= cut OR period + 4 <= cut""")
 def out_of_time_split(t: Tables):
-    return splits.out_of_time(t.eligible(), 27, 4).select("account_id", "period", "side")
+    return splits.out_of_time(t.eligible(), t.quarters().periods, 4).select("account_id", "period", "side")
 
 
 @query("sp03b_out_of_time_fixed_cut", """
 SELECT side, count(*) AS n, sum(went_bad)::BIGINT AS bad FROM (SELECT went_bad, CASE WHEN period >= 12 THEN 'test' WHEN period + 4 <= 12 THEN 'train' END AS side FROM eligible) WHERE side IS NOT NULL GROUP BY 1""")
 def out_of_time_fixed_cut(t: Tables):
-    return splits.out_of_time(t.eligible(), 27, 4, cut=12).groupBy("side").agg(F.count("*").alias("n"), F.sum("went_bad").alias("bad"))
+    return splits.out_of_time(t.eligible(), t.quarters().periods, 4, cut=12).groupBy("side").agg(F.count("*").alias("n"), F.sum("went_bad").alias("bad"))
 
 
 SAMPLE_HASH = "md5(account_id::VARCHAR || '|sample')"

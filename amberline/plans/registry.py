@@ -28,6 +28,9 @@ class Tables:
     def panel(self) -> DataFrame:
         return star_panel.scored_panel(self.spark, self.sf_dir)
 
+    def quarters(self) -> star_panel.Calendar:
+        return star_panel.calendar(self.spark, self.sf_dir)
+
     def accounts(self) -> DataFrame:
         return star_panel.accounts(self.spark, self.sf_dir)
 
@@ -77,7 +80,7 @@ def _mentions(sql: str, word: str) -> bool:
 def _with_views(sql: str) -> str:
     body = sql.strip()
     views = [text for view, text in VIEWS_SQL.items() if _mentions(body, view)]
-    names = ("panel", "book", "eligible", "acc", "grid", "run", "npa", "std")
+    names = ("panel", "book", "eligible", "acc", "grid", "run", "npa", "std", "bounds")
     if not any(_mentions(body, n) for n in names):
         return body
     ctes = [star_panel.PANEL_SQL, *views]

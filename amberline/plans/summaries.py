@@ -99,7 +99,8 @@ def levels_missing_from_test(t: Tables):
 
 
 @query("jn11_hold_between_refreshes", f"""
-SELECT account_id, period, last_value(CASE WHEN period % 3 = account_id % 3 THEN inflow END IGNORE NULLS) OVER {WO} AS held FROM panel""")
+SELECT account_id, period, coalesce(last_value(CASE WHEN period % 3 = account_id % 3 THEN inflow END IGNORE NULLS) OVER {WO},
+ first_value(inflow) OVER {WO}) AS held FROM panel""")
 def hold_between_refreshes(t: Tables):
     return joins.hold_between_refreshes(t.panel(), "inflow", F.col("period") % 3 == F.col("account_id") % 3, "held") \
         .select(*KEY, "held")
@@ -135,7 +136,7 @@ def base_rates(t: Tables):
     rows = labels.with_first_npa(_dense(t)).withColumn("sma2", labels.sma2_within(2))
     rows = labels.standard_rows(rows).withColumn("to_npa", labels.to_npa(F.col("npa_period"), F.col("period")))
     rows = rows.withColumn("went_bad", labels.bad_within(F.col("to_npa"), 4)).withColumn(
-        "labelable", (F.col("period") <= 22).cast("int"))
+        "labelable", (F.col("period") <= t.quarters().last_labelable).cast("int"))
     return _rounded(aggregates.base_rates(rows), 6, "bad_rate", "sma2_rate", "sma2_to_npa", "sma2_to_npa_events")
 
 
@@ -344,17 +345,19 @@ def _impossible(t: Tables):
     return quality.count_violations(rows, rules)
 
 
-IMPOSSIBLE_SQL = """counts AS (SELECT count(*) FILTER (demanded < 0) AS negative_demanded, count(*) FILTER (collected < 0) AS negative_collected,
- count(*) FILTER (collected > demanded * 1.05) AS collected_exceeds_demand, count(*) FILTER (dpd < 0) AS negative_dpd,
- count(*) FILTER (dpd >= 90) AS dpd_at_or_past_npa, count(*) FILTER (dpd > vintage_months * 30.0) AS dpd_exceeds_days_on_book,
- count(*) FILTER (utilisation > 1.2) AS utilisation_over_120pct, count(*) FILTER (utilisation < 0) AS negative_utilisation,
- count(*) FILTER (to_npa = 0 OR to_npa < -1) AS to_npa_zero_or_negative, count(*) FILTER (secured NOT IN (0, 1)) AS secured_not_flag,
- count(*) FILTER (portfolio = 'AUTOMOBILE') AS portfolio_outside_contract, count(*) FILTER (constitution = 'Partnership') AS constitution_outside_contract,
- count(*) FILTER (vintage_months < 0) AS negative_vintage, count(*) FILTER (bureau_score NOT BETWEEN 300 AND 900) AS bureau_score_out_of_range,
- count(*) FILTER (NOT (CASE WHEN demanded > 0 THEN collected / demanded ELSE 1.0 END BETWEEN 0 AND 1.05)) AS collection_ratio_out_of_range,
- count(*) FILTER (inflow - demanded < 0) AS negative_balance, count(*) FILTER (txn_count < 0) AS negative_txn_count,
- count(*) FILTER (bounce NOT IN (0, 1)) AS bounce_not_flag, 0::BIGINT AS minbal_breach_not_flag, 0::BIGINT AS adverse_remark_not_flag,
- count(*) FILTER (labelable NOT IN (0, 1)) AS labelable_not_flag, count(*) FILTER (went_bad NOT IN (0, 1)) AS label_not_flag FROM panel),
+IMPOSSIBLE_SQL = """counts AS (SELECT count(*) FILTER (demanded < 0) AS demanded_low, count(*) FILTER (collected < 0) AS collected_low,
+ count(*) FILTER (collected > 1.05 * demanded) AS collected_over_demanded, count(*) FILTER (dpd < 0) AS dpd_low,
+ count(*) FILTER (dpd >= 90) AS dpd_high, count(*) FILTER (dpd > vintage_months * 30.0) AS dpd_over_age,
+ count(*) FILTER (utilisation > 1.2) AS utilisation_high, count(*) FILTER (utilisation < 0) AS utilisation_low,
+ count(*) FILTER (to_npa = 0 OR to_npa < -1) AS to_npa_past, count(*) FILTER (secured NOT IN (0, 1)) AS secured_not_0_or_1,
+ count(*) FILTER (portfolio = 'AUTOMOBILE') AS portfolio_unknown, count(*) FILTER (constitution = 'Partnership') AS constitution_unknown,
+ count(*) FILTER (vintage_months < 0) AS vintage_months_low, count(*) FILTER (bureau_score < 300) AS bureau_score_low,
+ count(*) FILTER (bureau_score > 900) AS bureau_score_high,
+ count(*) FILTER (CASE WHEN demanded > 0 THEN collected / demanded ELSE 1.0 END < 0) AS collection_ratio_low,
+ count(*) FILTER (CASE WHEN demanded > 0 THEN collected / demanded ELSE 1.0 END > 1.05) AS collection_ratio_high,
+ count(*) FILTER (inflow - demanded < 0) AS balance_low, count(*) FILTER (txn_count < 0) AS txn_count_low,
+ count(*) FILTER (bounce NOT IN (0, 1)) AS bounce_not_0_or_1, 0::BIGINT AS minbal_breach_not_0_or_1, 0::BIGINT AS adverse_remark_not_0_or_1,
+ count(*) FILTER (labelable NOT IN (0, 1)) AS labelable_not_0_or_1, count(*) FILTER (went_bad NOT IN (0, 1)) AS went_bad_not_0_or_1 FROM panel),
 impossible AS (SELECT name AS "check", value AS violations FROM (UNPIVOT counts ON COLUMNS(*) INTO NAME name VALUE value))"""
 
 

@@ -149,14 +149,14 @@ def to_npa(t: Tables):
 
 @query("wn12_recognition_shift", """
 SELECT acc.account_id, CASE WHEN npa_period IS NULL THEN -1
- WHEN npa_period + CASE WHEN portfolio = 'FURNITURE' THEN 8 ELSE 0 END < 27
+ WHEN npa_period + CASE WHEN portfolio = 'FURNITURE' THEN 8 ELSE 0 END < (SELECT periods FROM bounds)
  THEN npa_period + CASE WHEN portfolio = 'FURNITURE' THEN 8 ELSE 0 END ELSE -1 END AS recognised
 FROM acc LEFT JOIN npa USING (account_id)""")
 def recognition_shift(t: Tables):
     lag = F.when(F.col("portfolio") == "FURNITURE", 8)
     per = _dense(t).groupBy("account_id", "portfolio").agg(
         F.coalesce(F.min(F.when(F.col("dpd") >= 90, F.col("period"))), F.lit(-1)).alias("npa_period"))
-    return per.select("account_id", labels.shift_recognition(F.col("npa_period"), lag, 27).alias("recognised"))
+    return per.select("account_id", labels.shift_recognition(F.col("npa_period"), lag, t.quarters().periods).alias("recognised"))
 
 
 TREND_SQL = """ranked AS (SELECT account_id, decision_score AS s, row_number() OVER (PARTITION BY account_id ORDER BY period DESC) - 1 AS age,
@@ -267,15 +267,15 @@ def _npa_accounts(t: Tables):
 
 
 HAZARD_SQL = """a AS (SELECT account_id, account_id % 37 AS v0, npa_period FROM (SELECT DISTINCT account_id FROM grid) LEFT JOIN npa USING (account_id)),
-e AS (SELECT v0, npa_period, CASE WHEN npa_period IS NULL THEN v0 + 26 ELSE v0 + npa_period END AS fin FROM a),
-ages AS (SELECT range AS age FROM range(80)),
+e AS (SELECT v0, npa_period, CASE WHEN npa_period IS NULL THEN v0 + (SELECT periods - 1 FROM bounds) ELSE v0 + npa_period END AS fin FROM a),
+ages AS (SELECT unnest(range(37 + (SELECT periods FROM bounds))) AS age),
 haz AS (SELECT age, sum(CASE WHEN npa_period IS NOT NULL AND fin = age THEN 1 ELSE 0 END)::BIGINT AS events, count(*) AS exposure
   FROM ages JOIN e ON age BETWEEN v0 AND fin GROUP BY 1)"""
 
 
 @query("wn21_vintage_hazard", f"WITH {HAZARD_SQL} SELECT age, events, exposure, round(events / exposure, 6) AS hazard FROM haz")
 def vintage_hazard(t: Tables):
-    return hazard.vintage_hazard(_npa_accounts(t), 27).withColumn("hazard", F.round("hazard", 6))
+    return hazard.vintage_hazard(_npa_accounts(t), t.quarters().periods).withColumn("hazard", F.round("hazard", 6))
 
 
 @query("wn22_hazard_hump", f"""
@@ -287,33 +287,36 @@ WITH {HAZARD_SQL}, m AS (SELECT sum(CASE WHEN age <= 12 THEN events END) / sum(C
 SELECT round(young, 6) AS young, round(hump, 6) AS hump, round(old, 6) AS old,
  coalesce(hump > 1.3 * young AND hump > 1.15 * old, false) AS passed FROM m""")
 def hazard_hump(t: Tables):
-    out = hazard.hazard_hump(hazard.vintage_hazard(_npa_accounts(t), 27), old=(48, 60), fallback=(36, 48))
+    out = hazard.hazard_hump(hazard.vintage_hazard(_npa_accounts(t), t.quarters().periods), old=(48, 60), fallback=(36, 48))
     return out.select(*[F.round(c, 6).alias(c) for c in ("young", "hump", "old")], "passed")
 
 
 @query("wn23_slippage_ratio", """
 WITH a AS (SELECT DISTINCT account_id, npa_period FROM grid LEFT JOIN npa USING (account_id)),
 w AS (SELECT s, sum(CASE WHEN npa_period IS NULL OR npa_period >= s THEN 1 ELSE 0 END) AS standard,
- sum(CASE WHEN npa_period BETWEEN s AND s + 3 THEN 1 ELSE 0 END) AS fresh FROM a, (SELECT range * 4 AS s FROM range(6)) GROUP BY 1)
+ sum(CASE WHEN npa_period BETWEEN s AND s + 3 THEN 1 ELSE 0 END) AS fresh FROM a, (SELECT unnest(range((SELECT periods // 4 FROM bounds))) * 4 AS s) GROUP BY 1)
 SELECT count(*)::INT AS windows, round(avg(fresh / standard), 6) AS slippage_ratio FROM w WHERE standard > 0""")
 def slippage_ratio(t: Tables):
-    return hazard.slippage_ratio(_npa_accounts(t), 27, 4).withColumn("slippage_ratio", F.round("slippage_ratio", 6))
+    return hazard.slippage_ratio(_npa_accounts(t), t.quarters().periods, 4).withColumn("slippage_ratio", F.round("slippage_ratio", 6))
 
 
 def _daily_events(t: Tables):
-    """Events per user and day; the count is combined before the shuffle, so a busy user is 30 rows."""
-    return t.read("events").groupBy(F.col("user_id").alias("account_id"), (F.dayofmonth("ts") - 1).alias("period")).agg(
+    """Events per user and day since the first event; the count is combined before the shuffle."""
+    events = t.read("events")
+    first = events.agg(F.min(F.to_date("ts"))).scalar()
+    return events.groupBy(F.col("user_id").alias("account_id"), F.date_diff(F.to_date("ts"), first).alias("period")).agg(
         F.count("*").alias("n"))
 
 
-DAYS_SQL = """d AS (SELECT user_id AS account_id, (dayofmonth(ts) - 1)::INT AS period, count(*) AS n FROM events GROUP BY 1, 2),
-full_days AS (SELECT u.account_id, c.range::INT AS period, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT account_id FROM d) u, range(30) c
+DAYS_SQL = """d AS (SELECT user_id AS account_id, (ts::DATE - (SELECT min(ts)::DATE FROM events))::INT AS period, count(*) AS n FROM events GROUP BY 1, 2),
+full_days AS (SELECT u.account_id, c.range::INT AS period, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT account_id FROM d) u, (SELECT unnest(range((SELECT max(period) + 1 FROM d))) AS range) c
   LEFT JOIN d ON d.account_id = u.account_id AND d.period = c.range)"""
 
 
 @query("wn24_densify", f"WITH {DAYS_SQL} SELECT * FROM full_days")
 def densify(t: Tables):
-    return windows.densify(_daily_events(t), 0, 29, {"n": 0})
+    at = t.read("events").agg(F.date_diff(F.to_date(F.max("ts")), F.to_date(F.min("ts")))).first()[0]
+    return windows.densify(_daily_events(t), 0, at or 0, {"n": 0})
 
 
 @query("wn25_contiguity", f"""
@@ -335,11 +338,11 @@ def carry_forward_reversal(t: Tables):
 WITH r AS (SELECT portfolio, 'idle>=10' AS rule, went_bad, to_npa FROM panel WHERE labelable = 1
  UNION ALL SELECT portfolio, 'idle>=8', CASE WHEN b - period BETWEEN 1 AND 4 THEN 1 ELSE 0 END, coalesce(b - period, -1)
  FROM run LEFT JOIN (SELECT account_id, min(period) AS b FROM run WHERE idle >= 8 GROUP BY 1) USING (account_id)
- WHERE period <= 22 AND (b IS NULL OR period < b))
+ WHERE period <= (SELECT periods - 5 FROM bounds) AND (b IS NULL OR period < b))
 SELECT portfolio, rule, count(*) AS n, round(avg(went_bad), 6) AS rate, median(CASE WHEN to_npa > 0 THEN to_npa END)::DOUBLE AS median_to_npa
 FROM r GROUP BY 1, 2""")
 def rates_by_rule(t: Tables):
-    stricter = labels.standard_rows(labels.with_first_npa(_dense(t), 72.0), 72.0).where(F.col("period") <= 22)
+    stricter = labels.standard_rows(labels.with_first_npa(_dense(t), 72.0), 72.0).where(F.col("period") <= t.quarters().last_labelable)
     stricter = stricter.withColumn("to_npa", labels.to_npa(F.col("npa_period"), F.col("period"))).withColumn(
         "went_bad", labels.bad_within(F.col("to_npa"), 4))
     both = hazard.rates_by_rule(t.eligible(), "idle>=10").unionByName(hazard.rates_by_rule(stricter, "idle>=8"))
@@ -377,7 +380,7 @@ def standard_rows(t: Tables):
     return labels.standard_rows(labels.with_first_npa(_dense(t))).select(*KEY)
 
 
-@query("fl03_snapshot", "SELECT account_id, period, decision_score FROM panel WHERE period = 22")
+@query("fl03_snapshot", "SELECT account_id, period, decision_score FROM panel WHERE period = (SELECT periods - 5 FROM bounds)")
 def snapshot(t: Tables):
     # the reference period lies outside the panel, so the latest eligible one is used
     return labels.snapshot(t.panel(), 40).select(*KEY, "decision_score")

@@ -1,19 +1,19 @@
 """Account-by-quarter conduct panel derived from an order-history star schema.
 
-One account per customer, one period per quarter (0..26). An account is in
-arrears for every quarter without an order; ten idle quarters are 90 DPD.
+One account per customer, one period per quarter from the first order's to the
+last one's. An account is in arrears for every quarter without an order; ten idle
+quarters are 90 DPD.
 """
 
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-FIRST_YEAR = 1995
-PERIODS = 27
 HORIZON = 4
 IDLE_AT_NPA = 10
 REFERENCE_PERIOD = 16
@@ -24,7 +24,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def order_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarter_number(date: str) -> Column:
+    return F.year(date) * 4 + F.quarter(date) - 1
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """The quarters the orders cover: the first one's number and how many there are."""
+
+    first: int
+    periods: int
+
+    @property
+    def last_labelable(self) -> int:
+        return self.periods - 1 - HORIZON
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
+    """From one pass over the order dates; orders without a date belong to no quarter."""
+    at = read_table(spark, sf_dir, "orders").agg(F.min(quarter_number("o_orderdate")), F.max(quarter_number("o_orderdate"))).first()
+    return Calendar(0, 0) if at[0] is None else Calendar(at[0], at[1] - at[0] + 1)
+
+
+def order_activity(spark: SparkSession, sf_dir: str, quarters: Calendar) -> DataFrame:
     """Activity per (account, quarter).
 
     Lines are summed per order before the join, so an order holding a large
@@ -39,7 +61,7 @@ def order_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("account_id"),
-        ((F.year("o_orderdate") - FIRST_YEAR) * 4 + F.quarter("o_orderdate") - 1).alias("period"),
+        (quarter_number("o_orderdate") - quarters.first).alias("period"),
         "o_totalprice")
     return (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -77,11 +99,12 @@ def dense_conduct(spark: SparkSession, sf_dir: str) -> DataFrame:
     stay partitioned by account for the windows that follow.
     """
     measures = ("txn_count", "inflow", "demanded", "collected", "bounce")
-    series = order_activity(spark, sf_dir).groupBy("account_id").agg(
+    quarters = calendar(spark, sf_dir)
+    series = order_activity(spark, sf_dir, quarters).where(F.col("period").isNotNull()).groupBy("account_id").agg(
         F.map_from_entries(F.collect_list(F.struct(
             F.col("period").cast("int"), F.struct(*measures)))).alias("by_period"))
     grid = accounts(spark, sf_dir).join(series, "account_id", "left").withColumn(
-        "period", F.explode(F.sequence(F.lit(0), F.lit(PERIODS - 1))))
+        "period", F.explode(F.sequence(F.lit(0), F.lit(max(0, quarters.periods - 1))))).where(F.lit(quarters.periods > 0))
     at = F.element_at("by_period", F.col("period"))
     zero = {"txn_count": F.lit(0).cast("bigint"), "bounce": F.lit(0)}
     return grid.withColumns({m: F.coalesce(at[m], zero.get(m, F.lit(0.0))) for m in measures}).drop("by_period")
@@ -89,6 +112,7 @@ def dense_conduct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard (pre-NPA) rows with labels, a demonstration PD and the smoothed score."""
+    last_labelable = calendar(spark, sf_dir).last_labelable
     account = W.partitionBy("account_id")
     by_period = account.orderBy("period")
     last_active = F.max(F.when(F.col("txn_count") > 0, F.col("period"))).over(by_period)
@@ -101,7 +125,7 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     idle, period, demanded = F.col("idle"), F.col("period"), F.col("demanded")
     rows = rows.withColumns({
         "dpd": (9 * idle).cast("double"), "to_npa": F.coalesce(F.col("npa_period") - period, F.lit(-1)),
-        "labelable": (period <= PERIODS - 1 - HORIZON).cast("int"), "pd": idle.cast("double") / (idle + 6),
+        "labelable": (period <= last_labelable).cast("int"), "pd": idle.cast("double") / (idle + 6),
         "vintage_months": F.col("vintage_0") + 3 * period, "utilisation": demanded / (demanded + 150000.0)})
     rows = rows.withColumns({
         "went_bad": F.col("to_npa").between(1, HORIZON).cast("int"),
@@ -111,11 +135,13 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same panel for the SQL check.
-PANEL_SQL = """cal AS (SELECT range AS q FROM range(27)),
-ord AS (SELECT o_custkey AS a, (year(o_orderdate)-1995)*4 + quarter(o_orderdate)-1 AS q,
+PANEL_SQL = """bounds AS (SELECT min(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) AS lo,
+                  max(year(o_orderdate) * 4 + quarter(o_orderdate)) - min(year(o_orderdate) * 4 + quarter(o_orderdate)) + 1 AS periods FROM orders),
+cal AS (SELECT unnest(range((SELECT periods FROM bounds))) AS q),
+ord AS (SELECT o_custkey AS a, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 - (SELECT lo FROM bounds) AS q,
                count(*) AS txn_count, sum(o_totalprice) AS inflow
         FROM orders GROUP BY 1, 2),
-li AS (SELECT o.o_custkey AS a, (year(o.o_orderdate)-1995)*4 + quarter(o.o_orderdate)-1 AS q,
+li AS (SELECT o.o_custkey AS a, year(o.o_orderdate) * 4 + quarter(o.o_orderdate) - 1 - (SELECT lo FROM bounds) AS q,
               sum(l_extendedprice) AS demanded, sum(l_extendedprice*(1-l_discount)) AS collected,
               max(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) AS bounce
        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2),
@@ -140,7 +166,7 @@ std AS (SELECT run.*, npa_period, cast(9 * idle AS DOUBLE) AS dpd, coalesce(npa_
         FROM run LEFT JOIN npa ON npa.account_id = run.account_id
         WHERE npa_period IS NULL OR period < npa_period),
 lab AS (SELECT * EXCLUDE (vintage_0), CASE WHEN to_npa BETWEEN 1 AND 4 THEN 1 ELSE 0 END AS went_bad,
-               CASE WHEN period <= 22 THEN 1 ELSE 0 END AS labelable,
+               CASE WHEN period <= (SELECT periods - 5 FROM bounds) THEN 1 ELSE 0 END AS labelable,
                cast(idle AS DOUBLE) / (idle + 6) AS pd,
                round(avg(cast(idle AS DOUBLE) / (idle + 6)) OVER (PARTITION BY account_id ORDER BY period
                      ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS decision_score,

@@ -44,12 +44,13 @@ def test_a_replayed_batch_ends_in_the_same_state(spark, tmp_path):
     assert (got.decision_score, got.band, len(got.recent)) == (0.6, "red", 2)
 
 
-def test_a_closed_gate_keeps_the_last_published_version(spark, tmp_path):
+def test_published_batches_add_up_and_a_closed_gate_adds_nothing(spark, tmp_path):
     def gate(batch):
         return gates.verdict(batch.select(F.when(F.col("v") >= 0, "pass").otherwise("fail").alias("status")))
 
     publish = conduct.GatedPublisher(str(tmp_path), gate)
     assert publish.current(spark, str(tmp_path)) is None
-    publish(spark.createDataFrame([(1,)], "v int"), 0)
-    publish(spark.createDataFrame([(-1,)], "v int"), 1)
-    assert [r.v for r in publish.current(spark, str(tmp_path)).collect()] == [1]
+    for batch_id, values in enumerate(([1], [-1], [2, 3], [])):
+        publish(spark.createDataFrame([(v,) for v in values], "v int"), batch_id)
+    publish(spark.createDataFrame([(2,), (3,)], "v int"), 2)  # the same batch again
+    assert sorted(r.v for r in publish.current(spark, str(tmp_path)).collect()) == [1, 2, 3]
