@@ -7,22 +7,24 @@
    pairs), so it meets under one of the 64 - t + 1 pairs that are rarest in each text: the
    prefix. Values nobody shares fill the prefix first, so a text with too many of them
    is skipped without being posted, and common passages post nothing.
-3. Under one posting, matches are counted over the long signature. Long lists are dealt
-   to pairs of blocks. The first round keeps, for each list, a forest of the best
-   matches, one link a text at most. Those are confirmed on full shingle sets and
-   joined to components.
-4. The second round goes back only to lists that still hold several components, and
-   confirms every match between those that lie in different ones. Pairs within one
-   component cannot change it, so no group's pairs are ever written out.
+3. Under one posting, matches are counted over the long signature; of postings with the
+   very same texts one is enough. Long lists are dealt to pairs of blocks. The first
+   round keeps, for each list, a forest of the best matches, one link a text at most.
+   Those are confirmed on full shingle sets and joined to components.
+4. Texts that matches connect, confirmed or not, form a family. The second round goes
+   back only to families that hold several components, dealt to pairs of blocks again,
+   and compares the full sets of matching texts while they are in different
+   components. Pairs within one component cannot change it, so neither round writes out
+   more than one link a text and block.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ def _signed(text: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(signed: DataFrame, matches: int) -> DataFrame:
-    """(token, left, right, doc_id, counted): members of each list of two or more, by pairs of blocks."""
+    """(list, left, right, doc_id, own, counted): members of each list of two or more, by pairs of blocks."""
     posts = signed.select("doc_id", F.posexplode("posted").alias("at", "value")).select("doc_id", F.xxhash64("at", "value").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(shared, "shared-values")
@@ -113,70 +115,104 @@ def _postings(signed: DataFrame, matches: int) -> DataFrame:
     rarest = posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rarest")).where(spare > 0)
     listed = rarest.select("doc_id", F.explode(F.slice("rarest", F.lit(1), spare)).alias("post")).select("doc_id", "post.token")
     listed = materialise(listed, "postings")
-    sizes = materialise(listed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    own = F.xxhash64("doc_id")
+    sizes = listed.groupBy("token").agg(F.count("*").alias("n"), F.sum(own % (1 << 40)).alias("sum"), F.bit_xor(own).alias("xor")).where("n > 1")
+    lists = materialise(sizes.groupBy("n", "sum", "xor").agg(F.min("token").alias("token")).select("token", "n"), "lists")
+    members = _blocks(listed.join(lists, "token").withColumnRenamed("token", "list"))
+    return materialise(members.join(signed.select("doc_id", "counted"), "doc_id"), "members")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(doc_id, list, left, right, own): each member in all pairs of blocks of its list of ``n`` that hold its own block."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    members = listed.join(sizes, "token").select("doc_id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
-        "doc_id", "token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own")
-    return materialise(members.join(signed.select("doc_id", "counted"), "doc_id"), "members")
+    return members.select("doc_id", "list", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+        "doc_id", "list", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own")
+
+
+def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in runs of equal first three values."""
+    for _, run in itertools.groupby(rows, key=lambda row: row[:3]):
+        yield sorted(run, key=lambda row: row[3])
+
+
+def _grouped(members: DataFrame, columns: list[str], find: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Links (a, b) that ``find`` sees in each pair of blocks; rows are (list, left, right, doc_id, *columns)."""
+    place = ["list", "left", "right"]
+    sorted_rows = members.select(*place, "doc_id", *columns).repartition(*place).sortWithinPartitions(*place)
+    found = map_rows(sorted_rows, lambda rows: (link for group in _groups(rows) for link in find(group)), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _matches(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    frame = frame.sort_values("doc_id")
-    return (frame["doc_id"].to_numpy(), frame["own"].to_numpy(),
-            np.frombuffer(b"".join(frame["counted"]), np.uint8).reshape(len(frame), COUNTED))
+def _signatures(group: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(row[at] for row in group), np.uint8).reshape(len(group), COUNTED)
 
 
 def _counts(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (many == one).sum(1)
 
 
-def _forest(frame: pd.DataFrame, matches: int) -> pd.DataFrame:
-    """Prim's tree of most matches over the list's members, cut where fewer than ``matches`` agree."""
-    ids, _, rows = _matches(frame)
-    best, link, out = np.full(len(ids), -1), np.zeros(len(ids), int), []
-    waiting = np.ones(len(ids), bool)
+def _forest(group: list[tuple], matches: int) -> Iterator[tuple[int, int]]:
+    """Prim's tree of most matches over the members, cut where fewer than ``matches`` agree."""
+    rows = _signatures(group, 4)
+    best, link, waiting = np.full(len(group), -1), np.zeros(len(group), int), np.ones(len(group), bool)
     at = 0
-    for _ in range(len(ids)):
+    for _ in range(len(group) - 1):
         waiting[at] = False
         left = np.flatnonzero(waiting)
-        if not len(left):
-            break
         counts = _counts(rows[at], rows[left])
         nearer = counts > best[left]
         best[left[nearer]], link[left[nearer]] = counts[nearer], at
         at = left[np.argmax(best[left])]
         if best[at] >= matches:
-            out.append((ids[link[at]], ids[at]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            yield group[link[at]][3], group[at][3]
 
 
-def _across(frame: pd.DataFrame, matches: int) -> pd.DataFrame:
-    """All matches between members of different components."""
-    ids, own, rows = _matches(frame)
-    component = frame.sort_values("doc_id")["component_id"].to_numpy()
-    out = []
-    for at in range(len(ids)):
+def _across(group: list[tuple], matches: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join components: full sets of matching members are compared while their components differ.
+
+    Rows are (list, left, right, doc_id, own block, component, signature, set).
+    """
+    rows = _signatures(group, 6)
+    own = np.array([row[4] for row in group])
+    component = np.array([row[5] for row in group])
+    sets = [np.frombuffer(row[7], np.uint64) for row in group]
+    sizes = np.array([len(s) for s in sets])
+    split = own.min() != own.max()
+    for at in range(len(group)):
         other = np.flatnonzero(component[at + 1:] != component[at]) + at + 1
-        if own.min() != own.max():
+        if split:
             other = other[own[other] != own[at]]  # pairs inside a block are its own pair's work
-        hit = other[_counts(rows[at], rows[other]) >= matches] if len(other) else other
-        out += [(ids[at], ids[j]) for j in hit]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _pairs(groups: DataFrame, find, matches: int) -> DataFrame:
-    found = groups.groupBy("token", "left", "right").applyInPandas(lambda frame: find(frame, matches), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # sets of very different size cannot be similar
+        other = other[(100 * np.minimum(sizes[other], sizes[at]) >= percent * np.maximum(sizes[other], sizes[at]))]
+        if len(other):
+            other = other[_counts(rows[at], rows[other]) >= matches]
+        for some in np.split(other, range(256, len(other), 256)):
+            some = some[component[some] != component[at]]
+            if not len(some):
+                continue
+            joined = np.concatenate([sets[j] for j in some])
+            place = np.minimum(np.searchsorted(sets[at], joined), sizes[at] - 1)
+            common = np.add.reduceat((sets[at][place] == joined).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for j in some[100 * common >= percent * (sizes[at] + sizes[some] - common)]:
+                if component[j] != component[at]:
+                    component[component == component[j]] = component[at]
+                    yield group[at][3], group[j][3]
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     a, b = (sets.select(F.col("doc_id").alias(f"id_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for first, second, *both in rows:
+            x, y = (np.frombuffer(s, np.uint64) for s in both)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                yield first, second
+
     both = pairs.join(a, pairs["a"] == F.col("id_a")).join(b, pairs["b"] == F.col("id_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(common * 100 >= union * percent).select("a", "b")
+    return map_rows(both.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -199,7 +235,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = _postings(shown, matches)
     counted = least_matches(COUNTED, percent / 100)
 
-    trees = materialise(_pairs(groups, _forest, counted), "best-matches")
+    trees = materialise(_grouped(groups, ["counted"], lambda group: _forest(group, counted)), "best-matches")
     wanted = trees.select(F.col("a").alias("wanted")).union(trees.select("b")).distinct()
 
     def full(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -207,20 +243,25 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         for doc_id, key, own_text in rows:
             shingles = shingle_set(own_text, k, known)
             if xxhash.xxh3_128_hexdigest(shingles.tobytes()) == key:
-                yield doc_id, shingles.view(np.int64).tolist()
+                yield doc_id, shingles.tobytes()
 
     keyed = first.join(wanted, first["doc_id"] == wanted["wanted"], "left_semi").select(F.col("doc_id").alias("wanted"), "set_key")
-    sets = map_rows(text.join(keyed, text["doc_id"] == keyed["wanted"]).select("doc_id", "set_key", "text"), full, "doc_id long, shingles array<long>")
+    sets = map_rows(text.join(keyed, text["doc_id"] == keyed["wanted"]).select("doc_id", "set_key", "text"), full, "doc_id long, shingles binary")
     sets = materialise(sets.dropDuplicates(["doc_id"]), "full-sets")
     links = materialise(_confirmed(trees, sets, percent), "links")
 
+    family = components(trees).select(F.col("id").alias("doc_id"), F.col("component_id").alias("list"))
     near = components(links)
-    placed = groups.join(near, groups["doc_id"] == near["id"], "left").select(groups["*"], F.coalesce("component_id", "doc_id").alias("component_id"))
-    placed = materialise(placed, "placed")
-    open_lists = placed.groupBy("token", "left", "right").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high")
-    rest = placed.join(open_lists.select("token", "left", "right"), ["token", "left", "right"], "left_semi")
-    across = _pairs(rest, _across, counted).join(trees, ["a", "b"], "left_anti")
-    links = links.union(materialise(_confirmed(across, sets, percent), "links"))
+    placed = family.join(near, family["doc_id"] == near["id"], "left").select("doc_id", "list", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = materialise(placed, "families")
+    divided = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    # a family of two has been compared already
+    divided = materialise(divided.where("low <> high AND n > 2").select("list", "n"), "divided-families")
+    rest = placed.join(divided, "list")
+    known = rest.select("doc_id", "component_id").join(shown.select("doc_id", "counted"), "doc_id").join(sets, "doc_id")
+    rest = _blocks(rest).join(known, "doc_id")
+    across = _grouped(rest, ["own", "component_id", "counted", "shingles"], lambda group: _across(group, counted, percent))
+    links = links.union(materialise(across, "links"))
 
     # equal sets under one id each: a class's members take its component
     same = first.select("set_key", F.col("doc_id").alias("first_id"))

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from amberline.llm import minhash_join as m
@@ -90,5 +89,4 @@ def test_forest_links_all_that_match():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, m.COUNTED, dtype=np.uint8)
     rows = [base.copy() for _ in range(5)] + [rng.integers(0, 256, m.COUNTED, dtype=np.uint8)]
-    frame = pd.DataFrame({"doc_id": range(6), "own": 0, "counted": [r.tobytes() for r in rows]})
-    assert len(m._forest(frame, 200)) == 4
+    assert len(list(m._forest([(1, 0, 0, i, r.tobytes()) for i, r in enumerate(rows)], 200))) == 4
