@@ -103,8 +103,8 @@ class CostParams:
     penal_rate_pa: float = 2.0
     cure_share_red: float = 0.35
     cure_share_amber: float = 0.10
-    review_cost_red: float = 18_000.0
-    review_cost_amber: float = 1_500.0
+    review_cost_red_inr: float = 18_000.0
+    review_cost_amber_inr: float = 1_500.0
     friction_share_red: float = 0.15
     friction_share_amber: float = 0.02
 

@@ -42,6 +42,6 @@ def band_costs(n: Column, ead_: Column, ead_bad: Column, lgd_: Column, p: CostPa
 
     return {
         "green": loss,
-        "amber": flagged(p.review_cost_amber, p.friction_share_amber, p.cure_share_amber),
-        "red": flagged(p.review_cost_red, p.friction_share_red, p.cure_share_red),
+        "amber": flagged(p.review_cost_amber_inr, p.friction_share_amber, p.cure_share_amber),
+        "red": flagged(p.review_cost_red_inr, p.friction_share_red, p.cure_share_red),
     }

@@ -13,16 +13,25 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).select(F.explode(cells).alias("e")).select("e.*").distinct()
 
 
+def with_partner_band(book: DataFrame, edges: DataFrame, salts: int = 16) -> DataFrame:
+    """(account_id, partner, partner_band) of every link whose partner is in the book.
+
+    A partner may hold a third of all links, so the join key is the partner and one of
+    ``salts`` shares of its accounts; the book side, one row an account, is repeated
+    for every share.
+    """
+    bands = book.select(F.col("account_id").alias("partner"), F.col("band").alias("partner_band"),
+                        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_share"))
+    links = symmetric_edges(edges).withColumn("_share", F.pmod(F.xxhash64("account_id"), F.lit(salts)).cast("int"))
+    return links.join(bands, ["partner", "_share"]).drop("_share")
+
+
 def partner_counts(book: DataFrame, edges: DataFrame) -> DataFrame:
     """Partners, flagged partners and red partners per account of the book.
 
-    The edge side of the join is keyed by the partner and may be skewed (a
-    partner with a third of all links); the book side has one row per account,
-    so adaptive execution can split or broadcast as measured. Counts are
-    combined before they are shuffled to the account.
+    Counts are combined before they are shuffled to the account.
     """
-    bands = book.select(F.col("account_id").alias("partner"), F.col("band").alias("partner_band"))
-    counts = symmetric_edges(edges).join(bands, "partner").groupBy("account_id").agg(
+    counts = with_partner_band(book, edges).groupBy("account_id").agg(
         F.count("*").alias("partners"), F.count(F.when(F.col("partner_band") != "green", 1)).alias("flagged"),
         F.count(F.when(F.col("partner_band") == "red", 1)).alias("red"))
     return book.join(counts, "account_id", "left").fillna(0, ["partners", "flagged", "red"])

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberline.config import FEATURE_FAMILIES
@@ -45,7 +45,9 @@ def assembler(numeric: list[str], categorical: list[str]) -> list:
 
 def fit_trees(df: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "went_bad", iterations: int = 10,
               depth: int = 4, seed: int = 7) -> PipelineModel:
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=64)
+    # a tree needs a bin for every level of a column, and one for levels it has not seen
+    levels = max(df.agg(*[F.count_distinct(c) for c in categorical]).first()) if categorical else 0
+    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, levels + 2))
     return Pipeline(stages=[*assembler(list(numeric), list(categorical)), trees]).fit(with_missing_flags(df, list(numeric)))
 
 
@@ -193,8 +195,3 @@ def availability(columns: DataFrame, families: dict[str, tuple[str, ...]] = FEAT
     table = F.create_map(*[F.lit(x) for fam, cols in families.items() for c in cols for x in (c, fam)])
     family = F.element_at(table, F.col("column"))
     return columns.withColumn("family", family).withColumn("orphan", F.col("family").isNull())
-
-
-def twice_base_rate(df: DataFrame, label: str = "went_bad", key: Column | None = None) -> DataFrame:
-    """Keep every failure and half of the other rows, chosen by key: a book with about twice the rate."""
-    return df.where((F.col(label) == 1) | (F.pmod(key if key is not None else F.col("account_id"), F.lit(2)) == 0))

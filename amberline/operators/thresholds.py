@@ -26,7 +26,7 @@ from amberline.session import materialise
 
 LEVELS = ("all_constraints", "portfolio_monotone", "pooled_monotone", "non_empty")
 SUMS = ("n", "bad", "green", "amber", "red", "ead")
-SWEPT = ("cure_share_red", "review_cost_red", "lgd_unsecured", "friction_share_red", "income_reversal_months")
+SWEPT = ("cure_share_red", "review_cost_red_inr", "lgd_unsecured", "friction_share_red", "income_reversal_months")
 
 
 def cost_histogram(book: DataFrame, score: str = "decision_score", outcome: str = "went_bad") -> DataFrame:
@@ -278,7 +278,7 @@ def error_costs(mix: DataFrame, p: CostParams | None = None) -> DataFrame:
     weight = F.sum("n")
     missed = F.sum(F.col("loss_mean") * F.col("n")) / weight
     exposure = F.sum(F.col("ead_mean") * F.col("n")) / weight
-    false_red = p.review_cost_red + exposure * p.effective_rate_pa / 100.0 * p.friction_share_red
+    false_red = p.review_cost_red_inr + exposure * p.effective_rate_pa / 100.0 * p.friction_share_red
     return mix.agg(missed.alias("missed_cost"), false_red.alias("false_positive_cost"), F.try_divide(missed, false_red).alias("ratio"))
 
 

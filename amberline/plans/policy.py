@@ -126,7 +126,7 @@ def cost_curve(t: Tables):
     return _rounded(thresholds.cost_curve(grid, thresholds.pick(grid)), 0, "cost")
 
 
-SWEEPS = (("cure_share_red", dict(cure_red=0.175), dict(cure_red=0.525)), ("review_cost_red", dict(review_red=9000.0), dict(review_red=27000.0)),
+SWEEPS = (("cure_share_red", dict(cure_red=0.175), dict(cure_red=0.525)), ("review_cost_red_inr", dict(review_red=9000.0), dict(review_red=27000.0)),
           ("lgd_unsecured", dict(lgd_unsecured=0.375), dict(lgd_unsecured=1.125)), ("friction_share_red", dict(friction_red=0.075), dict(friction_red=0.225)),
           ("income_reversal_months", dict(months=3.0), dict(months=9.0)))
 SENSITIVITY_SQL = ", ".join(grid_sql(**kw, name=f"s{i}{j}") for i, (_, *both) in enumerate(SWEEPS) for j, kw in enumerate(both))

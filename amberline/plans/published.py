@@ -303,8 +303,7 @@ def partner_counts(t: Tables):
 
 @query("jn15_neighbour_bands", f"WITH {GRAPH_SQL} SELECT sy.a AS account_id, bd.band AS partner_band, count(*) AS n FROM sy JOIN bd ON bd.account_id = sy.b GROUP BY 1, 2")
 def neighbour_bands(t: Tables):
-    bands = _partners(t).select(F.col("account_id").alias("partner"), F.col("band").alias("partner_band"))
-    return graph.symmetric_edges(_edges(t)).join(bands, "partner").groupBy("account_id", "partner_band").agg(F.count("*").alias("n"))
+    return graph.with_partner_band(_partners(t), _edges(t)).groupBy("account_id", "partner_band").agg(F.count("*").alias("n"))
 
 
 @query("gr02_one_link_from_red", f"""
