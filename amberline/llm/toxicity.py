@@ -73,7 +73,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(token, toxic, clean): training documents of each class that hold the token; the empty token counts documents."""
-    rows = texts(docs).where(~held_out("doc_id")).join(training_labels(labels), "doc_id").select("toxic", "text")
+    # labels grow with the corpus, so the join is never left to depend on their size
+    rows = texts(docs).where(~held_out("doc_id")).join(training_labels(labels).hint("merge"), "doc_id").select("toxic", "text")
 
     def run(found: Iterator[tuple]) -> Iterator[tuple]:
         by_class: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
