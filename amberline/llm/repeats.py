@@ -146,7 +146,7 @@ def _collections(length: int, inner: int):
         current: list[tuple] = []
         for row in rows:
             if current and row[0] == current[-1][0]:
-                if row[1] != current[-1][1]:  # a copy of the text gave the same segment again
+                if row[1] != current[-1][1]:  # a repeated row gave the same segment again
                     current.append(row)
                 continue
             if len(block) + len(current) > BLOCK:
@@ -170,22 +170,23 @@ def repeated_spans(docs: DataFrame, length: int = 400, inner: int = 100) -> Data
 
     def find(rows: Iterator[tuple]) -> Iterator[tuple]:
         hasher = Hasher(inner)
-        for _, key, data in rows:
+        for doc_id, key, data in rows:
             if len(data) >= length:
                 view = np.frombuffer(data, np.uint8)
                 for anchor, place, first, last in anchors(view, length, hasher):
-                    yield key, anchor, xxhash.xxh3_128_digest(data[first:last + length]), place, first, last
+                    yield key, doc_id, anchor, xxhash.xxh3_128_digest(data[first:last + length]), place, first, last
 
-    found = materialise(map_rows(text, find, "text_key binary, key long, segment binary, place int, first int, last int"), "anchors")
+    found = materialise(map_rows(text, find, "text_key binary, doc_id long, key long, segment binary, place int, first int, last int"), "anchors")
     kinds = found.groupBy("key", "segment").agg(
-        F.count("*").alias("n"), F.min(F.struct("text_key", "place", "first", "last")).alias("at")).select("key", "segment", "n", "at.*")
+        F.count("*").alias("n"), F.min(F.struct("text_key", "doc_id", "place", "first", "last")).alias("at")).select("key", "segment", "n", "at.*")
     kinds = materialise(kinds, "segments")
     anchor = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     anchor = materialise(anchor.where("kinds > 1"), "mixed-anchors")
     whole = kinds.where("n > 1").select("key", "segment", F.lit(0).alias("first"), (F.col("last") - F.col("first")).alias("last"))
 
-    # cut each kind of segment once, out of the text that holds it
-    wanted = kinds.join(anchor, "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "segment", "kinds", "place", "first", "last")).alias("wanted"))
+    # cut each kind of segment out of one row that holds it, not out of every copy of the text
+    wanted = kinds.join(anchor, "key").groupBy("text_key", F.coalesce("doc_id", F.lit(0)).alias("row")).agg(
+        F.collect_list(F.struct("key", "segment", "kinds", "place", "first", "last")).alias("wanted"))
     wanted = materialise(wanted, "wanted-segments")
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -193,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, inner: int = 100) -> Data
             for w in own:
                 yield w["key"], w["segment"], w["kinds"], w["place"] - w["first"], data[w["first"]:w["last"] + length]
 
-    held = text.join(wanted, "text_key").select("data", "wanted")
+    held = text.withColumn("row", F.coalesce("doc_id", F.lit(0))).join(wanted, ["text_key", "row"]).select("data", "wanted")
     pieces = materialise(map_rows(held, cut, "key long, segment binary, kinds long, ahead int, data binary"), "collections")
     short = pieces.where(F.col("kinds") <= BLOCK).select("key", "segment", "ahead", "data").repartition("key").sortWithinPartitions("key", "segment")
     runs = map_rows(short, _collections(length, inner), RUNS)
