@@ -259,7 +259,7 @@ def random_split_control(t: Tables):
     return _rounded(drift.numeric_csi(t.eligible(), drift.random_halves(t.eligible()), ("utilisation", "vintage_months")), 6, "csi")
 
 
-REPLICATES = 20
+REPLICATES = 200  # fixed value: draws of an interval
 DRAW_SQL = f"""dr AS (SELECT account_id, b, ('0x' || substr(md5(account_id::VARCHAR || '|' || ((b - 1) // 8)::VARCHAR), ((b - 1) % 8) * 4 + 1, 4))::INT AS u
  FROM (SELECT DISTINCT account_id FROM eligible), (SELECT range AS b FROM range(1, {REPLICATES + 1}))),
 wt AS (SELECT account_id, b, CASE WHEN u < 24109 THEN 0 WHEN u < 48218 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64291 THEN 3 WHEN u < 65296 THEN 4
@@ -295,7 +295,7 @@ def _split_time(t: Tables):
 
 @query("ev24b_ratio_interval", f"""
 WITH {DRAW_SQL}, {_replicate_sql('a', 'fine_score', 'period >= 15')}, {_replicate_sql('b', 'fine_score', 'period < 15')}, q AS (SELECT am.auc / bm.auc AS ratio FROM am JOIN bm USING (g))
-SELECT round(quantile_cont(ratio, 0.025), 6) AS lo, round(quantile_cont(ratio, 0.975), 6) AS hi, count(*) AS replicates FROM q""")
+SELECT round(quantile_cont(ratio, 0.025), 6) AS lo, round(quantile_cont(ratio, 0.975), 6) AS hi, count(ratio) AS replicates FROM q""")
 def ratio_interval(t: Tables):
     return _rounded(bootstrap.ratio_interval(_split_time(t), "fine_score", "part", "late", "early", REPLICATES), 6, "lo", "hi")
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from amberline.functions import reasons
 from amberline.operators import bootstrap, calibration, company, drift, histogram, model, splits
 from amberline.operators.quality import null_share
+from amberline.plans.evaluation import REPLICATES
 from amberline.plans.files import RATIOS, _events, _years
 from amberline.plans.registry import Tables, query
 from amberline.session import materialise, work_dir
 
 NUMERIC = ["dpd", "utilisation", "txn_count", "inflow", "demanded", "collected", "bureau_score", "sanctioned"]
 CATEGORICAL = ["portfolio", "region"]
+COMPANY_REPLICATES = 500  # fixed value: draws of the company-year interval
 FAMILIES = {"repayment": ("dpd",), "utilisation": ("utilisation",), "cash_flow": ("txn_count", "inflow"),
             "collection": ("demanded", "collected"), "bureau": ("bureau_score",), "profile": ("sanctioned",)}
 
@@ -125,7 +127,7 @@ def family_ablation(t: Tables):
     variants = {"full": NUMERIC} | {f"no_{f}": [c for c in NUMERIC if c not in cols] for f, cols in FAMILIES.items()}
     scored = model.compare_fits(train, test, variants)
     others = tuple(f"p_{v}" for v in variants if v != "full")
-    spans = bootstrap.paired_delta_intervals(scored, "p_full", others, 20).where(F.col("metric") == "auc").select(
+    spans = bootstrap.paired_delta_intervals(scored, "p_full", others, REPLICATES).where(F.col("metric") == "auc").select(
         F.expr("substr(model, 3)").alias("variant"), F.round("lo", 6).alias("delta_lo"), F.round("hi", 6).alias("delta_hi"))
     out = model.variant_aucs(scored, list(variants)).join(spans, "variant", "left")
     return out.select("variant", F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"), "delta_lo", "delta_hi")
@@ -160,7 +162,7 @@ def baseline_ladder(t: Tables):
     scored = materialise(model.score(model.fit_trees(train, NUMERIC, CATEGORICAL), scored, NUMERIC, "trees"), "ladder")
     out = None
     for name in ("arrears", "scorecard", "trees"):
-        span = bootstrap.auc_interval(scored, name, 20)
+        span = bootstrap.auc_interval(scored, name, REPLICATES)
         rung = _metrics(scored, name, name).withColumn("_s", span.agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar())
         rung = rung.select("model", "auc", F.round("_s.lo", 6).alias("lo"), F.round("_s.hi", 6).alias("hi"))
         out = rung if out is None else out.unionByName(rung)
@@ -203,7 +205,7 @@ def company_year_model(t: Tables):
     scored = materialise(model.score(model.fit_scorecard(train, columns), test, columns, "p"), "company-scores")
     hist = histogram.score_histogram(scored, "p")
     m = histogram.rank_metrics(hist).withColumn("brier", calibration.brier(hist).select("brier").scalar())
-    span = bootstrap.auc_interval(scored, "p", 20, account="company").agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
+    span = bootstrap.auc_interval(scored, "p", COMPANY_REPLICATES, account="company").agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
     return m.withColumn("_s", span).select("n", "n_bad", *[F.round(c, 6).alias(c) for c in ("auc", "ks", "average_precision", "brier")],
                                            F.round("_s.lo", 6).alias("auc_lo"), F.round("_s.hi", 6).alias("auc_hi"))
 
