@@ -145,8 +145,8 @@ def brute_force_pick(rows):
     lgd = np.array([0.575 if r[2] is None else 0.4 if r[2] else 0.75 for r in rows])
     loss = ead * lgd + ead * 14.75 / 100 * 0.5
     interest = ead * 0.1275
-    cost = {"green": y * loss, "amber": p.review_cost_amber + (1 - y) * 0.02 * interest + y * loss * 0.9,
-            "red": p.review_cost_red + (1 - y) * 0.15 * interest + y * loss * 0.65}
+    cost = {"green": y * loss, "amber": p.review_cost_amber_inr + (1 - y) * 0.02 * interest + y * loss * 0.9,
+            "red": p.review_cost_red_inr + (1 - y) * 0.15 * interest + y * loss * 0.65}
     cuts, seen = [], set()
     for f in candidate_fractions():
         t = round(float(np.quantile(s, 1 - f)), 6)
