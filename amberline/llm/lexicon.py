@@ -37,9 +37,10 @@ BLANKS = regex.compile(f"[{BLANK}]+")
 # str.split() also splits at these, which are no white space to the pre-tokeniser
 ODD = regex.compile("[\x1c-\x1f]")
 END = "</w>"
-KEPT_CHUNKS = 150_000
+NEVER = 1 << 30
+KEPT_CHUNKS = 450_000
 COUNTED_WORDS = 400_000
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 class Merges:
@@ -63,13 +64,15 @@ class Merges:
 
     def _short(self, symbols: list[str]) -> list[str]:
         rank = self.ranks.get
-        while len(symbols) > 1:
-            found = [rank(pair, 1 << 30) for pair in zip(symbols, symbols[1:])]
-            best = min(found)
-            if best == 1 << 30:
-                break
+        found = [rank(pair, NEVER) for pair in zip(symbols, symbols[1:])]
+        while found and (best := min(found)) != NEVER:
             at = found.index(best)
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            symbols[at] += symbols.pop(at + 1)
+            del found[at]
+            if at:
+                found[at - 1] = rank((symbols[at - 1], symbols[at]), NEVER)
+            if at < len(found):
+                found[at] = rank((symbols[at], symbols[at + 1]), NEVER)
         return symbols
 
     def _long(self, symbols: list[str]) -> list[str]:
@@ -152,7 +155,7 @@ class Lexicon:
     """A compiled transducer, mapped into memory."""
 
     def __init__(self, path: str):
-        block = np.memmap(path, dtype=np.uint8, mode="r")
+        block = np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))  # a plain view of the mapped pages
         self.root, arcs, states, starts, outputs = block[:40].view("<i8").tolist()
         at = 40
 
@@ -188,9 +191,9 @@ class Lexicon:
         known = state >= 0
         known[known] = self.finals[state[known]] == 1
         out: list[list[int] | None] = [None] * len(words)
-        for at in np.flatnonzero(known):
-            r = row[at]
-            out[order[at]] = self.outputs[self.starts[r]:self.starts[r + 1]].tolist()
+        begin, end = self.starts[row[known]].tolist(), self.starts[row[known] + 1].tolist()
+        for at, b, e in zip(order[known].tolist(), begin, end):
+            out[at] = self.outputs[b:e].tolist()
         return out
 
 
@@ -214,24 +217,22 @@ class Coder:
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
+        self.known: dict[str, tuple[str, str]] = {}  # a chunk's ids and tokens, each joined by blanks
         self.specials = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")")
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > KEPT_CHUNKS:
-            self.ids.clear()
-            self.tokens.clear()
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > KEPT_CHUNKS:
+            self.known.clear()
             new = list(chunks)
-        words = [WORDS.findall(c) for c in new]
+        words = [[c] if c.isalpha() else WORDS.findall(c) for c in new]  # letters alone are one word
         distinct = list({w for ws in words for w in ws})
         found = {w: ids if ids is not None else self.merges.word(w)
                  for w, ids in zip(distinct, self.lexicon.find([w.encode("utf-8") for w in distinct]))}
+        tokens = self.merges.tokens
         for chunk, ws in zip(new, words):
-            ids = [i for w in ws for i in found[w]]
-            self.ids[chunk] = " ".join(map(str, ids))
-            self.tokens[chunk] = " ".join([self.merges.tokens[i] for i in ids])
+            ids = found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]]
+            self.known[chunk] = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def pieces(self, text: str) -> list[str | int]:
         """Chunks, and special tokens as their ids."""
@@ -244,11 +245,13 @@ class Coder:
 
     def encode(self, pieces: list[str | int]) -> tuple[str, str]:
         """Decimal ids joined by blanks, and the decoded text."""
+        if not pieces:
+            return "", ""
         try:
-            return " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.tokens.__getitem__, pieces))
+            ids, tokens = zip(*map(self.known.__getitem__, pieces))
         except KeyError:
-            return (" ".join([str(p) if isinstance(p, int) else self.ids[p] for p in pieces]),
-                    " ".join([self.merges.tokens[p] if isinstance(p, int) else self.tokens[p] for p in pieces]))
+            ids, tokens = zip(*[(str(p), self.merges.tokens[p]) if isinstance(p, int) else self.known[p] for p in pieces])
+        return " ".join(ids), " ".join(tokens)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -327,7 +330,8 @@ def _coded(docs: DataFrame, vocabulary: str, lexicon_words: int, result):
         held = 0
 
         def coded() -> Iterator[tuple]:
-            coder.learn({p for _, pieces in block for p in pieces if isinstance(p, str)})
+            chunks = set().union(*(pieces for _, pieces in block))
+            coder.learn(chunks.difference(coder.merges.special.values()))
             for doc_id, pieces in block:
                 yield doc_id, *result(*coder.encode(pieces))
 
