@@ -15,11 +15,13 @@ word (many languages inflect and compound). A word said again and again counts o
    logistic fit on a histogram of the training rows.
 
 Held-out rows give neither token counts nor tail nor fit. The token table sent to the
-workers has at most ``lexicon_size`` tokens.
+workers holds every token that scores, and of the others those that keep a word from
+being judged by its beginning.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -99,8 +101,10 @@ def token_scores(counts: DataFrame, lexicon_size: int, prior: float = 100.0, dev
     """Shrunk log-odds of words in more than ``rare`` training documents and of the beginnings of rarer ones.
 
     Zero where a token does not tell the classes apart by ``deviations`` standard
-    deviations; words score zero too, so that their beginnings are not asked. At most
-    ``lexicon_size`` words and as many beginnings, those in most documents first.
+    deviations. Tokens without a score are left out, as they get the drift anyway, except
+    words that begin like a scoring beginning: those score zero, so it is not asked. No
+    token is left out for want of room; a table of more than ``lexicon_size`` is logged,
+    since every worker holds it.
     """
     counts = materialise(counts, "toxic-tokens")
     totals = {r["is_doc"]: (r["toxic"] or 0, r["clean"] or 0) for r in counts.groupBy((F.col("token") == "").alias("is_doc")).agg(
@@ -113,17 +117,21 @@ def token_scores(counts: DataFrame, lexicon_size: int, prior: float = 100.0, dev
     odds = F.log(in_toxic / (F.lit(toxic + prior) - in_toxic)) - F.log(in_clean / (F.lit(clean + prior) - in_clean))
     sure = F.greatest(F.abs(odds) - F.lit(deviations) * F.sqrt(1 / in_toxic + 1 / in_clean), F.lit(0.0))
 
-    def scored(rows: DataFrame) -> dict[str, float]:
-        most = F.desc(F.col("toxic") + F.col("clean"))
-        found = rows.select("token", "toxic", "clean", (F.signum(odds) * sure).alias("score")).orderBy(most, "token").limit(lexicon_size)
-        return {r["token"]: r["score"] for r in found.select("token", "score").collect()}
+    def begun(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("beginning", F.explode(F.array(*[
+            F.when(F.length("token") >= n, F.concat(F.substring("token", 1, n), F.lit("*"))) for n in BEGINNINGS]))).where(F.col("beginning").isNotNull())
 
     words = counts.where(F.col("token") != "")
     many = F.col("toxic") + F.col("clean") > rare
-    begun = words.where(~many).select(F.explode(F.array(*[
-        F.when(F.length("token") >= n, F.concat(F.substring("token", 1, n), F.lit("*"))) for n in BEGINNINGS])).alias("token"), "toxic", "clean")
-    begun = begun.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return scored(words.where(many)) | scored(begun.where(many & (sure > 0)))
+    scored = F.signum(odds) * sure
+    beginnings = begun(words.where(~many)).groupBy(F.col("beginning").alias("token")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    beginnings = materialise(beginnings.where(many & (sure > 0)).select("token", scored.alias("score")), "toxic-beginnings")
+    silent = begun(words.where(many & (sure <= 0)).select("token")).join(
+        beginnings.select(F.col("token").alias("beginning")), "beginning", "left_semi").select("token", F.lit(0.0).alias("score")).distinct()
+    found = words.where(many & (sure > 0)).select("token", scored.alias("score")).unionByName(beginnings).unionByName(silent).collect()
+    if len(found) > lexicon_size:
+        logging.getLogger(__name__).warning("the table of toxic tokens has %d entries, more than %d", len(found), lexicon_size)
+    return {r["token"]: r["score"] for r in found}
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:

@@ -72,3 +72,14 @@ def test_held_out_rows_are_told_apart(spark):
     clean = [r for r in rows if not r["toxic"]]
     assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
     assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
+
+
+def test_every_scoring_token_has_a_place(spark):
+    rows = [("", 300, 3000), *[(f"common{i}", 200, 2000) for i in range(30)], *[(w, 60, 2) for w in ("vile", "scum", "rotten")]]
+    rows += [("grimy" + e, 5, 0) for e in "abcdefgh"] + [("grimyness", 4, 40), ("plainly", 4, 40)]
+    counts = spark.createDataFrame(rows, "token string, toxic long, clean long")
+    tokens = t.token_scores(counts, lexicon_size=2)
+    known = t.WordScores(tokens, 0.2)
+    assert all(known[w] > 0 for w in ("vile", "scum", "rotten", "grimya", "grimyx"))
+    assert known["grimyness"] == known["plainly"] == known["common3"] == -0.2 and "plainly" not in tokens
+    assert tokens == t.token_scores(counts, lexicon_size=1000)
