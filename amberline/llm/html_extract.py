@@ -5,8 +5,9 @@ much is learned from labelled pages: those whose markup itself says where the ar
 is. For every kind of word (by the element it stands in) and every tag the weight is the
 log-odds of lying inside rather than outside the article, counted over all labelled
 pages in Spark. One linear scan then finds the best contiguous region of any page. The
-region is completed to the article element it lies in, if there is one, and text inside
-it that belongs to menus, adverts, forms, notices or comments is left out.
+region is completed to the outermost article elements it reaches into, with all that is
+nested in them, and text inside it that belongs to menus, adverts, forms, notices or
+comments is left out.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class Run:
     text: str | None
     block: int
     apart: bool  # in a menu, advert, form, notice, comment list or the like
-    article: int  # number of the innermost article around it, 0 outside
+    article: int  # number of the outermost article around it, 0 outside
 
 
 def _is_apart(tag: str, rest: str, in_article: bool) -> bool:
@@ -113,7 +114,7 @@ def runs(page: str) -> Iterator[Run]:
                 del stack[depth:]
                 _, apart, article = stack[-1] if stack else ("", False, 0)
         apart = apart or _is_apart(tag, m["rest"], bool(article))
-        if tag in LABELLED and not apart:
+        if tag in LABELLED and not apart and not article:
             articles += 1
             article = articles
         yield Run(f"tag:{tag if tag in KNOWN_TAGS else 'unknown'}", None, block, apart, article)
@@ -176,14 +177,12 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     scores = [0.0 if r.feature == "space" else weights.get(r.feature, DEFAULT_TAG) if r.text is None
               else len(r.text.split()) * weights.get(r.feature, LEAST if r.apart else DEFAULT_WORD) for r in found]
     begin, end = best_region(scores)
-    inside: Counter[int] = Counter()
-    for r, score in zip(found[begin:end], scores[begin:end]):
-        if r.text is not None and not r.apart:
-            inside[r.article] += score
-    article = max(inside, key=inside.get, default=0)
-    chosen = [r for r in found if r.article == article] if article else found[begin:end]
+    reached = {r.article for r in found[begin:end] if r.article and r.text is not None and r.text.strip() and not r.apart}
+    places = [at for at, r in enumerate(found) if r.article in reached]
+    if places:
+        begin, end = min(begin, places[0]), max(end, places[-1] + 1)
     blocks: dict[int, list[str]] = {}
-    for r in chosen:
+    for r in found[begin:end]:
         if r.text is not None and not r.apart:
             blocks.setdefault(r.block, []).append(r.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())

@@ -53,3 +53,15 @@ def test_given_pages_give_their_article_and_nothing_else(spark):
 def test_menu_words_weigh_less_than_article_words(spark):
     weights = h.learn_weights(read(spark, "/root/testdata/sf0.001", "pages"))
     assert weights["word:p"] > weights["apart:a"] > 0 > weights["tag:p"] > weights["tag:nav"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<nav><a>Home</a></nav><main><h1>Head</h1><p>first words</p><article><p>a b c d e f</p></article><p>last words</p></main><footer>end</footer>",
+     "Head\nfirst words\na b c d e f\nlast words"),
+    ("<article><p>a b c d</p><article><p>quoted e f</p></article><p>g h</p></article>", "a b c d\nquoted e f\ng h"),
+    ("<nav><a>Home</a></nav><article><p>a b c d</p></article><article><p>e f g</p></article><footer>end</footer>", "a b c d\ne f g"),
+    ("<p>intro words here</p><article><p>a b c d</p></article>", "intro words here\na b c d"),
+    ("<nav><a>Home</a></nav><div><p>a b c</p><div><p>d e f</p></div></div><footer>end</footer>", "a b c\nd e f"),
+])
+def test_the_region_bounds_the_text(page, text):
+    assert h.main_text(page, WEIGHTS) == text
