@@ -7,8 +7,8 @@ dots, other separators, no plus). Texts are cut into overlapping windows; scores
 positions that several windows cover are averaged, those far from a window's edge
 counting more, and one Viterbi path runs over every connected stretch.
 
-Every kind of span holds a digit or an @ by definition, so windows without either are
-not looked at: nothing in them could be accepted.
+Windows are looked at where a span could be accepted: those with a digit, an @ or the
+word "at" before something that reads as a domain with spelled-out or plain dots.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile("[0-9@]")
 DIGITS = re.compile("[0-9]")
+# an address without digits and @, from its "at" on: every one that holds() accepts has this
+SPELLED = re.compile(r"\bat\b\s*[)\]}]?\s*[A-Za-z0-9-]+(?:\s*[(\[{]?\s*(?:\.|\bdot\b)\s*[)\]}]?\s*[A-Za-z0-9-]+)+", re.IGNORECASE)
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, STRIDE = 96, 48
 BLOCK_CHARS = 2_000_000
@@ -82,7 +84,7 @@ def written(spans: list[tuple[int, str, int]]) -> str:
 
 def holds(kind: str, span: str) -> bool:
     """Whether a tagged span, its veil lifted, is of its kind."""
-    if not HINT.search(span) or "\n" in span:
+    if "\n" in span or kind != "email" and not HINT.search(span):
         return False
     if kind == "email":
         parts = AT.split(span.strip())
@@ -112,8 +114,24 @@ def veiled(kind: str, span: str, choice: int) -> str:
     return [span[1:], "00" + span[1:], span.replace(" ", "/", 1)[1:]][choice % 3]
 
 
-def examples(text: str) -> Iterator[tuple[str, str]]:
-    """(window, tags as digits) around every labelled span, plain and veiled, and around digits outside spans."""
+def _without_digits(address: str) -> str | None:
+    """The address with its digits left out; None where that is none."""
+    plain = re.sub(r"[._%+-]+(?=@)", "", DIGITS.sub("", address))
+    return plain if holds("email", plain) else None
+
+
+def _shifted(address: str, by: int) -> str:
+    """The address with other letters, so that its few names and domains are not learned by heart; of an odd shift without the first label of a long domain."""
+    name, domain = address.split("@")
+    if by % 2 and domain.count(".") > 1:
+        domain = domain.split(".", 1)[1]
+    last = domain.rindex(".")
+    moved = re.sub("[a-z]", lambda m: chr((ord(m[0]) - 97 + by) % 26 + 97), f"{name}@{domain[:last]}")
+    return moved + (domain[last:], ".org", ".net", ".de")[by % 4]
+
+
+def examples(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(window, tags as digits, whether for addresses without digits) around every labelled span, plain and veiled, and around digits and spelled-out dots outside spans."""
     spans, last = [], -1
     for start, kind, end in base_spans(text):
         if start >= last:  # of overlapping spans the first
@@ -123,7 +141,11 @@ def examples(text: str) -> Iterator[tuple[str, str]]:
         if end - start > WINDOW // 2:
             continue
         shift = (start * 7 + at) % (WINDOW - (end - start))
-        for changed in (text[start:end], veiled(kind, text[start:end], start + at)):
+        forms = [(text[start:end], False), (veiled(kind, text[start:end], start + at), False)]
+        if kind == "email":  # the given addresses may all hold digits; others need not
+            plain = _without_digits(text[start:end])
+            forms += [(veiled(kind, _shifted(plain, (start + at) * choice), choice), True) for choice in range(3)] if plain else []
+        for changed, spelled in forms:
             whole = text[:start] + changed + text[end:]
             begin = max(0, start - shift)
             window = whole[begin:begin + WINDOW]
@@ -140,16 +162,16 @@ def examples(text: str) -> Iterator[tuple[str, str]]:
                     tags[a] -= 1
                 elif a < 0 < b:
                     tags[:b] = 2 + 2 * KINDS.index(k)
-            yield window, "".join(map(str, tags))
+            yield window, "".join(map(str, tags)), spelled
     covered = {p for s, _, e in spans for p in range(s, e)}
-    for m in list(re.finditer("[0-9]+", text))[:8]:
+    for m in [*list(re.finditer("[0-9]+", text))[:8], *list(SPELLED.finditer(text))[:2]]:
         if m.start() not in covered and not any(p in covered for p in range(max(0, m.start() - WINDOW), m.start() + WINDOW)):
             begin = max(0, m.start() - WINDOW // 2)
-            yield text[begin:begin + WINDOW], "0" * WINDOW
+            yield text[begin:begin + WINDOW], "0" * WINDOW, m.re is SPELLED
 
 
 def train_tagger(docs: DataFrame, sample_docs: int = 1_000, windows: int = 1_500, epochs: int = 8) -> Tagger | None:
-    """A tagger fitted to at most ``windows`` windows of at most ``sample_docs`` documents with a digit or @.
+    """A tagger fitted to at most ``windows`` windows of at most ``sample_docs`` documents with a digit or @, and half as many for addresses without digits.
 
     Both samples go by a hash of the content, so they don't depend on the order or
     partitioning of rows. None where no document has a labelled span.
@@ -161,7 +183,8 @@ def train_tagger(docs: DataFrame, sample_docs: int = 1_000, windows: int = 1_500
         for text, in rows:
             yield from examples(text)
 
-    rows = map_rows(some, run, "window string, tags string").orderBy(F.xxhash64("window", "tags"), "window").limit(windows).collect()
+    found = map_rows(some, run, "window string, tags string, spelled boolean").orderBy(F.xxhash64("window", "tags"), "window")
+    rows = [r for spelled, n in ((False, windows), (True, windows // 2)) for r in found.where(F.col("spelled") == spelled).limit(n).collect()]
     if not any(set(r["tags"]) - {"0"} for r in rows):
         return None
     codes = np.full((len(rows), WINDOW), PAD, np.uint8)
@@ -176,7 +199,8 @@ def tagged_spans(found: list[str], tagger: Tagger, at_once: int = 1_024) -> list
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
     windows: list[tuple[int, int, np.ndarray]] = []  # text, start, symbols
     for which, text in enumerate(found):
-        hints = np.array([m.start() for m in HINT.finditer(text)])
+        hints = np.array([m.start() for m in HINT.finditer(text)] + [
+            p for m in SPELLED.finditer(text) for p in (*range(m.start(), m.end(), STRIDE), m.end() - 1)])
         if not len(hints):
             continue
         # windows begin at multiples of the stride; every one with a hint in it is looked at

@@ -103,3 +103,17 @@ def test_odd_rows_and_redaction(spark, tagger):
 
 def test_symbols_of_any_text():
     assert symbols("aé1€\U0001f600").tolist() == [97, 128, 49, 129, 129]
+
+
+def test_addresses_without_digits_are_found(spark, tagger):
+    names, domains = ("john.smith", "anna", "maria.lopez", "office"), ("example.org", "mail.example.com", "company.net")
+    spans = [form for n in names for d in domains for form in (
+        f"{n} at {d.replace('.', ' dot ')}", f"{n}(at){d.replace('.', '(dot)')}", f"{n} [at] {d}")]
+    assert all(pii.holds("email", s) for s in spans)
+    found = 0
+    for s in spans:
+        text = f"words and more of them, please write to {s} for all the rest of it and more"
+        found += any(k == "email" and b < 40 + len(s) and e > 40 for b, k, e in next(pii.all_spans([text], tagger))[1])
+    text = "We met at home. Then we looked at that. And so on, at last. " * 5
+    wrong = next(pii.all_spans([text], tagger))[1]
+    assert found >= 0.6 * len(spans) and wrong == [], (found, wrong)
