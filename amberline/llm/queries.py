@@ -25,7 +25,7 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(read(spark, sf_dir, "documents")).drop("spans")
+    return repeats.removed(read(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

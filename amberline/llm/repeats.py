@@ -17,12 +17,16 @@ Which bytes lie in a ``length``-byte string that starts anywhere else, too?
   prefix with a neighbour reaches its length.
 * A collection too long for one task's block goes by hashes of all its strings instead,
   which are counted with map-side aggregates: the exact way for the rest.
+
+The symbols are the text's bytes. The same construction over the text's words, four
+bytes a word, finds passages of a number of words (:func:`word_codes`), which may have
+fewer bytes than ``length``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -34,6 +38,10 @@ from amberline.session import materialise
 
 STEP = 1 << 22  # string starts looked at together; places fit in 24 bits
 BLOCK = 6_000  # segments of a block, and of the longest collection that is not split
+KNOWN = 300_000  # words whose codes a task remembers
+WORD = 4  # bytes of a word's code
+BITMAP = 32768  # bits in one value of bitmap_construct_agg
+BITS = 1 << 26  # of the bitmap of anchors met twice: 8 MiB at most
 ABSENT = 256  # the symbol of a column that a segment does not have
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
@@ -124,6 +132,26 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def same_bytes(data: bytes) -> bytes:
+    return data
+
+
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        code = xxhash.xxh32_digest(word)
+        if len(self) < KNOWN:
+            self[word] = code
+        return code
+
+
+_codes = _Codes()
+
+
+def word_codes(data: bytes) -> bytes:
+    """Four bytes a word, words between ASCII white space: equal words have equal codes, and unlike ones hardly ever."""
+    return b"".join(map(_codes.__getitem__, data.split()))
+
+
 RUNS = "key long, segment binary, first int, last int"
 
 
@@ -164,19 +192,33 @@ def _collections(length: int, inner: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, inner: int = 100) -> DataFrame:
-    """(text_key, spans): for every text with repeats, the sorted bounds of the covered byte ranges (not merged)."""
+def _met_twice(found: DataFrame) -> DataFrame:
+    """The rows whose anchor occurs at least twice, and the few that share a bit with one: no other row has a partner."""
+    slot, part = F.pmod(F.col("key"), F.lit(BITS)), F.floor(F.pmod(F.col("key"), F.lit(BITS)) / BITMAP).cast("int")
+    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    taken = materialise(often.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(slot % BITMAP).alias("taken")), "anchor-bitmap")
+    at = slot % BITMAP
+    byte = F.conv(F.hex(F.substring("taken", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    # at most BITS / 8 bytes whatever the input's size
+    return found.withColumn("part", part).join(F.broadcast(taken), "part").where(held).drop("part", "taken")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, inner: int = 100, stream: Callable[[bytes], bytes] = same_bytes) -> DataFrame:
+    """(text_key, spans): for every text with repeats, the sorted bounds of the covered ranges (not merged) of ``stream`` of its bytes."""
     text = _keyed(docs)
 
     def find(rows: Iterator[tuple]) -> Iterator[tuple]:
         hasher = Hasher(inner)
-        for doc_id, key, data in rows:
+        for doc_id, key, own in rows:
+            data = stream(own)
             if len(data) >= length:
                 view = np.frombuffer(data, np.uint8)
                 for anchor, place, first, last in anchors(view, length, hasher):
                     yield key, doc_id, anchor, xxhash.xxh3_128_digest(data[first:last + length]), place, first, last
 
     found = materialise(map_rows(text, find, "text_key binary, doc_id long, key long, segment binary, place int, first int, last int"), "anchors")
+    found = _met_twice(found)
     kinds = found.groupBy("key", "segment").agg(
         F.count("*").alias("n"), F.min(F.struct("text_key", "doc_id", "place", "first", "last")).alias("at")).select("key", "segment", "n", "at.*")
     kinds = materialise(kinds, "segments")
@@ -190,7 +232,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, inner: int = 100) -> Data
     wanted = materialise(wanted, "wanted-segments")
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for data, own in rows:
+        for whole, own in rows:
+            data = stream(whole)
             for w in own:
                 yield w["key"], w["segment"], w["kinds"], w["place"] - w["first"], data[w["first"]:w["last"] + length]
 
@@ -231,21 +274,26 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removed(docs: DataFrame, length: int = 400, inner: int = 100, keep_bytes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row.
+def removed(docs: DataFrame, length: int = 400, inner: int = 100, passage_words: int = 51, keep_bytes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passage_words[, kept]) of every row.
 
     Each byte covered by a ``length``-byte string that also starts elsewhere, in the same
     text or another row's, is removed; strings are judged on the input. Texts are UTF-8
     bytes, null texts empty; shorter texts lose nothing. Equal texts in two rows are each
     other's repeats, repeated rows too. An empty table gives no row. Bytes kept may begin
     or end inside a character.
+
+    ``n_passage_words`` counts the words covered by a passage of ``passage_words`` words
+    that also starts elsewhere. Such a passage may be shorter than ``length`` bytes, so
+    the column is above 0 in rows that lose nothing; it removes nothing. With 0
+    ``passage_words`` it is 0.
     """
     if not 1 < inner < length:
         raise ValueError("inner lies between 1 and length")
     spans = repeated_spans(docs, length, inner)
 
     def finish(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, data, own in rows:
+        for doc_id, data, own, passages in rows:
             joined = merged([(s["start"], s["end"]) for s in own or []])
             kept, last = [], 0
             for start, end in joined:
@@ -253,8 +301,15 @@ def removed(docs: DataFrame, length: int = 400, inner: int = 100, keep_bytes: bo
                 last = end
             left = b"".join([*kept, data[last:]])
             bounds = [{"start": a, "end": b} for a, b in joined]
-            yield doc_id, len(data), len(data) - len(left), len(joined), hashlib.sha256(left).hexdigest(), bounds, *([left] if keep_bytes else [])
-
-    rows = _keyed(docs).join(spans, "text_key", "left").select("doc_id", "data", "spans")
-    return map_rows(rows, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+            covered = sum(b // WORD - -(-a // WORD) for a, b in merged([(s["start"], s["end"]) for s in passages or []]))
+            yield doc_id, len(data), len(data) - len(left), len(joined), hashlib.sha256(left).hexdigest(), bounds, covered, *([left] if keep_bytes else [])
+
+    rows = _keyed(docs).join(spans, "text_key", "left")
+    if passage_words:
+        passages = repeated_spans(docs, WORD * passage_words, WORD * max(1, passage_words // 5), word_codes)
+        rows = rows.join(passages.withColumnRenamed("spans", "passages"), "text_key", "left")
+    else:
+        rows = rows.withColumn("passages", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    return map_rows(rows.select("doc_id", "data", "spans", "passages"), finish,
+                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, n_passage_words long"
                     + (", kept binary" if keep_bytes else ""))

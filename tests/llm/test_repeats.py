@@ -81,3 +81,44 @@ def test_long_texts_go_in_steps(monkeypatch):
     monkeypatch.setattr(r, "STEP", 300)
     assert {(k, p, s) for k, p, a, b in r.anchors(data, 50, r.Hasher(12)) for s in range(a, b + 1)} == whole
     assert sorted(s for _, _, s in whole) == list(range(5000 - 49))
+
+
+def passages(rows, size):
+    """Words covered by a passage of ``size`` words that also starts elsewhere."""
+    seen = Counter()
+    words = [(i, (t or "").encode().split()) for i, t in rows]
+    for _, w in words:
+        seen.update(tuple(w[k:k + size]) for k in range(len(w) - size + 1))
+    return sorted(((i, len({p for k in range(len(w) - size + 1) if seen[tuple(w[k:k + size])] > 1 for p in range(k, k + size)})) for i, w in words), key=str)
+
+
+@pytest.mark.parametrize("block", [6000, 4])
+def test_passages_of_words(spark, monkeypatch, block):
+    monkeypatch.setattr(r, "BLOCK", block)
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "né", "bcd", "e\x85f", "gh"]) + rng.choice(["", "x", "yy"]) for _ in range(n))
+    shared = [text(rng.randrange(8, 30)) for _ in range(6)]
+    rows = [(i, text(rng.randrange(0, 20)) + "  " + rng.choice(shared) + "\n" + text(5) + " " + rng.choice(shared)[:40]) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "of " * 200), (63, rows[0][1]), (63, rows[1][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x["doc_id"], x["n_passage_words"]) for x in r.removed(docs, 4000, 10, passage_words=10).collect()), key=str)
+    assert got == passages(rows, 10)
+
+
+def test_short_passages_of_many_words(spark):
+    """Over 50 words in fewer than 400 bytes: nothing is removed, but the passage is found; documents without one are left alone."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = text(55)
+    rows = [(i, f"{text(60)} {shared} {text(60)}") for i in range(5)] + [(i, text(150)) for i in range(5, 10)]
+    found = {x["doc_id"]: x for x in r.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(x["n_removed"] == 0 for x in found.values())
+    assert [found[i]["n_passage_words"] for i in range(10)] == [55] * 5 + [0] * 5
+
+
+def test_long_collections_of_given_documents(spark, monkeypatch):
+    """The way for collections above BLOCK, on a table that has many."""
+    monkeypatch.setattr(r, "BLOCK", 3)
+    rows = [(x["doc_id"], x["text"]) for x in read(spark, "/root/testdata/sf0.01", "documents").where("length(text) < 8000").collect()]
+    got = sorted((tuple(x)[:5] for x in r.removed(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=0).collect()), key=str)
+    assert got == plainly(rows, 400)
