@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from amberline.operators import bootstrap, calibration, drift, fairness, histogram, ranking, scorecard
+from amberline.operators import aggregates, bootstrap, calibration, drift, fairness, histogram, ranking, scorecard
 from amberline.operators.aggregates import rates_by_band
+from amberline.operators.quantiles import edges_scalar, exact_quantiles, right_closed_bin
 from amberline.plans.registry import Tables, query
 from amberline.plans.scalar import WILSON_HIGH_SQL, WILSON_SQL
 from amberline.plans.summaries import BAND_CELLS_SQL, _banded, _rounded
@@ -312,11 +313,58 @@ def spread_over_runs(t: Tables):
 @query("ev26_decile_stability", f"""
 WITH {DRAW_SQL}, {_replicate_sql('a', 'fine_score')}, x AS (SELECT g, i, bad, n, greatest(least(nb + n, floor((i + 1) * na / 10)) - greatest(nb, floor(i * na / 10)), 0) AS o
  FROM ac, (SELECT range AS i FROM range(10))),
-d AS (SELECT g, i, round(sum(bad * o / n) / sum(o), 4) AS rate FROM x WHERE o > 0 GROUP BY 1, 2),
-s AS (SELECT g, rate >= lag(rate) OVER (PARTITION BY g ORDER BY i) AS up FROM d), p AS (SELECT g, count(*) FILTER (up) AS steps_ok FROM s GROUP BY 1)
-SELECT steps_ok, count(*) AS replicates FROM p GROUP BY 1""")
+d AS (SELECT g, i, sum(o) AS n, sum(bad * o / n) AS k FROM x WHERE o > 0 GROUP BY 1, 2),
+e AS (SELECT g, i, round(k / n, 4) AS rate, round({WILSON_SQL}, 4) AS lo, round({WILSON_HIGH_SQL}, 4) AS hi FROM d),
+s AS (SELECT g, rate >= lag(rate) OVER w AS up, hi >= lag(lo) OVER w AS meets FROM e WINDOW w AS (PARTITION BY g ORDER BY i) QUALIFY lag(rate) OVER w IS NOT NULL),
+p AS (SELECT g, avg(up::INT) AS strict, avg((up OR meets)::INT) AS interval_aware FROM s GROUP BY 1),
+u AS (SELECT unnest(['strict', 'interval']) AS reading, unnest([strict, interval_aware]) AS held FROM p)
+SELECT reading, count(*) AS replicates, round(avg(held), 6) AS mean, round(quantile_cont(held, 0.05), 6) AS p05, round(quantile_cont(held, 0.95), 6) AS p95,
+ round(min(held), 6) AS lowest, round(max(held), 6) AS highest, round(avg((held >= 0.9)::INT), 6) AS share_passing FROM u GROUP BY 1""")
 def decile_stability(t: Tables):
-    return bootstrap.decile_stability(t.eligible(), "fine_score", REPLICATES)
+    out = bootstrap.decile_stability(t.eligible(), "fine_score", REPLICATES)
+    return _rounded(out, 6, "mean", "p05", "p95", "lowest", "highest", "share_passing")
+
+
+CUTS_SQL = f"""ed AS (SELECT quantile_cont(sanctioned, [0.2, 0.4, 0.6, 0.8]) AS q FROM eligible),
+cutrow AS (SELECT account_id, went_bad, fine_score, unnest(['portfolio', 'constitution', 'segment', 'secured', 'ticket', 'vintage', 'sector', 'geography', 'calendar']) AS cut,
+ unnest([portfolio, constitution, CASE WHEN sanctioned <= 1000000 THEN '0' WHEN sanctioned <= 10000000 THEN '1' ELSE '2' END, secured::VARCHAR,
+  CASE WHEN sanctioned <= q[1] THEN '0' WHEN sanctioned <= q[2] THEN '1' WHEN sanctioned <= q[3] THEN '2' WHEN sanctioned <= q[4] THEN '3' ELSE '4' END,
+  CASE WHEN vintage_months < 12 THEN '0' WHEN vintage_months < 18 THEN '1' WHEN vintage_months < 30 THEN '2' WHEN vintage_months < 48 THEN '3' ELSE '4' END,
+  state, region, period::VARCHAR]) AS level FROM eligible, ed)"""
+
+
+def cuts(edges):
+    """The nine cuts; bands are numbered so that their levels sort as numbers."""
+    band = lambda column, edges: sum((column >= e).cast("int") for e in edges)
+    return {
+        "portfolio": F.col("portfolio"), "constitution": F.col("constitution"), "segment": (F.col("sanctioned") > 1_000_000).cast("int") + (F.col("sanctioned") > 10_000_000).cast("int"),
+        "secured": F.col("secured"), "ticket": right_closed_bin(F.col("sanctioned"), edges), "vintage": band(F.col("vintage_months"), (12, 18, 30, 48)),
+        "sector": F.col("state"), "geography": F.col("region"), "calendar": F.col("period")}
+
+
+@query("ag11_metric_by_cut", f"""
+WITH {DRAW_SQL}, {CUTS_SQL},
+rh AS (SELECT cut, level, fine_score AS score, count(*)::DOUBLE AS n, sum(went_bad)::DOUBLE AS bad FROM cutrow GROUP BY 1, 2, 3),
+rc AS (SELECT *, sum(n) OVER w - n AS nb, sum(bad) OVER w - bad AS bb, sum(n) OVER t AS na, sum(bad) OVER t AS ba FROM rh
+ WINDOW w AS (PARTITION BY cut, level ORDER BY score), t AS (PARTITION BY cut, level)),
+rm AS (SELECT cut, level, max(na)::BIGINT AS n, max(ba)::BIGINT AS n_bad, sum(bad * (nb - bb + (n - bad) / 2)) / nullif(max(ba) * max(na - ba), 0) AS auc FROM rc GROUP BY 1, 2),
+bh AS (SELECT b, cut, level, fine_score AS score, sum(w)::DOUBLE AS n, sum(w * went_bad)::DOUBLE AS bad FROM cutrow JOIN wt USING (account_id) WHERE w > 0 GROUP BY 1, 2, 3, 4),
+bc AS (SELECT *, sum(n) OVER w - n AS nb, sum(bad) OVER w - bad AS bb, sum(n) OVER t AS na, sum(bad) OVER t AS ba FROM bh
+ WINDOW w AS (PARTITION BY b, cut, level ORDER BY score), t AS (PARTITION BY b, cut, level)),
+bm AS (SELECT b, cut, level, sum(bad * (nb - bb + (n - bad) / 2)) / nullif(max(ba) * max(na - ba), 0) AS auc FROM bc GROUP BY 1, 2, 3),
+bi AS (SELECT cut, level, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi, count(auc) AS replicates FROM bm GROUP BY 1, 2)
+SELECT cut, level, n, n_bad, round(auc, 6) AS auc, CASE WHEN replicates > 0 THEN round(lo, 6) END AS lo, CASE WHEN replicates > 0 THEN round(hi, 6) END AS hi, coalesce(replicates, 0) AS replicates,
+ row_number() OVER (PARTITION BY cut ORDER BY CASE WHEN cut IN ('segment', 'secured', 'ticket', 'vintage', 'calendar') THEN level::DOUBLE END, level)::INT AS level_rank
+FROM rm LEFT JOIN bi USING (cut, level)""")
+def metric_by_cut(t: Tables):
+    stored = t.stored(t.eligible(), "account_id", "period", "portfolio", "constitution", "sanctioned", "secured", "vintage_months", "state", "region", "fine_score", "went_bad")
+    edges = edges_scalar(exact_quantiles(stored, "sanctioned", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))
+    long = aggregates.stack_levels(stored.withColumn("edges", edges), cuts(F.col("edges")), "account_id", "fine_score", "went_bad")
+    cells = histogram.rank_metrics(histogram.score_histogram(long, "fine_score", groups=("cut", "level")), ("cut", "level")).select(
+        "cut", "level", "n", "n_bad", "auc")
+    spans = bootstrap.auc_interval(long, "fine_score", REPLICATES, groups=("cut", "level"))
+    out = cells.join(spans, ["cut", "level"], "left").withColumn("replicates", F.coalesce("replicates", F.lit(0).cast("long")))
+    return _rounded(aggregates.level_order(out), 6, "auc", "lo", "hi")
 
 
 def attributes():

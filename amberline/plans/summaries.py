@@ -241,22 +241,6 @@ def two_grain_exhibit(t: Tables):
     return _rounded(out, 6, "mean_score", "bad_rate")
 
 
-def cuts():
-    return {"portfolio": F.col("portfolio"), "constitution": F.col("constitution"), "secured": F.col("secured"),
-        "geography": F.col("region"), "calendar": F.col("period")}
-
-
-@query("ag11_metric_by_cut", """
-WITH x AS (SELECT went_bad, unnest(['portfolio', 'constitution', 'secured', 'geography', 'calendar']) AS cut,
- unnest([portfolio, constitution, secured::VARCHAR, region, period::VARCHAR]) AS level FROM eligible),
-g AS (SELECT cut, level, count(*) AS n, round(avg(went_bad), 6) AS rate FROM x GROUP BY 1, 2)
-SELECT cut, level, n, rate, row_number() OVER (PARTITION BY cut ORDER BY CASE WHEN cut IN ('secured', 'calendar') THEN level::DOUBLE END, level)::INT AS level_rank FROM g""")
-def metric_by_cut(t: Tables):
-    long = aggregates.stack_levels(t.eligible(), cuts(), "went_bad")
-    cells = long.groupBy("cut", "level").agg(F.count("*").alias("n"), F.round(F.avg("went_bad"), 6).alias("rate"))
-    return aggregates.level_order(cells)
-
-
 @query("ag12_quintile_ticket_cut", """
 WITH e AS (SELECT quantile_cont(sanctioned, [0.2, 0.4, 0.6, 0.8]) AS q FROM eligible)
 SELECT (CASE WHEN sanctioned <= q[1] THEN 0 WHEN sanctioned <= q[2] THEN 1 WHEN sanctioned <= q[3] THEN 2 WHEN sanctioned <= q[4] THEN 3 ELSE 4 END) AS quintile,

@@ -129,6 +129,29 @@ def test_bootstrap_interval_covers_the_estimate_and_pairs_draws(spark):
     assert all(abs(r.lo) < 1e-12 and abs(r.hi) < 1e-12 for r in same.collect())
 
 
+@pytest.mark.parametrize("split", [1_000_000, 7])
+def test_draws_as_columns_equal_rows_repeated_by_draw(spark, monkeypatch, split):
+    """Every draw's AUC and Brier against repeated rows; buckets dealt on by account give the same."""
+    monkeypatch.setattr(bootstrap, "SPLIT_ROWS", split)
+    rng = random.Random(3)
+    rows = [(i % 40, "ab"[i % 3 == 0], rng.choice([0.2, 0.2004, 0.5, 0.7, 1.0, 0.0]), rng.random(), int(rng.random() < 0.3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "account_id long, part string, p double, q double, went_bad int")
+    got = {(r.replicate, r.model, r.part): r for r in bootstrap.replicate_metrics(df, ("p", "q"), 20, groups=("part",)).collect()}
+    weights = bootstrap.Weights(20)
+    for model, at in (("p", 2), ("q", 3)):
+        for part in "ab":
+            for draw in (0, 7, 8, 19):
+                own = [(round(r[at], 6), r[4]) for r in rows if r[1] == part for _ in range(weights[str(r[0])][draw])]
+                s, y = np.array(own).T
+                r = got[draw + 1, model, part]
+                assert (r.n, r.n_bad) == (len(own), y.sum()) and r.auc == pytest.approx(pairwise_auc(s, y)) and r.brier == pytest.approx(((s - y) ** 2).mean())
+    deciles = {(r.replicate, r.decile): r for r in bootstrap.replicate_deciles(df.where("part = 'b'"), "q", 20).collect()}
+    own = sorted((round(r[3], 6), r[4]) for r in rows if r[1] == "b" for _ in range(weights[str(r[0])][5]))
+    for k in range(10):
+        lo, hi = k * len(own) // 10, (k + 1) * len(own) // 10
+        assert deciles[6, k].n == hi - lo and abs(deciles[6, k].bad - sum(y for _, y in own[lo:hi])) < 8
+
+
 def book(spark, n, seed):
     rng = random.Random(seed)
     rows = []
