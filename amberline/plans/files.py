@@ -26,13 +26,14 @@ def _monthly(t: Tables):
     """The panel under its published column names, with some cells unobserved."""
     return t.panel().select(
         F.concat(F.lit("A"), "account_id").alias("account_id"), F.col("period").alias("month_idx"), "portfolio", "region",
-        F.when(F.col("period") % 5 == 0, float("nan")).otherwise(F.round("utilisation", 6)).alias("utilisation"), "dpd",
+        F.when(F.col("period") % 5 == 0, float("nan")).otherwise(F.col("utilisation")).alias("utilisation"), "dpd", "inflow",
+        F.col("demanded").alias("demanded_amount"), "bureau_score",
         F.when(F.col("portfolio") != "HOUSEHOLD", F.col("txn_count")).alias("txn_count"), F.col("labelable"))
 
 
-MONTHLY_SQL = """SELECT 'A' || account_id AS account_id, period AS month_idx, portfolio, CASE WHEN period % 5 <> 0 THEN round(utilisation, 6) END AS utilisation, dpd,
- CASE WHEN portfolio <> 'HOUSEHOLD' THEN txn_count END AS txn_count FROM panel"""
-MONTHLY = ("account_id", "month_idx", "portfolio", "utilisation", "dpd", "txn_count")
+MONTHLY_SQL = """SELECT 'A' || account_id AS account_id, period AS month_idx, portfolio, CASE WHEN period % 5 <> 0 THEN round_even(utilisation, 4) END AS utilisation, round_even(dpd, 1) AS dpd,
+ round_even(inflow, 1) AS inflow, round_even(demanded, 0)::BIGINT AS demanded_amount, bureau_score, CASE WHEN portfolio <> 'HOUSEHOLD' THEN txn_count END AS txn_count FROM panel"""
+MONTHLY = ("account_id", "month_idx", "portfolio", "utilisation", "dpd", "inflow", "demanded_amount", "bureau_score", "txn_count")
 
 
 @query("io01_read_panel", MONTHLY_SQL)
@@ -45,10 +46,33 @@ def read_panel(t: Tables):
 @query("io03_write_panel_csv", MONTHLY_SQL)
 def write_panel_csv(t: Tables):
     path = _folder(t, "panel-csv")
-    panel_files.write_panel(panel_files.null_nan(_monthly(t)).withColumn("m", F.col("month_idx")), path, "csv", "m")
+    panel_files.write_panel(_monthly(t), path, "csv")
     return panel_files.read_panel(t.spark, path, "csv").select(*MONTHLY)
 
 
+HEADER_SQL = ", ".join(f"('{c.name}', {i})" for i, c in enumerate(panel_files.PANEL))
+
+
+@query("io03b_panel_header", f"SELECT * FROM (VALUES {HEADER_SQL}) AS h(name, place)")
+def panel_header(t: Tables):
+    """The header line of the written files: one and the same, in the contract's order."""
+    path = _folder(t, "panel-csv")
+    panel_files.write_panel(_monthly(t), path, "csv")
+    lines = t.spark.read.text(path).select("value").where(F.col("value").startswith(panel_files.PANEL[0].name + ",")).distinct()
+    return lines.select(F.posexplode(F.split("value", ",")).alias("place", "name"))
+
+
+RULED_SQL = ", ".join(f"('{c.name}', 0::BIGINT)" for c in panel_files.PANEL if c.decimals is not None)
+
+
+@query("pr15b_panel_rounding", f"SELECT * FROM (VALUES {RULED_SQL}) AS r(\"column\", violations)")
+def panel_rounding(t: Tables):
+    """Every rounded column of the contract after a round trip."""
+    path = _folder(t, "panel-csv")
+    panel_files.write_panel(_monthly(t), path, "csv")
+    return panel_files.contract_violations(panel_files.read_panel(t.spark, path, "csv"))
+
+
 @query("io02_read_accounts", """
 SELECT 'A' || account_id AS account_id, portfolio, constitution, round(sanctioned, 2) AS sanctioned_amount, secured, bureau_score AS bureau_score_0 FROM acc""")
 def read_accounts(t: Tables):
@@ -116,10 +140,10 @@ def event_month_counts(t: Tables):
 
 
 LONG_SQL = """base AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS year, sum(o_totalprice) AS inc FROM orders GROUP BY 1, 2),
-lg AS (SELECT printf('Customer#%09d', k) AS company, year, unnest(['Total Income', 'Net worth', 'PAT', 'Total borrowings including default', 'Interest expense', 'PBIT', 'Interest cover (times)']) AS measure,
+lg AS (SELECT printf('Customer#%09d', k) AS company, year, unnest(['Total Income', 'Net worth', 'PAT', 'Total borrowings including default', 'Interest expense', 'PBIT', 'PBDITA', 'PBT', 'Interest cover (times)']) AS measure,
  unnest([round(inc, 0), CASE WHEN (k + year) % 13 <> 0 THEN round(inc * ((k + year) % 5 - 1) / 4, 0) END, round(inc * ((k + 2 * year) % 6 - 1) / 20, 0), CASE WHEN (k + year) % 9 = 0 THEN 0 ELSE round(inc * ((k + year) % 7) / 5, 0) END,
-  round(inc * (k % 4) / 40, 0), round(inc * ((k + year) % 6) / 15, 0), CASE WHEN k % 10 = 0 THEN round(inc / 100000, 0) END]) AS value,
- unnest([true, true, true, true, true, true, k % 10 = 0]) AS given FROM base),
+  round(inc * (k % 4) / 40, 0), round(inc * ((k + year) % 6) / 15, 0), round(inc * ((k + year) % 6 + 1) / 15, 0), round(inc * ((k + 3 * year) % 7 - 1) / 25, 0), CASE WHEN k % 10 = 0 THEN round(inc / 100000, 0) END]) AS value,
+ unnest([true, true, true, true, true, true, true, true, k % 10 = 0]) AS given FROM base),
 long AS (SELECT company, year, measure, value FROM lg WHERE given)"""
 
 
@@ -132,10 +156,11 @@ def _base(t: Tables):
         "PAT": F.round(inc * ((k + 2 * y) % 6 - 1) / 20, 0),
         "Total borrowings including default": F.when((k + y) % 9 == 0, F.lit(0.0)).otherwise(F.round(inc * ((k + y) % 7) / 5, 0)),
         "Interest expense": F.round(inc * (k % 4) / 40, 0), "PBIT": F.round(inc * ((k + y) % 6) / 15, 0),
+        "PBDITA": F.round(inc * ((k + y) % 6 + 1) / 15, 0), "PBT": F.round(inc * ((k + 3 * y) % 7 - 1) / 25, 0),
         "Interest cover (times)": F.when(k % 10 == 0, F.round(inc / 100000, 0))}.items()])
 
 
-MEASURE_NAMES = ("Total Income", "Net worth", "PAT", "Total borrowings including default", "Interest expense", "PBIT", "Interest cover (times)")
+MEASURE_NAMES = ("Total Income", "Net worth", "PAT", "Total borrowings including default", "Interest expense", "PBIT", "PBDITA", "PBT", "Interest cover (times)")
 
 
 def _long(t: Tables):
@@ -145,15 +170,18 @@ def _long(t: Tables):
     span = t.read("orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
     held = range(span[0], span[1] + 1) if span[0] is not None else ()
     cells = _base(t).select("k", "year", *[c.alias(m) for m, c in text.items()])
-    wide = cells.groupBy("k").agg(*[F.max(F.when(F.col("year") == y, F.col(f"`{m}`"))).alias(f"c{i}_{j}")
-                                    for i, y in enumerate(held) for j, m in enumerate(MEASURE_NAMES)])
-    columns = [f"c{i}_{j}" for i in range(len(held)) for j in range(len(MEASURE_NAMES))]
-    body = wide.select(F.format_string("Customer#%09d", "k").alias("company"), *columns)
+    # a file per decade of years, each with its own stacked headers and columns
     path = _folder(t, "financials")
-    body.write.csv(path, emptyValue="", nullValue="")
-    read = t.spark.read.schema(", ".join(f"`{c}` string" for c in ["company", *columns])).csv(path)
-    years = [None, *[y for y in held for _ in MEASURE_NAMES]]
-    return company_files.financials_to_long(read, years, ["Company Name", *[m for _ in held for m in MEASURE_NAMES]])
+    for at, years in enumerate(held[i:i + 4] for i in range(0, len(held), 4)):
+        measures = MEASURE_NAMES if at % 2 == 0 else MEASURE_NAMES[::-1]
+        columns = [f"c{i}" for i in range(len(years) * len(measures))]
+        wide = cells.groupBy("k").agg(*[F.max(F.when(F.col("year") == y, F.col(f"`{m}`"))).alias(c) for c, (y, m) in zip(columns, ((y, m) for y in years for m in measures))])
+        lines = wide.select(F.concat_ws(",", F.format_string("Customer#%09d", "k"), *[F.coalesce(c, F.lit("")) for c in columns]).alias("value"))
+        top = ["Financials,all figures as supplied", "", "", "", ",".join(["", *[f"Mar {y}" for y in years for _ in measures]]), ",".join(["Company Name", *(m for _ in years for m in measures)])]
+        head = t.read("region").agg(F.count("*").alias("_n")).select(F.explode(F.array(*map(F.lit, top))).alias("value"))
+        head.coalesce(1).write.text(f"{path}/{at}/head")
+        lines.write.text(f"{path}/{at}/body")
+    return company_files.read_wide_financials(t.spark, [f"{path}/{at}" for at in range(-(-len(held) // 4))])
 
 
 @query("io06_wide_financials_to_long", f"WITH {LONG_SQL} SELECT company, year, measure, value + 0 AS value FROM long")
@@ -164,12 +192,15 @@ def wide_financials_to_long(t: Tables):
 CY_SQL = f"""{RATING_SQL}, {LONG_SQL}, fd AS (SELECT company, min(year) AS default_year FROM ev WHERE rating = 'D' GROUP BY 1),
 cy AS (SELECT company, year, max(value) FILTER (measure = 'Total Income') AS income, max(value) FILTER (measure = 'Net worth') AS networth, max(value) FILTER (measure = 'PAT') AS pat,
  max(value) FILTER (measure = 'Total borrowings including default') AS borrowings, max(value) FILTER (measure = 'Interest expense') AS interest, max(value) FILTER (measure = 'PBIT') AS pbit,
+ max(value) FILTER (measure = 'PBDITA') AS pbdita, max(value) FILTER (measure = 'PBT') AS pbt,
  max(value) FILTER (measure = 'Interest cover (times)') AS cover, bool_or(measure = 'Interest cover (times)') AS has_cover FROM long GROUP BY 1, 2),
 rt AS (SELECT c.company, c.year, CASE WHEN c.has_cover THEN c.cover ELSE c.pbit / nullif(c.interest, 0) END AS interest_cover, c.borrowings / nullif(c.networth, 0) AS debt_to_equity, c.pat / nullif(c.income, 0) AS pat_margin,
+ c.pbdita / nullif(c.income, 0) AS pbdita_margin, c.pbt / nullif(c.income, 0) AS pbt_margin, c.borrowings / nullif(c.networth, 0) AS borrow_to_networth, (nullif(c.pat, 0) - p.pat) / nullif(abs(p.pat), 0) AS d_pat,
  c.borrowings / nullif(c.income, 0) AS borrow_to_income, CASE WHEN c.networth < 0 THEN 1.0 ELSE 0.0 END AS neg_networth, CASE WHEN c.pat < 0 THEN 1.0 ELSE 0.0 END AS loss_flag, CASE WHEN c.income > 0 THEN ln(c.income) END AS log_income,
  (nullif(c.networth, 0) - p.networth) / nullif(abs(p.networth), 0) AS d_networth, (nullif(c.income, 0) - p.income) / nullif(abs(p.income), 0) AS d_income, (nullif(c.borrowings, 0) - p.borrowings) / nullif(abs(p.borrowings), 0) AS d_borrow
  FROM cy c LEFT JOIN cy p ON p.company = c.company AND p.year = c.year - 1)"""
-RATIOS = ("interest_cover", "debt_to_equity", "pat_margin", "borrow_to_income", "neg_networth", "loss_flag", "log_income", "d_networth", "d_income", "d_borrow")
+RATIOS = ("interest_cover", "debt_to_equity", "pat_margin", "pbdita_margin", "pbt_margin", "borrow_to_income", "borrow_to_networth", "neg_networth", "loss_flag", "log_income",
+          "d_networth", "d_income", "d_pat", "d_borrow")
 
 
 def _years(t: Tables):
@@ -212,10 +243,9 @@ def first_default_join(t: Tables):
     return _years(t).select("company", "year").join(company.first_default_year(_events(t)), "company", "left")
 
 
-@query("jn04_rated_companies", f"WITH {CY_SQL} SELECT company, year FROM cy WHERE company IN (SELECT company FROM ev WHERE rating <> 'A')")
+@query("jn04_rated_companies", f"WITH {CY_SQL} SELECT company, year FROM cy WHERE company IN (SELECT company FROM ev)")
 def rated_companies(t: Tables):
-    rated = _events(t).where(F.col("rating") != "A")
-    return company.rated_only(_years(t).select("company", "year"), rated)
+    return company.rated_only(_years(t).select("company", "year"), _events(t))
 
 
 TRAIN_SQL = f"""{CY_SQL}, tr AS (SELECT company, year, CASE WHEN default_year <= year + 2 THEN 1 ELSE 0 END AS "default" FROM (SELECT DISTINCT company, year FROM long WHERE measure = 'Net worth') LEFT JOIN fd USING (company)

@@ -171,7 +171,10 @@ def ordered_union(t: Tables):
 SELECT account_id, n_points, round(first_score, 6) AS first_score, last_period FROM (SELECT account_id, count(*)::INT AS n_points, arg_min(decision_score, period) AS first_score, max(period) AS last_period
  FROM panel WHERE account_id IN (SELECT account_id FROM book) GROUP BY 1)""")
 def timelines(t: Tables):
-    lines = book.timelines(t.panel(), t.book(), ("decision_score", "dpd", "inflow"))
+    points = ("decision_score", "dpd", "inflow")
+    path = os.path.join(work_dir(t.spark), f"timelines-{uuid.uuid4().hex}")
+    documents.write_timelines(t.panel(), t.book(), path, points)
+    lines = t.spark.read.schema(book.timelines(t.panel(), t.book(), points).schema).json(path)
     return lines.select("account_id", F.size("timeline").alias("n_points"), F.col("timeline")[0]["decision_score"].alias("first_score"),
                         F.element_at("timeline", -1)["period"].alias("last_period"))
 
@@ -408,9 +411,24 @@ def union_of_levels(t: Tables):
     return rows.select(F.explode(F.array("portfolio", "region")).alias("level")).distinct()
 
 
-@query("st04_union_of_portfolio_blocks", """
-SELECT account_id, period, portfolio, CASE WHEN portfolio = 'MACHINERY' THEN round(utilisation, 6) END AS utilisation FROM panel WHERE portfolio IN ('MACHINERY', 'BUILDING')""")
+# what each portfolio's own block carries besides the keys
+BLOCKS = {"MACHINERY": ("utilisation",), "BUILDING": (), "HOUSEHOLD": ("inflow",), "AUTOMOBILE": ("txn_count", "dpd"), "FURNITURE": ("utilisation", "inflow")}
+CARRIED = ("utilisation", "inflow", "txn_count", "dpd")
+
+
+def _block_sql(column: str) -> str:
+    held = ", ".join(f"'{p}'" for p, columns in BLOCKS.items() if column in columns)
+    return f"CASE WHEN portfolio IN ({held}) THEN {'round(utilisation, 6)' if column == 'utilisation' else column} END AS {column}"
+
+
+@query("st04_union_of_portfolio_blocks", f"SELECT account_id, period, portfolio, {', '.join(map(_block_sql, CARRIED))} FROM panel")
 def union_of_portfolio_blocks(t: Tables):
-    revolving = t.panel().where(F.col("portfolio") == "MACHINERY").select("account_id", "period", "portfolio", F.round("utilisation", 6).alias("utilisation"))
-    term = t.panel().where(F.col("portfolio") == "BUILDING").select("account_id", "period", "portfolio")
-    return revolving.unionByName(term, allowMissingColumns=True)
+    """Every portfolio's block, each with its own columns, as one book."""
+    panel = t.stored(t.panel(), "account_id", "period", "portfolio", *CARRIED)
+    known = panel.where(F.col("portfolio").isin(*BLOCKS))
+    blocks = [known.where(F.col("portfolio") == p).select("account_id", "period", "portfolio", *columns) for p, columns in BLOCKS.items()]
+    blocks.append(panel.where(~F.col("portfolio").isin(*BLOCKS)).select("account_id", "period", "portfolio"))
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block, allowMissingColumns=True)
+    return out.withColumn("utilisation", F.round("utilisation", 6))

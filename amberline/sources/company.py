@@ -54,11 +54,23 @@ def financials_to_long(wide: DataFrame, years: list[int | None], measures: list[
     return long.select("company", parts[0].cast("int").alias("year"), parts[1].alias("measure"), num_of(F.col("text")).alias("value"))
 
 
-def read_wide_financials(spark: SparkSession, path: str, year_row: int = 4, name_row: int = 5) -> DataFrame:
-    """Read a wide file with two header rows; only those lines come to the driver."""
-    head = [r.value for r in spark.read.text(path).take(name_row + 1)]
-    year_cells, names = head[year_row].split(","), head[name_row].split(",")
-    years = [int(c.strip()[-4:]) if c.strip()[-4:].isdigit() else None for c in year_cells]
-    columns = ["company"] + [f"c{i}" for i in range(1, len(names))]
-    body = _text_rows(spark, path, columns).where(F.col("company").isNotNull() & (F.col("company") != names[0]))
-    return financials_to_long(body, years, names)
+def read_wide_financials(spark: SparkSession, paths: list[str], year_row: int = 4, name_row: int = 5) -> DataFrame:
+    """Wide files with two stacked header rows each -> (company, year, measure, value).
+
+    Every path is a folder with ``head`` (the lines down to the measure names) and
+    ``body``; files may differ in years, measures and their order. Only the heads come to
+    the driver. Where files give the same cell the last path's stands.
+    """
+    long = None
+    for at, path in enumerate(paths):
+        head = [r.value for r in spark.read.text(f"{path}/head").take(name_row + 1)]
+        year_cells, names = head[year_row].split(","), head[name_row].split(",")
+        years = [int(c.strip()[-4:]) if c.strip()[-4:].isdigit() else None for c in year_cells]
+        columns = ["company"] + [f"c{i}" for i in range(1, len(names))]
+        body = _text_rows(spark, f"{path}/body", columns).where(F.col("company").isNotNull() & (F.col("company") != names[0]))
+        part = financials_to_long(body, years, names).withColumn("_file", F.lit(at))
+        long = part if long is None else long.unionByName(part)
+    if long is None:
+        return spark.createDataFrame([], "company string, year int, measure string, value double")
+    last = F.max_by("value", "_file") if len(paths) > 1 else F.max("value")
+    return long.groupBy("company", "year", "measure").agg(last.alias("value"))
