@@ -5,7 +5,7 @@ Rules every operator here keeps:
 * a null text (or html) counts as the empty text;
 * an operator picks the columns it needs under its own names first, so further
   columns of the input, whatever their names, neither clash nor get lost in
-  :func:`drop_ids`;
+  :func:`drop_rows`;
 * a row without an id gets its own result row with a null id and is never
   linked with another row by its id.
 """
@@ -38,10 +38,20 @@ def sha256(column: Column | str) -> Column:
     return F.sha2(F.encode(F.col(column) if isinstance(column, str) else column, "UTF-8"), 256)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; all columns as they were."""
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def content_key(text: Column | str) -> Column:
+    """128 bits of a text; a null text has those of the empty one."""
+    return F.substring(sha256(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), 1, 32)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id and content are in ``gone`` (doc_id, content); all columns as they were.
+
+    An id alone names no row: two texts under one id are told apart by their content.
+    Rows without an id stay.
+    """
+    gone = gone.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"), F.col("content").alias("__content")).distinct()
+    marked = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__own", content_key(text))
+    return marked.join(gone, (F.col("__key") == F.col("__gone")) & (F.col("__own") == F.col("__content")), "left_anti").select(*[marked[c] for c in docs.columns])
 
 
 def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str | StructType) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amberline.llm.common import drop_ids, sha256, texts
+from amberline.llm.common import content_key, drop_rows, sha256, texts
 from amberline.session import materialise
 
 BITMAP = 32768  # bits in one value of bitmap_construct_agg
@@ -63,6 +63,10 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, bits: int = 1 << 23,
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts: the one with the largest doc_id."""
-    gone = exact_groups(docs).where(~F.col("kept")).select("doc_id").where(F.col("doc_id").isNotNull())
-    return drop_ids(docs, gone)
+    """``docs`` with one row of each group of equal texts: the one with the largest doc_id.
+
+    Rows are told apart by id and text, so another text under the same id stays. Rows
+    that repeat both the largest id and the text all stay, as do rows without an id.
+    """
+    gone = exact_groups(docs, carry={"content": content_key("text")}).where(~F.col("kept")).select("doc_id", "content")
+    return drop_rows(docs, gone)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amberline.llm.common import drop_ids, map_rows, texts
+from amberline.llm.common import content_key, drop_rows, map_rows, texts
 from amberline.llm.components import components
 from amberline.session import materialise
 
@@ -91,18 +91,33 @@ def least_matches(n: int, similarity: float) -> int:
 
 
 def _signed(text: DataFrame, k: int) -> DataFrame:
+    """The signature of every row of (doc_id, content, text)."""
+
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = WordHashes()
-        for doc_id, text in rows:
+        for doc_id, content, text in rows:
             shingles = shingle_set(text, k, known)
             if not len(shingles):
-                yield doc_id, 0, None, None, None
+                yield doc_id, content, 0, None, None, None
                 continue
             coordinates = signature(shingles)
-            yield (doc_id, len(shingles), xxhash.xxh3_128_hexdigest(shingles.tobytes()),
+            yield (doc_id, content, len(shingles), xxhash.xxh3_128_hexdigest(shingles.tobytes()),
                    coordinates[:POSTED].astype(np.uint32).view(np.int32).tolist(), coordinates.astype(np.uint8).tobytes())
 
-    return map_rows(text, run, "doc_id long, n_shingles long, set_key string, posted array<int>, counted binary")
+    return map_rows(text, run, "doc_id long, content string, n_shingles long, set_key string, posted array<int>, counted binary")
+
+
+def _vertices(named: DataFrame) -> DataFrame:
+    """(set_key, first_id, doc_id): every set's smallest id, and its vertex in the graph.
+
+    The vertex is that id. Where several sets have the same smallest id, the first of
+    them takes it and the others a hash, so that texts under one id stay apart.
+    """
+    first = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("first_id")), "first-of-set")
+    owner = first.groupBy("first_id").agg(F.min("set_key").alias("owner"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    other = F.col("owner").isNotNull() & (F.col("owner") != F.col("set_key"))
+    return materialise(first.join(owner, "first_id", "left").select(
+        "set_key", "first_id", F.when(other, F.xxhash64("first_id", "set_key")).otherwise(F.col("first_id")).alias("doc_id")), "vertices")
 
 
 def _postings(signed: DataFrame, matches: int) -> DataFrame:
@@ -215,23 +230,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_key) for every row.
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, contents: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, set_key[, content]) for every row.
 
     Two texts are linked when 100 times what their sets share is at least ``percent``
     times their union; a component's id is its smallest doc_id and that row is kept.
     Texts without words (null, empty, blank) are linked with nothing. A row without
     doc_id is linked with nothing, has no component and is kept. Rows that repeat an id
-    with another text are one vertex. An empty table gives no row.
+    are linked by their texts like any others. An empty table gives no row. ``contents``
+    adds :func:`common.content_key`, which tells such rows apart.
     """
     if not 50 <= percent <= 100 or not 1 <= k <= 64:
         raise ValueError("percent lies between 50 and 100, k between 1 and 64")
     text = texts(docs)
     matches = least_matches(POSTED, percent / 100)
-    signed = materialise(_signed(text, k), "signatures")
+    content = content_key("text") if contents else F.lit(None).cast("string")
+    signed = materialise(_signed(text.select("doc_id", content.alias("content"), "text"), k), "signatures")
     named = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    first = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "first-of-set")
-    shown = named.join(first, ["set_key", "doc_id"]).select("doc_id", "set_key", "posted", "counted").dropDuplicates(["set_key", "doc_id"])
+    first = _vertices(named)
+    shown = named.withColumnRenamed("doc_id", "first_id").join(first, ["set_key", "first_id"]).select("doc_id", "set_key", "posted", "counted").dropDuplicates(["set_key"])
     groups = _postings(shown, matches)
     counted = least_matches(COUNTED, percent / 100)
 
@@ -240,13 +257,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def full(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = WordHashes()
-        for doc_id, key, own_text in rows:
+        for vertex, key, own_text in rows:
             shingles = shingle_set(own_text, k, known)
             if xxhash.xxh3_128_hexdigest(shingles.tobytes()) == key:
-                yield doc_id, shingles.tobytes()
+                yield vertex, shingles.tobytes()
 
-    keyed = first.join(wanted, first["doc_id"] == wanted["wanted"], "left_semi").select(F.col("doc_id").alias("wanted"), "set_key")
-    sets = map_rows(text.join(keyed, text["doc_id"] == keyed["wanted"]).select("doc_id", "set_key", "text"), full, "doc_id long, shingles binary")
+    keyed = first.join(wanted, first["doc_id"] == wanted["wanted"], "left_semi").select("first_id", F.col("doc_id").alias("vertex"), "set_key")
+    sets = map_rows(text.join(keyed, text["doc_id"] == keyed["first_id"]).select("vertex", "set_key", "text"), full, "doc_id long, shingles binary")
     sets = materialise(sets.dropDuplicates(["doc_id"]), "full-sets")
     links = materialise(_confirmed(trees, sets, percent), "links")
 
@@ -264,17 +281,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = links.union(materialise(across, "links"))
 
     # equal sets under one id each: a class's members take its component
-    same = first.select("set_key", F.col("doc_id").alias("first_id"))
     near = components(links.select("a", "b"))
-    labelled = materialise(same.join(near, same["first_id"] == near["id"], "left").select(
-        "set_key", F.coalesce("component_id", "first_id").alias("class_id")), "classes")
-    out = signed.select("doc_id", "n_shingles", "set_key")
+    placed = materialise(first.join(near, first["doc_id"] == near["id"], "left").select("set_key", "first_id", F.col("component_id").alias("component")), "placed-sets")
+    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("least"))
+    labelled = materialise(placed.join(least, "component", "left").select("set_key", F.coalesce("least", "first_id").alias("class_id")), "classes")
+    out = signed.select("doc_id", "n_shingles", "set_key", "content")
     joined = out.withColumn("join_key", F.coalesce("set_key", F.concat(F.lit("none-"), F.col("doc_id").cast("string")), F.lit("none"))).join(
         labelled.withColumnRenamed("set_key", "join_key"), "join_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "set_key")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "set_key", *(["content"] if contents else []))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id."""
-    return drop_ids(docs, classes(docs, k, percent).where(~F.col("kept")).select("doc_id"))
+    """``docs`` with one document of each component: the one with the smallest doc_id.
+
+    Rows go by id and text, so another text under a dropped row's id stays, and rows of
+    one component that share its smallest id all stay.
+    """
+    return drop_rows(docs, classes(docs, k, percent, contents=True).where(~F.col("kept")).select("doc_id", "content"))
