@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from amberline.llm.char_tagger import PAD, Tagger, symbols, train
 from amberline.llm.common import map_rows, texts
+from amberline.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. Runs are entered at their first character only,
@@ -35,12 +36,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile("[0-9@]")
 DIGITS = re.compile("[0-9]")
 # an address without digits and @, from its "at" on: every one that holds() accepts has this
-SPELLED = re.compile(r"\bat\b\s*[)\]}]?\s*[A-Za-z0-9-]+(?:\s*[(\[{]?\s*(?:\.|\bdot\b)\s*[)\]}]?\s*[A-Za-z0-9-]+)+", re.IGNORECASE)
+# each run of blanks is entered at its first character and left for good, so long runs take linear time
+CLOSES, OPENS = r"\s*+(?:[)\]}]\s*+)?", r"\s*+(?:[(\[{]\s*+)?"
+SPELLED = re.compile(rf"(?<![A-Za-z0-9-])at\b{CLOSES}[A-Za-z0-9-]+(?:{OPENS}(?:\.|\bdot\b){CLOSES}[A-Za-z0-9-]+)+", re.IGNORECASE)
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, STRIDE = 96, 48
 BLOCK_CHARS = 2_000_000
-AT = re.compile(r"\s*[(\[{]?\s*(?:@|\bat\b)\s*[)\]}]?\s*", re.IGNORECASE)
-DOT = re.compile(r"\s*[(\[{]?\s*(?:\.|\bdot\b)\s*[)\]}]?\s*", re.IGNORECASE)
+LOWEST = -(2**63)
+AT = re.compile(rf"(?<!\s){OPENS}(?:@|(?<![A-Za-z0-9-])at\b){CLOSES}", re.IGNORECASE)
+DOT = re.compile(rf"(?<!\s){OPENS}(?:\.|\bdot\b){CLOSES}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -171,20 +175,24 @@ def examples(text: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def train_tagger(docs: DataFrame, sample_docs: int = 1_000, windows: int = 1_500, epochs: int = 8) -> Tagger | None:
-    """A tagger fitted to at most ``windows`` windows of at most ``sample_docs`` documents with a digit or @, and half as many for addresses without digits.
+    """A tagger fitted to at most ``windows`` windows of at most ``sample_docs`` documents with a digit or @, and as many for addresses without digits.
 
-    Both samples go by a hash of the content, so they don't depend on the order or
-    partitioning of rows. None where no document has a labelled span.
+    Both samples go by a hash of the content and take equal texts once, so they don't
+    depend on the order, partitioning or copies of rows. None where no document has a
+    labelled span.
     """
-    found = texts(docs).select("text").where(F.col("text").rlike("[0-9@]"))
-    some = found.orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    found = texts(docs).select("text", F.xxhash64("text").alias("rank")).where(F.col("text").rlike("[0-9@]"))
+    # the ranks alone go through one task, the texts they belong to stay where they are
+    ranks = [r["rank"] for r in found.select("rank").distinct().orderBy("rank").limit(sample_docs).collect()]
+    some = found.where(F.col("rank") <= (ranks[-1] if ranks else LOWEST)).dropDuplicates(["rank"]).select("text")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for text, in rows:
             yield from examples(text)
 
-    found = map_rows(some, run, "window string, tags string, spelled boolean").orderBy(F.xxhash64("window", "tags"), "window")
-    rows = [r for spelled, n in ((False, windows), (True, windows // 2)) for r in found.where(F.col("spelled") == spelled).limit(n).collect()]
+    found = materialise(map_rows(some, run, "window string, tags string, spelled boolean"), "tagger-windows")
+    ordered = found.orderBy(F.xxhash64("window", "tags"), "window")
+    rows = [r for spelled, n in ((False, windows), (True, windows)) for r in ordered.where(F.col("spelled") == spelled).limit(n).collect()]
     if not any(set(r["tags"]) - {"0"} for r in rows):
         return None
     codes = np.full((len(rows), WINDOW), PAD, np.uint8)
@@ -249,9 +257,25 @@ def _spans_of(path: np.ndarray, text: str, begin: int) -> list[tuple[int, str, i
             kind = KINDS[kinds[edges[at]] - 1]
             if start < end and holds(kind, text[start:end]):
                 out.append((int(start), kind, int(end)))
+            elif start < end and kind == "email" and (whole := _completed(text, int(start), int(end))) and (not out or out[-1][2] <= whole[0]):
+                out.append((whole[0], kind, whole[1]))
     return out
 
 
+def _completed(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The spelled-out address that a span tagged as e-mail covers at least half of; the tagger's edges may lie within a word."""
+    for m in SPELLED.finditer(text, max(0, start - 1), min(len(text), end + WINDOW)):
+        stop = m.start()
+        name = stop - (stop - len(text[:stop].rstrip(" \t([{")) if stop > max(0, start - WINDOW) else 0)
+        begin = name
+        while begin > max(0, start - WINDOW) and text[begin - 1] in LOCAL:
+            begin -= 1
+        shared = min(end, m.end()) - max(start, begin)
+        if begin < name and 2 * shared >= m.end() - begin and holds("email", text[begin:m.end()]):
+            return begin, m.end()
+    return None
+
+
 def all_spans(found: list[str], tagger: Tagger | None) -> Iterator[tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]]:
     """Per text the base spans, and all: those and the tagger's that touch none of them."""
     tagged = tagged_spans(found, tagger) if tagger else [[] for _ in found]

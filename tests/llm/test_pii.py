@@ -1,7 +1,9 @@
 """Patterns against the plain regular expressions, gradients against differences, veiled spans, redaction."""
 
 import hashlib
+import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +46,19 @@ def test_long_runs_take_linear_time():
     assert len(pii.base_spans("x@y.z," * 50_000)) == 50_000
 
 
+@pytest.mark.parametrize("text", ["at x" + " " * 1_000_000 + "y", "at" + " " * 1_000_000, ("at" + " " * 1000) * 1000, "at-" * 300_000, "at x" + "\n\t" * 500_000 + "(",
+                                  "at a" + " dot a" * 150_000, "at " + "a" * 1_000_000, "(" * 1_000_000, " ( " * 300_000, "at (" * 250_000])
+def test_spelled_out_addresses_take_linear_time(text):
+    begin = time.process_time()
+    list(pii.SPELLED.finditer(text)), pii.AT.split(text), pii.DOT.sub(".", text)
+    assert time.process_time() - begin < 1
+
+
+@pytest.mark.parametrize("text, spans", [("x at mail dot org", 1), ("x (at) mail . org", 1), ("x [at] a.b", 1), ("x AT a(dot)b  [dot]  c", 1), ("at home. Then", 1), ("that a.b", 0), ("at a", 0)])
+def test_what_reads_as_a_spelled_out_domain(text, spans):
+    assert len(list(pii.SPELLED.finditer(text))) == spans
+
+
 def test_gradients_are_the_differences():
     rng = np.random.default_rng(0)
     tagger = Tagger.fresh(5, 4, 1)
@@ -101,6 +116,19 @@ def test_odd_rows_and_redaction(spark, tagger):
     assert pii.find(docs.limit(0)).count() == 0 and pii.find(docs.where("doc_id = 2")).count() == 1
 
 
+def test_decode_is_the_best_path():
+    """Viterbi against every path, with the learned transitions' shape."""
+    rng = np.random.default_rng(4)
+    tagger = Tagger.fresh(4, 3, 2)
+    tagger.weights = {k: rng.standard_normal(v.shape) for k, v in tagger.weights.items()}
+    for n in (1, 2, 5):
+        scores = rng.standard_normal((n, 4))
+        path = tagger.decode(scores)
+        cross = tagger.weights["cross"]
+        worth = lambda p: sum(scores[t, k] for t, k in enumerate(p)) + sum(cross[a, b] for a, b in zip(p, p[1:]))
+        assert abs(worth(path) - max(worth(p) for p in itertools.product(range(4), repeat=n))) < 1e-9
+
+
 def test_symbols_of_any_text():
     assert symbols("aé1€\U0001f600").tolist() == [97, 128, 49, 129, 129]
 
@@ -116,4 +144,4 @@ def test_addresses_without_digits_are_found(spark, tagger):
         found += any(k == "email" and b < 40 + len(s) and e > 40 for b, k, e in next(pii.all_spans([text], tagger))[1])
     text = "We met at home. Then we looked at that. And so on, at last. " * 5
     wrong = next(pii.all_spans([text], tagger))[1]
-    assert found >= 0.6 * len(spans) and wrong == [], (found, wrong)
+    assert found >= 0.8 * len(spans) and wrong == [], (found, wrong)
