@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from amberline.llm.common import map_rows
 
 # Element names of the HTML standard by their role.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "canvas", "object",
-       "audio", "video", "noframes", "xmp")
+RAW = frozenset("script style title textarea iframe noframes xmp".split())  # what they hold is no markup
+SKIPPED = frozenset("noscript template svg math select button canvas object audio video".split())  # what they hold is not shown as text
+FOREIGN = frozenset(("svg", "math"))  # these alone may close themselves
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
@@ -36,20 +37,27 @@ APART = frozenset("nav footer aside form menu dialog head fieldset search".split
 APART_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsored sponsor promo promotion sidebar comment comments "
                         "disqus respond replies cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe "
                         "share sharing social related recommended breadcrumb breadcrumbs nav navbar navigation menu footer header masthead "
-                        "pagination pager toolbar skip widget".split())
+                        "pagination pager toolbar skip widget privacy legal disclaimer imprint copyright reply feedback sharebar".split())
+NAME_ENDS = ("list", "form", "box", "area", "section", "wrap", "wrapper", "container", "bar", "block", "widget", "panel", "thread", "item")
+QUALIFIED = frozenset("no not has have with without free less enabled disabled open closed layout".split())
+# of an article's own names: those of comments, adverts and teasers only
+ARTICLE_NAMES = frozenset("comment comments reply replies respond disqus ad ads advert adverts advertisement sponsored sponsor promo related recommended".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 LABELLED = frozenset(("article", "main"))
 INLINE_KINDS = frozenset(("a", "li", "p", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "dt", "figcaption"))
-KNOWN_TAGS = BLOCK | VOID | frozenset(RAW) | frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
+KNOWN_TAGS = BLOCK | VOID | RAW | SKIPPED | frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                                                          "samp small span strike strong sub sup time tt u var head".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.DOTALL | re.IGNORECASE)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+SAME = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])[^>]*>?", re.IGNORECASE) for tag in RAW | SKIPPED}
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK, key=len, reverse=True))})(?![a-z0-9:-])", re.IGNORECASE)
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+RIGHTS = re.compile(r"\W*(?:copyright\s*)?(?:©|\(c\)|copyright)\s*(?:19|20)\d\d\b.{0,300}", re.IGNORECASE)
+NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 PARTS = re.compile(r"[^a-z0-9]+")
 DEFAULT_WORD, DEFAULT_TAG, LIMIT, LEAST = 1.0, -2.0, 8.0, 0.02
 
@@ -65,30 +73,63 @@ class Run:
     article: int  # number of the outermost article around it, 0 outside
 
 
+def _names_apart(name: str, known: frozenset[str]) -> bool:
+    """Whether a class or id names something apart; "no-sidebar" or "content-with-ads" do not."""
+    parts = [p for p in PARTS.split(name) if p]
+    if len(parts) > 1 and QUALIFIED.intersection(parts) and not {"comment", "comments"}.intersection(parts):
+        return False
+    return any(part in known or any(part.endswith(e) and part.removesuffix(e) in known for e in NAME_ENDS) for part in parts)
+
+
 def _is_apart(tag: str, rest: str, in_article: bool) -> bool:
     if tag in APART or (tag == "header" and not in_article):
         return True
-    if tag in LABELLED or tag == "body" or tag == "html" or not rest:
+    if tag in ("body", "html") or not rest:
         return False
+    known = ARTICLE_NAMES if tag in LABELLED else APART_NAMES - {"header", "masthead"} if in_article else APART_NAMES
     for name, *values in NAMED.findall(rest):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and UNSEEN.search(value)):
             return True
         if name == "role" and value in APART_ROLES:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = PARTS.split(word)
-                if (parts[0] in APART_NAMES or parts[-1] in APART_NAMES) and not (in_article and "header" in parts):
-                    return True
+        if name in ("class", "id") and tag != "main" and any(_names_apart(word, known) for word in value.split()):
+            return True
     return False
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags and stretches of text in order, without what is never shown.
+
+    An element of RAW or SKIPPED is left out up to its end tag. One that has none before
+    the next of its name ends at the next block, so a forgotten end loses no page.
+    """
+    at, ended = 0, set()  # names that have no further end tag are not looked for again
+    while at < len(page) and (m := TOKEN.match(page, at)):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if m["close"] or tag not in SAME or (tag in FOREIGN and m["rest"].rstrip().endswith("/")):
+            yield m
+            continue
+        if tag not in ended:
+            found = next((f for f in SAME[tag].finditer(page, at) if f[1] or tag in SKIPPED), None)
+            if found is not None and found[1]:
+                at = found.end()
+                continue
+            if found is None:
+                ended.add(tag)
+            limit = len(page) if found is None else found.start()
+        else:
+            limit = len(page)
+        block = NEXT_BLOCK.search(page, at, limit)
+        at = block.start() if block else limit
+
+
 def runs(page: str) -> Iterator[Run]:
     """The page's words and tags in order; open elements end where the standard says or their parent does."""
     stack: list[tuple[str, bool, int]] = []  # (tag, apart, article)
     block, articles = 0, 0
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         text, tag = m["text"], m["tag"]
         _, apart, article = stack[-1] if stack else ("", False, 0)
         if text is not None:
@@ -118,7 +159,7 @@ def runs(page: str) -> Iterator[Run]:
             articles += 1
             article = articles
         yield Run(f"tag:{tag if tag in KNOWN_TAGS else 'unknown'}", None, block, apart, article)
-        if tag not in VOID and not m["rest"].endswith("/"):
+        if tag not in VOID and tag not in SAME and not m["rest"].endswith("/"):
             stack.append((tag, apart, article))
 
 
@@ -183,7 +224,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         begin, end = min(begin, places[0]), max(end, places[-1] + 1)
     blocks: dict[int, list[str]] = {}
     for r in found[begin:end]:
-        if r.text is not None and not r.apart:
+        # a rights line outside paragraphs and headings is a notice
+        if r.text is not None and not r.apart and not (r.feature == "word:other" and RIGHTS.fullmatch(r.text.strip())):
             blocks.setdefault(r.block, []).append(r.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -65,3 +66,28 @@ def test_menu_words_weigh_less_than_article_words(spark):
 ])
 def test_the_region_bounds_the_text(page, text):
     assert h.main_text(page, WEIGHTS) == text
+
+
+ARTICLE = "<article><h1>Head</h1><p>a b c d e</p><p>f g h</p></article>"
+SHOWN = "Head\na b c d e\nf g h"
+
+
+@pytest.mark.parametrize("page", [
+    f'<nav><a>Home</a></nav><svg class="i"/>{ARTICLE}', f"<svg/><math />{ARTICLE}", f"<nav><a>x</a></nav><button>Menu{ARTICLE}", f"<div><select><option>a{ARTICLE}</div>",
+    f"<button>Menu{ARTICLE}<button>Share</button>", f"<noscript>off{ARTICLE}<footer>end</footer>", f"<script>if (a < b) {{}}{ARTICLE}", f"<svg><path d='M0'/><title>t</title></svg>{ARTICLE}",
+    f"<audio src=x>{ARTICLE}", f"<object><p>no player</p></object>{ARTICLE}", f"<title>t{ARTICLE}", f"<main>{ARTICLE}<article class='comment'><p>so nice</p></article></main>",
+    f"<main>{ARTICLE}<article class='comment-12 odd'><p>so nice</p></article></main>", f"<main>{ARTICLE}<ol class=commentlist><li>so nice</ol></main>",
+    f'<main>{ARTICLE}<div id="user-comments-list"><p>so nice</p></div></main>', f'<main>{ARTICLE}<p style="display: none">hidden words</p></main>',
+    f"<main>{ARTICLE}<div class=privacy>We use cookies</div></main>", f"<main>{ARTICLE}<div>© 2024 Someone. All rights reserved.</div></main>",
+    f"<main class='no-sidebar'><div class='content-with-ads'>{ARTICLE}</div></main>", f"<main>{ARTICLE}<article class=related-post><p>read this too</p></article></main>",
+])
+def test_nothing_of_the_article_is_lost_and_nothing_is_added(page):
+    assert h.main_text(page, WEIGHTS) == SHOWN
+
+
+@pytest.mark.parametrize("page", ["<button>" * 100_000, "<script>" * 100_000, "<svg/>" * 100_000, "<button>a</button>" * 50_000, "<p>a<select>" * 50_000, "<" * 300_000, "<a " * 200_000,
+                                  "<svg>" * 50_000 + "</svg>"], ids=lambda page: page[:12])
+def test_long_pages_take_linear_time(page):
+    begin = time.process_time()
+    list(h.tokens(page))
+    assert time.process_time() - begin < 5
