@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amberline.functions.numeric import clip, clipped_logit
 from amberline.operators.aggregates import with_interval
 from amberline.operators.histogram import cumulative, stored_histogram
 from amberline.operators.quantiles import edges_scalar, left_closed_bin, quantiles_of_ranked, right_closed_bin
+from amberline.session import materialise
 
 
 def _gap(bins: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -72,6 +74,32 @@ def apply_map(score: Column, boundaries: Column, predictions: Column) -> Column:
             .when(score >= F.element_at(boundaries, -1), F.element_at(predictions, -1)).otherwise(inside))
 
 
+def apply_map_table(scores: DataFrame, points: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
+    """``scores`` with a piecewise-linear map of any number of points, clipped at both ends.
+
+    ``points`` holds (boundary, prediction). Scores and points are range-partitioned
+    together; a score takes the points at or below and at or above it in its part, else
+    those of the nearest part that has any. NULL scores, and an empty map, give NULL.
+    """
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = scores.withColumns({"_x": F.col(score).cast("double"), "_y": F.lit(None).cast("double"), "_own": F.lit(True)}).unionByName(
+        points.select(F.col("boundary").alias("_x"), F.col("prediction").alias("_y"), F.lit(False).alias("_own")), allowMissingColumns=True)
+    placed = materialise(both.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id()), "map-parts")
+    point = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
+    ends = placed.groupBy("_part").agg(F.max(point).alias("_top"), F.min(point).alias("_bottom"))
+    by_part = W.partitionBy(F.lit(0)).orderBy("_part")  # a row a part
+    ends = ends.select("_part", F.last("_top", True).over(by_part.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+                       F.first("_bottom", True).over(by_part.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    # the points above are those before in falling order: a frame that only grows
+    order, falling = (W.partitionBy("_part").orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.asc("_x"), F.desc("_x")))
+    found = placed.withColumns({
+        "_lo": F.last(point, True).over(order), "_hi": F.last(point, True).over(falling)}).where("_own").join(materialise(ends, "map-ends"), "_part", "left")
+    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
+    between = lo["_y"] + (hi["_y"] - lo["_y"]) * F.try_divide(F.col("_x") - lo["_x"], hi["_x"] - lo["_x"])
+    value = F.when(F.col("_x").isNull(), None).when(lo.isNull(), hi["_y"]).when(hi.isNull(), lo["_y"]).otherwise(F.coalesce(between, lo["_y"]))
+    return found.select(*scores.columns, value.alias(name))
+
+
 def served_calibration(df: DataFrame, raw: str, calibrated: str, outcome: str = "went_bad") -> DataFrame:
     """Brier score and equal-count ECE of the raw and the calibrated score, one row each."""
     parts = []

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from amberline.config import FEATURE_FAMILIES
 from amberline.operators.histogram import rank_metrics, score_histogram
-from amberline.session import materialise
+from amberline.session import materialise, work_dir
 
 # fixed values: never features
 NOT_FEATURES = ("account_id", "period", "month_idx", "date", "vintage_months", "went_bad", "default_within_12m", "sma2_within_6m",
@@ -76,8 +80,8 @@ def score(model: PipelineModel, df: DataFrame, numeric: list[str], name: str = "
     return scored.withColumn(name, F.round(vector_to_array("probability")[1], 6)).select(*df.columns, name)
 
 
-def isotonic_map(df: DataFrame, score_column: str = "decision_score", label: str = "went_bad") -> tuple[list[float], list[float]] | None:
-    """Isotonic calibration as (boundaries, predictions); None for a single class.
+def isotonic_map(df: DataFrame, score_column: str = "decision_score", label: str = "went_bad") -> DataFrame | None:
+    """Isotonic calibration as a table (boundary, prediction); None for a single class.
 
     Fitted on the score histogram with counts as weights: a million points at
     most, whatever the number of rows.
@@ -88,7 +92,8 @@ def isotonic_map(df: DataFrame, score_column: str = "decision_score", label: str
     if not total.n or total.bad in (0, total.n):
         return None
     fit = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight").fit(hist)
-    return [float(x) for x in fit.boundaries.toArray()], [float(y) for y in fit.predictions.toArray()]
+    points = pa.table({"boundary": fit.boundaries.toArray(), "prediction": fit.predictions.toArray()})
+    return materialise(df.sparkSession.createDataFrame(points), "isotonic-map")
 
 
 def scorecard_contributions(model: PipelineModel, df: DataFrame, numeric: list[str]) -> DataFrame:
@@ -103,20 +108,69 @@ def scorecard_contributions(model: PipelineModel, df: DataFrame, numeric: list[s
         f"c_{c}": F.col("_x")[i] * float(coefficients[i]) for i, c in enumerate(numeric)}).select(*df.columns, *[f"c_{c}" for c in numeric])
 
 
-def occlusion_contributions(model: PipelineModel, df: DataFrame, numeric: list[str], families: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Score change when a family's features are hidden (NULL), one column ``c_<family>`` each.
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """The fitted ensemble as a table: (tree, weight, id, prediction, left, right, feature, threshold, categories).
 
-    The rows are laid out once per family, so one transform scores all of them.
+    Leaves have no feature. ``categories`` are the levels that go left, NULL for a
+    threshold. The table has at most ``trees x 2^(depth + 1)`` rows.
+    """
+    spark = SparkSession.active()
+    path = os.path.join(work_dir(spark), f"trees-{uuid.uuid4().hex}")
+    model.stages[-1].write().save(path)
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.stages[-1].treeWeights)], "tree int, weight double")
+    n = F.col("nodeData")
+    leaf, numeric = n["leftChild"] < 0, n["split"]["numCategories"] < 0
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").cast("int").alias("tree"), n["id"].alias("id"), n["prediction"].alias("prediction"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        F.when(~leaf, n["split"]["featureIndex"]).alias("feature"), F.when(~leaf & numeric, n["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        F.when(~leaf & ~numeric, n["split"]["leftCategoriesOrThreshold"]).alias("categories"))
+    return nodes.join(weights, "tree")
+
+
+def tree_contributions(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str] = (), groups: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Exact contribution of each group of features to a tree model's log-odds, ``c_<group>`` each, with ``bias`` and ``log_odds``.
+
+    A step down a path changes the node's mean, and the change belongs to the feature
+    that was asked. A leaf's path fixes all its shares, so a tree is one choice among its
+    leaves' arrays; the contributions and the bias add up to the log-odds of every row.
+    Groups default to single features.
     """
-    names = ["", *families]
-    hidden = {c: [f for f, cols in families.items() if c in cols] for c in numeric}
-    rows = df.withColumn("_hide", F.explode(F.array(*[F.lit(n) for n in names])))
-    rows = rows.withColumns({c: F.when(~F.col("_hide").isin(*fs), F.col(c)) if fs else F.col(c) for c, fs in hidden.items()})
-    scored = score(model, rows, numeric, "_p")
-    keys = ["account_id", "period"]
-    full = F.max(F.when(F.col("_hide") == "", F.col("_p")))
-    return scored.groupBy(*keys).agg(*[
-        (full - F.max(F.when(F.col("_hide") == f, F.col("_p")))).alias(f"c_{f}") for f in families])
+    groups = groups or {c: (c,) for c in [*numeric, *categorical]}
+    inputs = [*numeric, *numeric, *categorical]  # as assembled: filled, missing flags, levels
+    place = {c: i for i, columns in enumerate(groups.values()) for c in columns}
+    trees: dict[int, dict[int, Row]] = {}
+    for row in tree_nodes(model).collect():
+        trees.setdefault(row["tree"], {})[row["id"]] = row
+    x = F.col("_x")
+
+    def choice(nodes: dict[int, Row], at: int, so_far: list[float]) -> Column:
+        node = nodes[at]
+        if node["feature"] is None:
+            return F.array(*map(F.lit, so_far))
+        value = x[node["feature"]]
+        left = value <= node["threshold"] if node["categories"] is None else value.isin([float(c) for c in node["categories"]])
+
+        def down(child: int) -> Column:
+            shares = list(so_far)
+            if (own := place.get(inputs[node["feature"]])) is not None:
+                shares[own] += 2 * node["weight"] * (nodes[child]["prediction"] - node["prediction"])
+            else:
+                shares[-1] += 2 * node["weight"] * (nodes[child]["prediction"] - node["prediction"])
+            return choice(nodes, child, shares)
+
+        return F.when(left, down(node["left"])).otherwise(down(node["right"]))
+
+    width = len(groups) + 1  # the last place: features in no group
+    parts = [choice(nodes, 0, [0.0] * width) for nodes in trees.values()]
+    bias = sum(2 * nodes[0]["weight"] * nodes[0]["prediction"] for nodes in trees.values())
+    scored = model.transform(with_missing_flags(df, list(numeric))).select(
+        *df.columns, vector_to_array("features").alias("_x"), (2 * vector_to_array("rawPrediction")[1]).alias("log_odds"))
+    found = scored.withColumn("_parts", F.array(*parts))
+    def summed(at: int) -> Column:
+        return F.aggregate("_parts", F.lit(0.0), lambda total, part: total + part[at])
+
+    sums = [summed(i) for i in range(width)]
+    return found.select(*df.columns, F.lit(bias).alias("bias"), *[s.alias(f"c_{g}") for g, s in zip(groups, sums)], sums[-1].alias("c_other"), "log_odds")
 
 
 def attribution_share(df: DataFrame, contributions: dict[str, str], buckets: list[tuple[int, int]], merge: tuple[str, ...] = ()) -> DataFrame:

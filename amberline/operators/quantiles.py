@@ -8,39 +8,24 @@ from pyspark.sql import functions as F
 
 from amberline.session import materialise
 
-SLOTS = 4096
 
-
-def with_rank_range(counts: DataFrame, value: str, groups: tuple[str, ...] = (), n: str = "n",
-                    slots: int = SLOTS) -> DataFrame:
+def with_rank_range(counts: DataFrame, value: str, groups: tuple[str, ...] = (), n: str = "n") -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` to value counts.
 
-    ``counts`` holds one row per (group, value). Values are dealt into ``slots``
-    equal-width slots, and each slot again by its own range, so an outlier or a
-    dense region does not end up in one task. Offsets come from windows over at
-    most ``slots`` rows; the last window runs inside one sub-slot.
+    ``counts`` holds one row per (group, value). The values are range-partitioned by
+    splitters that Spark samples from them, so every part holds about as many distinct
+    values wherever outliers or dense regions lie. Offsets come from a window over one
+    row a part, ranks from a window inside a part.
     """
     keys = list(groups)
-    lo, hi = counts.agg(F.min(value)).scalar(), counts.agg(F.max(value)).scalar()
-    slotted = counts.withColumn("_slot", _slot(F.col(value), lo, hi, slots))
-    outer = slotted.groupBy(*keys, "_slot").agg(
-        F.sum(n).alias("_m"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    outer = outer.select(*keys, "_slot", "_lo", "_hi", _running_before("_m", keys, "_slot").alias("_outer"),
-                         F.sum("_m").over(W.partitionBy(*keys)).alias("total"))
-    outer = materialise(outer, "slots")  # at most ``slots`` rows per group: joined by broadcast as its size shows
-    split = slotted.join(outer, [*keys, "_slot"]).withColumn(
-        "_sub", _slot(F.col(value), F.col("_lo"), F.col("_hi"), slots))
-    inner = split.groupBy(*keys, "_slot", "_sub").agg(F.sum(n).alias("_m")).select(
-        *keys, "_slot", "_sub", _running_before("_m", [*keys, "_slot"], "_sub").alias("_inner"))
-    last = _running_before(n, [*keys, "_slot", "_sub"], value)
-    return (split.withColumn("_last", last).join(inner, [*keys, "_slot", "_sub"])
-            .withColumn("before", F.col("_outer") + F.col("_inner") + F.col("_last"))
-            .drop("_slot", "_sub", "_lo", "_hi", "_outer", "_inner", "_last"))
-
-
-def _slot(value, lo, hi, slots: int):
-    at = F.coalesce(F.floor(F.try_divide((value - lo) * slots, hi - lo)), F.lit(0))
-    return F.least(at, F.lit(slots - 1)).cast("int")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id())
+    placed = materialise(placed, "value-parts")
+    offsets = placed.groupBy(*keys, "_part").agg(F.sum(n).alias("_m")).select(
+        *keys, "_part", _running_before("_m", keys, "_part").alias("_outer"), F.sum("_m").over(W.partitionBy(*keys)).alias("total"))
+    offsets = materialise(offsets, "part-offsets")  # a row a part and group: joined by broadcast as its size shows
+    ranked = placed.withColumn("_inner", _running_before(n, [*keys, "_part"], value))
+    return ranked.join(offsets, [*keys, "_part"]).withColumn("before", F.col("_outer") + F.col("_inner")).drop("_part", "_outer", "_inner")
 
 
 def _running_before(n: str, keys: list[str], order: str):
@@ -76,8 +61,7 @@ def quantiles_of_ranked(ranked: DataFrame, value: str, probs: tuple[float, ...],
     return ends.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...], groups: tuple[str, ...] = (),
-                    slots: int = SLOTS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...], groups: tuple[str, ...] = ()) -> DataFrame:
     """Exact quantiles of a column of any cardinality, per group.
 
     The table is read once; the value counts are written to the work folder and
@@ -85,7 +69,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...], groups:
     """
     counts = materialise(
         df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")), "value-counts")
-    return quantiles_of_ranked(with_rank_range(counts, value, groups, slots=slots), value, probs, groups)
+    return quantiles_of_ranked(with_rank_range(counts, value, groups), value, probs, groups)
 
 
 def edges_scalar(quantiles: DataFrame):

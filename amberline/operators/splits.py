@@ -102,15 +102,22 @@ def oversample_positives(df: DataFrame, times: int, outcome: str = "went_bad") -
     return df.withColumn("copy", F.explode(copies))
 
 
-def permute_labels(df: DataFrame, key: tuple[str, ...], outcome: str = "went_bad", seed: str = "permute") -> DataFrame:
+CELL_ROWS = 500_000  # about as many rows a sort cell of dealt labels holds
+
+
+def permute_labels(df: DataFrame, key: tuple[str, ...], outcome: str = "went_bad", seed: str = "permute", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Labels dealt again over the rows at random, keeping their exact count.
 
-    Rows are ordered by one hash and labels by another. Only the counts per hash
-    cell are needed to number them, so each side is sorted inside its cells, and
-    the two sides are joined on the number.
+    Rows are ordered by one hash and labels by another. A hash's first digits are its
+    cell, as many digits as the number of rows asks for, so a cell holds about
+    ``cell_rows`` at every size. Only the counts per cell are needed to number them, so
+    each side is sorted inside its cells, and the two sides are joined on the number.
     """
+    n = df.count()
+    digits = next(d for d in range(1, 16) if n <= cell_rows * 16**d)
+
     def numbered(rows: DataFrame, salt: str) -> DataFrame:
-        hashed = rows.withColumn("_h", key_hash(*[F.col(k) for k in key], F.lit(salt))).withColumn("_cell", F.substring("_h", 1, 3))
+        hashed = rows.withColumn("_h", key_hash(*[F.col(k) for k in key], F.lit(salt))).withColumn("_cell", F.substring("_h", 1, digits))
         counts = hashed.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn(
             "_offset", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_cell")) - F.col("_n")).drop("_n")
         inside = F.row_number().over(W.partitionBy("_cell").orderBy("_h"))

@@ -73,8 +73,7 @@ def isotonic_calibration(t: Tables):
     scores = histogram.score_histogram(rows)
     if found is None:
         return scores.select("score", F.lit(None).cast("double").alias("calibrated"))
-    boundaries, predictions = (F.array(*[F.lit(v) for v in values]) for values in found)
-    return scores.select("score", F.round(calibration.apply_map(F.col("score"), boundaries, predictions), 6).alias("calibrated"))
+    return calibration.apply_map_table(scores.select("score"), found).withColumn("calibrated", F.round("calibrated", 6))
 
 
 @query("ml05_score_frozen_model")
@@ -95,23 +94,41 @@ def scorecard_contributions(t: Tables):
     return out.select("account_id", "period", *[F.round(f"c_{c}", 6).alias(f"c_{c}") for c in NUMERIC], F.array_join(why, "; ").alias("reasons"))
 
 
-@query("ml06b_occlusion_contributions")
-def occlusion_contributions(t: Tables):
+@query("ml06b_tree_contributions")
+def tree_contributions(t: Tables):
     train, test = _sides(t)
-    return model.occlusion_contributions(model.fit_trees(train, NUMERIC, iterations=5), test, NUMERIC, FAMILIES)
+    out = model.tree_contributions(model.fit_trees(train, NUMERIC, CATEGORICAL), test, NUMERIC, CATEGORICAL, FAMILIES | {"profile": ("sanctioned", *CATEGORICAL)})
+    return out.select("account_id", "period", F.round("bias", 6).alias("bias"), *[F.round(f"c_{f}", 6).alias(f"c_{f}") for f in FAMILIES], F.round("log_odds", 6).alias("log_odds"))
 
 
-def _shares(t: Tables, merge=()):
+TEST_SQL = "('0x' || substr(md5(account_id::VARCHAR), 1, 8))::BIGINT % 1000 < 300"
+
+
+@query("ml06c_contributions_add_up", f"SELECT count(*) AS n, true AS adds_up, true AS all_named FROM eligible WHERE {TEST_SQL}")
+def contributions_add_up(t: Tables):
+    """The bias and the families' contributions against the log-odds of every test row."""
+    train, test = _sides(t)
+    out = model.tree_contributions(model.fit_trees(train, NUMERIC, CATEGORICAL), test, NUMERIC, CATEGORICAL, FAMILIES | {"profile": ("sanctioned", *CATEGORICAL)})
+    total = F.col("bias") + sum(F.col(f"c_{f}") for f in FAMILIES)
+    return out.agg(F.count("*").alias("n"), F.every(F.abs(total - F.col("log_odds")) < 1e-9).alias("adds_up"), F.every(F.col("c_other") == 0).alias("all_named"))
+
+
+def _contributions(t: Tables):
     train, test = _sides(t)
     out = model.scorecard_contributions(model.fit_scorecard(train, NUMERIC), test, NUMERIC)
+    return materialise(out.select("account_id", "to_npa", "went_bad", *[f"c_{c}" for c in NUMERIC]), "contributions")
+
+
+def _shares(rows, merge=()):
     family = {f"c_{c}": f for f, cols in FAMILIES.items() for c in cols}
-    return model.attribution_share(out, family, [(1, 2), (3, 4)], merge)
+    return model.attribution_share(rows, family, [(1, 2), (3, 4)], merge)
 
 
 @query("ml07_attribution_share")
 def attribution_share(t: Tables):
-    primary = _shares(t).withColumn("reading", F.lit("primary"))
-    other = _shares(t, ("repayment", "collection")).withColumn("reading", F.lit("alternative"))
+    rows = _contributions(t)
+    primary = _shares(rows).withColumn("reading", F.lit("primary"))
+    other = _shares(rows, ("repayment", "collection")).withColumn("reading", F.lit("alternative"))
     return primary.unionByName(other).withColumn("share", F.round("share", 6))
 
 
@@ -212,7 +229,7 @@ def company_year_model(t: Tables):
 
 @query("ml16_attribution_coverage")
 def attribution_coverage(t: Tables):
-    return model.attribution_coverage(_shares(t)).withColumn("worst_gap", F.round("worst_gap", 6))
+    return model.attribution_coverage(_shares(_contributions(t))).withColumn("worst_gap", F.round("worst_gap", 6))
 
 
 @query("ml17_score_drift_by_side")

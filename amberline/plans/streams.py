@@ -67,14 +67,15 @@ SELECT *, CASE WHEN decision_score >= 0.4 THEN 'red' WHEN decision_score >= 0.3
 def running_bands(t: Tables):
     folder = _folder(t, "bands")
     conduct.run_batch(_day_scores(t), conduct.BandSink(folder, 0.3, 0.4), _folder(t, "bands-checkpoint"))
-    newest = t.spark.read.parquet(os.path.join(folder, "state")).withColumn("_last", F.col("batch"))
-    last = newest.agg(F.max("_last")).scalar()
-    return newest.where(F.col("_last") == last).select("account_id", "decision_score", F.size("recent").alias("points"), "band")
+    return conduct.BandSink.current(t.spark, folder).select("account_id", "decision_score", F.size("recent").alias("points"), "band")
+
+
+FILES = 8  # files of one arrival
 
 
 @query("ss05_gated_publish", f"WITH {CLOSED_SQL} SELECT account_id, day, n FROM closed")
 def gated_publish(t: Tables):
-    """Days become visible batch by batch as their checks pass; the events come in several files, one a batch."""
+    """Days become visible batch by batch as their checks pass; a batch is what arrived in one stretch of time, in several files."""
     def gate(batch):
         rules = {"negative_total": F.col("total") < 0, "no_account": F.col("account_id").isNull()}
         checks = quality.count_violations(batch, rules).withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
@@ -87,7 +88,7 @@ def gated_publish(t: Tables):
     low, high = t.read("events").agg(F.min(at), F.max(at)).first()
     step = ((high or 0) - (low or 0)) // 4 + 1
     for part in range(4):
-        t.read("events").where(F.floor((at - low) / step) == part).coalesce(1).write.parquet(os.path.join(parts, f"arrived-{part}"))
-    events = conduct.read_events(t.spark, os.path.join(parts, "*"), files_per_batch=1)
+        t.read("events").where(F.floor((at - low) / step) == part).repartition(FILES).write.parquet(os.path.join(parts, f"arrived-{part}"))
+    events = conduct.read_events(t.spark, os.path.join(parts, "*"), files_per_batch=FILES)
     conduct.run_batch(conduct.daily_conduct(events), conduct.GatedPublisher(folder, gate), _folder(t, "publish-checkpoint"))
     return conduct.GatedPublisher.current(t.spark, folder).select("account_id", "day", "n")

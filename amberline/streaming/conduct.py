@@ -72,25 +72,50 @@ _POINTS = "array<struct<day:date,score:double>>"
 
 
 class BandSink:
-    """``foreachBatch`` target that keeps the running bands as versioned tables.
+    """``foreachBatch`` target that keeps the running bands as a log of changes.
 
-    Each batch writes a new state folder named by its batch id and the folder
-    it was built from is left in place. A batch that is run again after a
-    failure starts from the same previous version, so it ends in the same state.
+    A batch writes the accounts it saw, a row each, under its batch id, and reads what
+    was known of those accounts only. Every ``compact`` batches the log is folded into
+    one table, so a read looks at that table and the few changes after it. A batch that
+    is run again after a failure starts from the changes before it and ends the same.
     """
 
-    def __init__(self, folder: str, amber: float, red: float):
-        self.folder, self.amber, self.red = folder, amber, red
+    def __init__(self, folder: str, amber: float, red: float, compact: int = 20):
+        self.folder, self.amber, self.red, self.compact = folder, amber, red, compact
 
     def _path(self, kind: str, batch: int) -> str:
         return os.path.join(self.folder, kind, f"batch={batch:012d}")
 
+    @staticmethod
+    def _batches(spark: SparkSession, folder: str, kind: str) -> list[int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, kind))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(path) if done(s.getPath())) if files.exists(path) else []
+
+    @classmethod
+    def current(cls, spark: SparkSession, folder: str, before: int | None = None, accounts: DataFrame | None = None) -> DataFrame | None:
+        """The state after all batches, or after those ``before`` one; of some ``accounts`` only. None where there is none."""
+        known = lambda kind: [b for b in cls._batches(spark, folder, kind) if before is None or b < before]
+        base = known("base")[-1:]
+        paths = [os.path.join(folder, "base", f"batch={b:012d}") for b in base]
+        paths += [os.path.join(folder, "state", f"batch={b:012d}") for b in known("state") if not base or b > base[0]]
+        if not paths:
+            return None
+        rows = spark.read.parquet(*paths)
+        if accounts is not None:
+            rows = rows.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
+        last = F.max_by(F.struct("recent", "decision_score", "band"), "changed").alias("s")
+        return rows.groupBy("account_id").agg(last, F.max("changed").alias("changed")).select("account_id", "s.*", "changed")
+
     def __call__(self, day_scores: DataFrame, batch_id: int) -> None:
         spark = day_scores.sparkSession
-        previous = spark.read.parquet(self._path("state", batch_id - 1)) if batch_id > 0 else None
-        state, alerts = update_bands(previous, day_scores, self.amber, self.red)
-        state.write.mode("overwrite").parquet(self._path("state", batch_id))
+        previous = self.current(spark, self.folder, batch_id, day_scores)
+        state, alerts = update_bands(previous.drop("changed") if previous is not None else None, day_scores, self.amber, self.red)
+        state.withColumn("changed", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(self._path("state", batch_id))
         alerts.write.mode("overwrite").parquet(self._path("alerts", batch_id))
+        if (batch_id + 1) % self.compact == 0:
+            self.current(spark, self.folder, batch_id + 1).write.mode("overwrite").parquet(self._path("base", batch_id))
 
 
 class GatedPublisher:
@@ -138,8 +163,4 @@ def run_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     query.awaitTermination()
 
 
-def fresh_folder(base: str, name: str) -> str:
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
-__all__ = ["BandSink", "GatedPublisher", "daily_conduct", "fresh_folder", "ingest", "read_events", "run_batch", "update_bands", "without_reposts"]
+__all__ = ["BandSink", "GatedPublisher", "daily_conduct", "ingest", "read_events", "run_batch", "update_bands", "without_reposts"]

@@ -72,7 +72,7 @@ def test_exact_quantiles_with_outliers_and_ties(spark):
     x = np.concatenate([rng.normal(size=300), np.full(150, 0.5), [1e12, -1e9]])
     df = spark.createDataFrame([(float(v), "g") for v in x], "x double, g string")
     probs = (0.0, 0.1, 0.37, 0.5, 0.9, 1.0)
-    got = {r.prob: r.value for r in quantiles.exact_quantiles(df, "x", probs, ("g",), slots=16).collect()}
+    got = {r.prob: r.value for r in quantiles.exact_quantiles(df, "x", probs, ("g",)).collect()}
     assert [got[p] for p in probs] == pytest.approx(list(np.quantile(x, probs)))
 
 
@@ -215,14 +215,53 @@ def test_a_book_too_thin_to_band_falls_back(spark):
 
 def test_isotonic_map_is_monotone_and_keeps_the_mean(spark):
     rows, df = scored(spark, 500)
-    boundaries, predictions = model.isotonic_map(df)
+    points = model.isotonic_map(df)
+    predictions = [r.prediction for r in points.orderBy("boundary").collect()]
     assert predictions == sorted(predictions)
-    mapped = df.select(calibration.apply_map(F.col("decision_score"), F.array(*map(F.lit, boundaries)), F.array(*map(F.lit, predictions))).alias("c"))
+    mapped = calibration.apply_map_table(df, points, "decision_score", "c")
+    assert mapped.columns == [*df.columns, "c"] and mapped.count() == len(rows)
     assert mapped.agg(F.avg("c")).first()[0] == pytest.approx(np.mean([r[3] for r in rows]))
     ends = spark.range(1).select(*[calibration.apply_map(F.lit(x), F.array(F.lit(0.2), F.lit(0.4)), F.array(F.lit(0.0), F.lit(1.0))) for x in (0.0, 0.3, 0.9)])
     assert list(ends.first()) == pytest.approx([0.0, 0.5, 1.0])
 
 
+def test_a_map_of_a_million_points_is_looked_up_by_ranges(spark):
+    points = spark.range(1_000_000).select((F.col("id") / 1e6).alias("boundary"), (F.col("id") / 1e6 * F.col("id") / 1e6).alias("prediction"))
+    x = [-1.0, 0.0, 1e-7, 0.25, 0.3333337, 0.9999985, 0.999999, 2.0, None]
+    scores = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, score double")
+    got = [r.calibrated for r in calibration.apply_map_table(scores, points).orderBy("i").collect()]
+    want = np.interp([v for v in x if v is not None], np.arange(1_000_000) / 1e6, (np.arange(1_000_000) / 1e6) ** 2)
+    assert got[:-1] == pytest.approx(list(want), abs=1e-12) and got[-1] is None
+    assert [r.calibrated for r in calibration.apply_map_table(scores, points.limit(0)).collect()] == [None] * len(x)
+
+
+def test_quantiles_of_a_column_with_two_outliers_stay_dealt(spark):
+    """Most values lie in a sliver of the range: parts still hold like numbers of values."""
+    df = spark.range(40_000).select((F.col("id") / 1e6).alias("x")).unionByName(spark.createDataFrame([(1e11,), (1e15,)], "x double"))
+    ranked = quantiles.with_rank_range(df.groupBy("x").agg(F.count("*").alias("n")), "x")
+    rows = sorted((r.x, r.before, r.total) for r in ranked.collect())
+    assert [r[1] for r in rows] == list(range(40_002)) and {r[2] for r in rows} == {40_002}
+    sizes = [r["count"] for r in ranked.sparkSession.createDataFrame([(x,) for x, _, _ in rows], "x double").repartitionByRange(4, "x").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_dealt_labels_are_the_same_at_every_cell_width(spark):
+    df = spark.createDataFrame([(i, i % 5, int(i % 3 == 0)) for i in range(200)], "account_id int, period int, went_bad int")
+    deals = [sorted(map(tuple, splits.permute_labels(df, ("account_id", "period"), cell_rows=c).collect())) for c in (1, 20, 500_000)]
+    assert deals[0] == deals[1] == deals[2] and sum(r[2] for r in deals[0]) == 67
+
+
+def test_tree_contributions_add_up_and_name_the_feature_that_was_asked(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, float(a), float(b) if i % 7 else None, "uvw"[i % 3], int(a > 0.3 or i % 3 == 1)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "account_id int, period int, a double, b double, k string, went_bad int")
+    fit = model.fit_trees(df, ["a", "b"], ["k"], iterations=4, depth=3)
+    for r in model.tree_contributions(fit, df, ["a", "b"], ["k"]).collect():
+        assert r.bias + r.c_a + r.c_b + r.c_k == pytest.approx(r.log_odds, abs=1e-9) and r.c_other == 0
+    nodes = model.tree_nodes(fit).collect()
+    assert {n.tree for n in nodes} == {0, 1, 2, 3} and any(n.categories for n in nodes) and any(n.threshold is not None for n in nodes)
+
+
 def test_contributions_add_up_to_the_log_odds(spark):
     rng = np.random.default_rng(2)
     rows = [(i, 0, float(a), float(b) if i % 7 else None, int(a + b + rng.normal() > 0.5)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]

@@ -54,3 +54,18 @@ def test_published_batches_add_up_and_a_closed_gate_adds_nothing(spark, tmp_path
         publish(spark.createDataFrame([(v,) for v in values], "v int"), batch_id)
     publish(spark.createDataFrame([(2,), (3,)], "v int"), 2)  # the same batch again
     assert sorted(r.v for r in publish.current(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_a_batch_writes_its_own_accounts_and_a_restart_goes_on(spark, tmp_path):
+    batches = [[("a", 1, 1.0), ("b", 1, 0.0), ("c", 1, 0.5)], [("a", 2, 0.0)], [("b", 2, 1.0)], [("a", 3, 0.5)]]
+    for batch_id, rows in enumerate(batches):  # a new sink each time: nothing lives outside the folder
+        sink = conduct.BandSink(str(tmp_path), 0.3, 0.6, compact=2)
+        scores = spark.createDataFrame([(i, dt.date(2024, 1, d), s) for i, d, s in rows], "account_id string, day date, score double")
+        for _ in range(1 + batch_id % 2):  # every other batch is run again
+            sink(scores, batch_id)
+        assert spark.read.parquet(sink._path("state", batch_id)).count() == len(rows)
+    got = {r.account_id: (r.decision_score, r.band, len(r.recent), r.changed) for r in conduct.BandSink.current(spark, str(tmp_path)).collect()}
+    assert got == {"a": (0.5, "amber", 3, 3), "b": (0.5, "amber", 2, 2), "c": (0.5, "amber", 1, 0)}
+    assert conduct.BandSink._batches(spark, str(tmp_path), "base") == [1, 3]
+    early = {r.account_id: r.decision_score for r in conduct.BandSink.current(spark, str(tmp_path), before=2).collect()}
+    assert early == {"a": 0.5, "b": 0.0, "c": 0.5}
