@@ -50,6 +50,23 @@ CHANNEL_FAMILY = {
     "harvest": "cashflow", "moratorium": "repayment", "commute": "cashflow",
     "ecosystem": "filings", "profile": "profile", "bureau": "bureau",
 }
+CHANNEL_LABEL = {
+    "repayment": "Repayment behaviour", "utilisation": "Limit utilisation", "drawing_power": "Drawing power",
+    "cash_flow": "Account inflows", "transactions": "Transaction activity", "gst": "GST filings",
+    "adverse": "Adverse filings", "salary": "Salary credits", "emi_stacking": "EMIs to other lenders",
+    "ltv": "Loan-to-value", "rental": "Rental income", "harvest": "Crop receipts", "moratorium": "Moratorium",
+    "commute": "Commute / fuel spend", "ecosystem": "Trading-partner linkage", "profile": "Borrower profile",
+    "bureau": "Bureau",
+}
+# the fields a channel shows, where they are not its panel columns
+CHANNEL_SHOWN = {
+    "repayment": ("dpd", "dpd_max_6m", "times_late_6m", "bounces_6m", "minbal_breach_6m", "collection_ratio",
+                  "collection_ratio_3m", "npa_status", "asset_classification"),
+    "cash_flow": ("inflow", "inflow_vs_6m_avg", "inflow_trend_3m"),
+    "ecosystem": ("eco_partners", "eco_flagged", "eco_red"),
+    "profile": ("vintage_months", "business_age_years", "sector"),
+    "bureau": ("bureau_score",),
+}
 CHANNEL_ALIAS = {"cashflow": "cash_flow", "filings": "gst", "dpd": "repayment"}
 
 # --- fixed values: model feature families ---

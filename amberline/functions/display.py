@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from amberline.config import CHANNEL_ALIAS, CHANNEL_COLUMNS, CHANNEL_FAMILY
+from amberline.config import CHANNEL_ALIAS, CHANNEL_COLUMNS, CHANNEL_FAMILY, CHANNEL_LABEL, CHANNEL_SHOWN
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
@@ -30,16 +30,45 @@ def canonical_channel(name: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(CHANNEL_ALIAS), key), key)
 
 
-def normalise_channels(names: Column) -> Column:
-    """Array of channel names -> array of (channel, family), aliases resolved."""
-    family = literal_map(CHANNEL_FAMILY)
-    return F.transform(names, lambda n: F.struct(
-        canonical_channel(n).alias("channel"), F.element_at(family, canonical_channel(n)).alias("family")))
+CHANNEL_FIELDS = {channel: CHANNEL_SHOWN.get(channel, CHANNEL_COLUMNS.get(channel, ())) for channel in CHANNEL_FAMILY}
+ENTRIES = "array<string>"
+ENTRY = "channel string, label string, present boolean, family string, source string, fields array<string>"
 
 
-FIELD_CHANNEL = {f: ch for ch, fields in CHANNEL_COLUMNS.items() for f in fields} | {
-    "collection_ratio": "repayment", "collection_ratio_3m": "repayment", "npa_status": "repayment",
-    "asset_classification": "repayment", "bureau_score": "bureau"}
+def channel_entries(text: Column) -> Column:
+    """A JSON list of channels as an array: names bare, objects as their JSON text; anything else is an empty list."""
+    return F.coalesce(F.from_json(text, ENTRIES), F.array().cast(ENTRIES))
+
+
+def normalise_channels(entries: Column, source: Column | None = None) -> Column:
+    """Names and objects (as JSON text) -> rows (channel, label, present, family, source, fields), aliases resolved.
+
+    An object's own label, family, source and fields stand before the known ones;
+    a channel is present unless an object says it is not.
+    """
+    source = F.lit(None).cast("string") if source is None else source
+    fields = F.create_map(*[x for c, columns in CHANNEL_FIELDS.items() for x in (F.lit(c), F.array(*map(F.lit, columns)).cast("array<string>"))])
+    labels, families = literal_map(CHANNEL_LABEL), literal_map(CHANNEL_FAMILY)
+
+    def row(entry: Column) -> Column:
+        given = F.when(F.startswith(F.ltrim(entry), F.lit("{")), F.from_json(entry, ENTRY))
+        channel = canonical_channel(F.coalesce(given["channel"], F.when(given.isNull(), entry), F.lit("")))
+        stated = lambda name: F.nullif(given[name], F.lit(""))
+        return F.struct(
+            channel.alias("channel"), F.coalesce(stated("label"), F.element_at(labels, channel), channel).alias("label"),
+            F.coalesce(given["present"], F.lit(True)).alias("present"), F.coalesce(stated("family"), F.element_at(families, channel)).alias("family"),
+            F.coalesce(stated("source"), source).alias("source"),
+            F.coalesce(given["fields"], F.element_at(fields, channel), F.array().cast("array<string>")).alias("fields"))
+
+    return F.transform(entries, row)
+
+
+def channel_set(entries: Column) -> Column:
+    """The channels an account has, each once, in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(normalise_channels(entries), lambda c: c["present"]), lambda c: c["channel"])))
+
+
+FIELD_CHANNEL = {field: channel for fields in (CHANNEL_COLUMNS, CHANNEL_SHOWN) for channel, columns in fields.items() for field in columns}
 
 
 def field_state(value: Column, field: str, channels: Column) -> Column:

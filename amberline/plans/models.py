@@ -20,6 +20,9 @@ from amberline.session import materialise, work_dir
 NUMERIC = ["dpd", "utilisation", "txn_count", "inflow", "demanded", "collected", "bureau_score", "sanctioned"]
 CATEGORICAL = ["portfolio", "region"]
 COMPANY_REPLICATES = 500  # fixed value: draws of the company-year interval
+# the nine families of an ablation; what the panel carries of each
+ABLATED = {"repayment": ("dpd",), "utilisation": ("utilisation",), "cash_flow": ("inflow",), "collection": ("demanded", "collected"), "income": ("txn_count",),
+           "leverage": ("sanctioned",), "bureau": ("bureau_score",), "adverse": ("bounce",), "profile": ("portfolio", "region")}
 FAMILIES = {"repayment": ("dpd",), "utilisation": ("utilisation",), "cash_flow": ("txn_count", "inflow"),
             "collection": ("demanded", "collected"), "bureau": ("bureau_score",), "profile": ("sanctioned",)}
 
@@ -28,7 +31,7 @@ def _rows(t: Tables):
     """The modelling table, written once: training and test accounts are disjoint."""
     side = splits.group_split(F.col("account_id"))
     rows = t.eligible().withColumn("side", side).select(
-        "account_id", "period", "to_npa", "went_bad", "side", "decision_score", *NUMERIC, *CATEGORICAL)
+        "account_id", "period", "to_npa", "went_bad", "side", "decision_score", *NUMERIC, "bounce", *CATEGORICAL)
     return t.stored(rows, *rows.columns)
 
 
@@ -138,37 +141,83 @@ def feature_importance(t: Tables):
     return model.feature_importance(model.fit_trees(train, NUMERIC, CATEGORICAL, iterations=5), NUMERIC, CATEGORICAL)
 
 
+GRADED_SQL = f"(SELECT count(*) FROM eligible WHERE {TEST_SQL}) AS n, (SELECT sum(went_bad)::BIGINT FROM eligible WHERE {TEST_SQL}) AS n_bad"
+
+
+def _compared(scored, names):
+    """A row a variant: AUC, its difference from the first on shared draws, and whether the numbers fit together."""
+    base, *others = (f"p_{n}" for n in names)
+    spans = bootstrap.paired_delta_intervals(scored, base, tuple(others), REPLICATES).where(F.col("metric") == "auc").select(
+        F.expr("substr(model, 3)").alias("variant"), "lo", "hi")
+    long = scored.select("went_bad", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"p_{n}").alias("p")) for n in names])).alias("v")).select("went_bad", "v.*")
+    m = histogram.rank_metrics(histogram.score_histogram(long, "p", groups=("variant",)), ("variant",))
+    full = m.where(F.col("variant") == names[0]).select("auc").scalar()
+    rows = m.withColumn("delta", F.col("auc") - full).join(spans, "variant", "left")
+    return materialise(rows.select("variant", "n", "n_bad", "auc", "delta", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi")), "compared")
+
+
+def _figures(rows):
+    return rows.select("variant", "n", "n_bad", *[F.round(c, 6).alias(c) for c in ("auc", "delta", "lo", "hi")])
+
+
+def _ablation(t: Tables):
+    train, test = _sides(t)
+    out, names = test, ["full", *(f"no_{f}" for f in ABLATED)]
+    for name, dropped in zip(names, [(), *ABLATED.values()]):
+        numeric, levels = [c for c in (*NUMERIC, "bounce") if c not in dropped], [c for c in CATEGORICAL if c not in dropped]
+        out = model.score(model.fit_trees(train, numeric, levels, iterations=5), out, numeric, f"p_{name}")
+    return _compared(materialise(out, "ablated"), names)
+
+
 @query("ml09_family_ablation")
 def family_ablation(t: Tables):
-    train, test = _sides(t)
-    variants = {"full": NUMERIC} | {f"no_{f}": [c for c in NUMERIC if c not in cols] for f, cols in FAMILIES.items()}
-    scored = model.compare_fits(train, test, variants)
-    others = tuple(f"p_{v}" for v in variants if v != "full")
-    spans = bootstrap.paired_delta_intervals(scored, "p_full", others, REPLICATES).where(F.col("metric") == "auc").select(
-        F.expr("substr(model, 3)").alias("variant"), F.round("lo", 6).alias("delta_lo"), F.round("hi", 6).alias("delta_hi"))
-    out = model.variant_aucs(scored, list(variants)).join(spans, "variant", "left")
-    return out.select("variant", F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"), "delta_lo", "delta_hi")
+    """The tree model without each of nine families, on shared draws."""
+    return _figures(_ablation(t))
 
 
-@query("ml10_stress_tests")
-def stress_tests(t: Tables):
-    """Labels dealt at random before the split, failing training rows twice, and the bureau score hidden."""
+ABLATION_SQL = ", ".join(f"('{n}')" for n in ("full", *(f"no_{f}" for f in ABLATED)))
+
+
+@query("ml09b_ablation_fits_together", f"SELECT variant, {GRADED_SQL}, true AS inside, true AS ordered FROM (VALUES {ABLATION_SQL}) AS v(variant)")
+def ablation_fits_together(t: Tables):
+    rows = _ablation(t)
+    return rows.select("variant", "n", "n_bad", F.col("auc").between(0, 1).alias("inside"), (F.col("lo") <= F.col("hi")).alias("ordered"))
+
+
+def _stressed(t: Tables):
+    """Labels dealt at random before the split, failing training rows twice, and the bureau score hidden, beside the plain fit."""
     rows = _rows(t)
     train, test = rows.where(F.col("side") == "train"), rows.where(F.col("side") == "test")
     shuffled = materialise(splits.permute_labels(rows, ("account_id", "period")), "permuted")
     noise = model.fit_scorecard(shuffled.where(F.col("side") == "train"), NUMERIC)
     twice = model.fit_scorecard(splits.oversample_positives(train, 2).drop("copy"), NUMERIC, balanced=False)
-    parts = [
-        _metrics(model.score(noise, shuffled.where(F.col("side") == "test"), NUMERIC, "p"), "permuted_labels", "p"),
-        _metrics(model.score(twice, test, NUMERIC, "p"), "twice_base_rate", "p")]
     fit = model.fit_scorecard(train, NUMERIC)
-    masked = test.withColumn("bureau_score", F.lit(None).cast("bigint"))
-    parts.append(_metrics(model.score(fit, masked, NUMERIC, "p"), "bureau_masked", "p"))
-    parts.append(_metrics(model.score(fit, test, NUMERIC, "p"), "plain", "p"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    plain = model.score(twice, model.score(fit, test, NUMERIC, "p_plain"), NUMERIC, "p_twice_base_rate")
+    hidden = plain.withColumns({"_kept": F.col("bureau_score"), "bureau_score": F.lit(None).cast("bigint")})
+    masked = model.score(fit, hidden, NUMERIC, "p_bureau_masked").drop("bureau_score").withColumnRenamed("_kept", "bureau_score")
+    stressed = materialise(masked, "stressed")
+    # dealt labels are another target: their scores are graded against them, the difference is to the plain fit
+    dealt = materialise(model.score(noise, shuffled.where(F.col("side") == "test"), NUMERIC, "p_permuted_labels"), "dealt")
+    main = _compared(stressed, ["plain", "twice_base_rate", "bureau_masked"])
+    own = model.auc_of(dealt, "p_permuted_labels")
+    span = bootstrap.auc_interval(dealt, "p_permuted_labels", REPLICATES)
+    base = main.where(F.col("variant") == "plain").select("auc").scalar()
+    row = own.select(F.lit("permuted_labels").alias("variant"), "n", "n_bad", "auc", (F.col("auc") - base).alias("delta"))
+    row = row.withColumns({"lo": span.agg(F.max("lo")).scalar() - base, "hi": span.agg(F.max("hi")).scalar() - base})
+    return materialise(main.unionByName(row), "stress")
+
+
+@query("ml10_stress_tests")
+def stress_tests(t: Tables):
+    return _figures(_stressed(t))
+
+
+@query("ml10b_stress_bounds", f"SELECT variant, (SELECT count(*) FROM eligible WHERE {TEST_SQL}) AS n, true AS ordered, true AS in_bounds FROM (VALUES ('plain'), ('twice_base_rate'), ('bureau_masked'), ('permuted_labels')) AS v(variant)")
+def stress_bounds(t: Tables):
+    """Every stressed fit stays a ranking of the test rows; dealt labels rank no better than chance."""
+    rows = _stressed(t)
+    chance = F.when(F.col("variant") == "permuted_labels", F.col("auc").between(0.35, 0.65)).otherwise(F.col("auc").between(0, 1))
+    return rows.select("variant", "n", (F.col("lo") <= F.col("hi")).alias("ordered"), chance.alias("in_bounds"))
 
 
 @query("ml11_baseline_ladder")
@@ -214,7 +263,9 @@ def availability_manifest(t: Tables):
 @query("ml15_company_year_model")
 def company_year_model(t: Tables):
     """Fit and grade the company-year default model, with an interval clustered by company."""
-    rows = company.training_rows(company.financial_ratios(_years(t)), company.first_default_year(_events(t)), 2001)
+    years = materialise(_years(t), "company-year-measures")
+    last = years.agg(F.max("year")).first()[0] or 0  # from the data
+    rows = company.training_rows(company.financial_ratios(years), company.first_default_year(_events(t)), last)
     rows = materialise(rows.select("company", "year", F.col("default").alias("went_bad"), *RATIOS).withColumn(
         "side", splits.group_split(F.col("company"))), "company-years")
     columns = [c for c in RATIOS]

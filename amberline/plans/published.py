@@ -86,14 +86,39 @@ def field_state(t: Tables):
     return t.panel().select("account_id", "period", display.field_state(seen, "util_avg_3m", channels).alias("state"))
 
 
+@query("pr29b_partner_and_profile_fields", """
+SELECT account_id, period, CASE WHEN period % 3 = 0 THEN 'observed' WHEN portfolio = 'BUILDING' THEN 'not_applicable' ELSE 'unobserved' END AS partners,
+ CASE WHEN portfolio IN ('BUILDING', 'MACHINERY') THEN 'unobserved' ELSE 'not_applicable' END AS sector FROM panel""")
+def partner_and_profile_fields(t: Tables):
+    channels = F.when(F.col("portfolio") == "BUILDING", F.array(F.lit("profile"))).when(
+        F.col("portfolio") == "MACHINERY", F.array().cast("array<string>")).otherwise(F.array(F.lit("ecosystem")))
+    partners = F.when(F.col("period") % 3 == 0, F.col("txn_count"))
+    return t.panel().select("account_id", "period", display.field_state(partners, "eco_partners", channels).alias("partners"),
+                            display.field_state(F.lit(None).cast("string"), "sector", channels).alias("sector"))
+
+
 @query("pr30_normalise_channels", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'cash_flow:cashflow,gst:filings' WHEN o_orderkey % 3 = 1 THEN 'repayment:repayment,utilisation:exposure' ELSE 'unknown:?' END AS channels FROM orders""")
+WITH c AS (SELECT o_orderkey, unnest(CASE o_orderkey % 4
+ WHEN 0 THEN [{'channel': 'cash_flow', 'label': 'Account inflows', 'present': true, 'family': 'cashflow', 'source': 'FIXTURE', 'n_fields': 3}, {'channel': 'gst', 'label': 'GST filings', 'present': true, 'family': 'filings', 'source': 'FIXTURE', 'n_fields': 2}]
+ WHEN 1 THEN [{'channel': 'repayment', 'label': 'Dues', 'present': true, 'family': 'repayment', 'source': 'BANK_API', 'n_fields': 9}, {'channel': 'utilisation', 'label': 'Limit utilisation', 'present': false, 'family': 'exposure', 'source': 'FIXTURE', 'n_fields': 4}]
+ WHEN 2 THEN [{'channel': 'unknown', 'label': 'unknown', 'present': true, 'family': NULL, 'source': 'FIXTURE', 'n_fields': 0}, {'channel': 'bureau', 'label': 'Bureau', 'present': true, 'family': 'score', 'source': 'FIXTURE', 'n_fields': 2}]
+ ELSE [] END) AS c FROM orders)
+SELECT o_orderkey, c.channel, c.label, c.present, c.family, c.source, c.n_fields::INT AS n_fields FROM c""")
 def normalise_channels(t: Tables):
+    """Bare names and objects in one list; a text that is no list gives no row."""
     key = F.col("o_orderkey")
-    names = F.when(key % 3 == 0, F.array(F.lit(" CashFlow"), F.lit("filings"))).when(
-        key % 3 == 1, F.array(F.lit("DPD"), F.lit("utilisation"))).otherwise(F.array(F.lit("unknown")))
-    text = F.transform(display.normalise_channels(names), lambda c: F.concat_ws(":", c["channel"], F.coalesce(c["family"], F.lit("?"))))
-    return t.read("orders").select("o_orderkey", F.array_join(text, ",").alias("channels"))
+    text = F.when(key % 4 == 0, '[" CashFlow", "filings"]').when(
+        key % 4 == 1, '[{"channel": "DPD", "label": "Dues", "source": "BANK_API"}, {"channel": "utilisation", "present": false}]').when(
+        key % 4 == 2, '["unknown", {"channel": "Bureau", "family": "score", "fields": ["bureau_score", "enquiries"]}]').otherwise("none")
+    rows = t.read("orders").select("o_orderkey", F.explode(display.normalise_channels(display.channel_entries(text), F.lit("FIXTURE"))).alias("c"))
+    return rows.select("o_orderkey", "c.channel", "c.label", "c.present", "c.family", "c.source", F.size("c.fields").alias("n_fields"))
+
+
+@query("pr30b_channel_set", """
+SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'cash_flow,gst' ELSE 'repayment' END AS channels FROM orders""")
+def channel_set(t: Tables):
+    text = F.when(F.col("o_orderkey") % 2 == 0, '["filings", "cashflow", "gst"]').otherwise('["dpd", {"channel": "ltv", "present": false}]')
+    return t.read("orders").select("o_orderkey", F.array_join(display.channel_set(display.channel_entries(text)), ",").alias("channels"))
 
 
 @query("pr31_sync_state", """
