@@ -26,13 +26,14 @@ def _monthly(t: Tables):
     """The panel under its published column names, with some cells unobserved."""
     return t.panel().select(
         F.concat(F.lit("A"), "account_id").alias("account_id"), F.col("period").alias("month_idx"), "portfolio", "region",
-        F.when(F.col("period") % 5 == 0, float("nan")).otherwise(F.col("utilisation")).alias("utilisation"), "dpd", "inflow",
-        F.col("demanded").alias("demanded_amount"), "bureau_score",
+        F.when(F.col("period") % 5 == 0, float("nan")).otherwise(F.col("utilisation")).alias("utilisation"), "dpd",
+        # cents and a bit, so that no sum's last digit decides a tie
+        (F.round("inflow", 2) + 0.003).alias("inflow"), (F.round("demanded", 2) + 0.003).alias("demanded_amount"), "bureau_score",
         F.when(F.col("portfolio") != "HOUSEHOLD", F.col("txn_count")).alias("txn_count"), F.col("labelable"))
 
 
 MONTHLY_SQL = """SELECT 'A' || account_id AS account_id, period AS month_idx, portfolio, CASE WHEN period % 5 <> 0 THEN round_even(utilisation, 4) END AS utilisation, round_even(dpd, 1) AS dpd,
- round_even(inflow, 1) AS inflow, round_even(demanded, 0)::BIGINT AS demanded_amount, bureau_score, CASE WHEN portfolio <> 'HOUSEHOLD' THEN txn_count END AS txn_count FROM panel"""
+ round_even(round(inflow, 2) + 0.003::DOUBLE, 1) AS inflow, round_even(round(demanded, 2) + 0.003::DOUBLE, 0)::BIGINT AS demanded_amount, bureau_score, CASE WHEN portfolio <> 'HOUSEHOLD' THEN txn_count END AS txn_count FROM panel"""
 MONTHLY = ("account_id", "month_idx", "portfolio", "utilisation", "dpd", "inflow", "demanded_amount", "bureau_score", "txn_count")
 
 
