@@ -1,14 +1,15 @@
-"""Hierarchical multi-length packing of tokenised documents.
+"""Packing of tokenised documents into windows of one size, best fit decreasing.
 
 Every task packs the documents of its own input split, so nothing is shuffled and a
 lost task is simply run again. Within a task documents come in blocks of a bounded
-number of tokens. A block's documents are cut into whole windows of the longest tier
-plus a remainder; each remainder goes to the smallest tier that holds it. Windows are
-opened from the longest remainder down, and their gaps are filled from the shorter
-tiers: the longest piece that fits, again and again, and when none fits the head of
-the shortest piece, so only a task's last windows can have padding. Those are closed
-at the smallest tier, a power of two, that holds what is left. Windows are then dealt
-to step groups, each to the group with the fewest attention cells so far.
+number of tokens. A block's documents are cut into whole windows plus a remainder, and
+the remainders lie in one sorted list. Windows are opened from the longest remainder
+down and filled with the longest one that fits, again and again; when none fits, with
+the head of the shortest, so only a task's last windows can have padding. Those are
+closed at the smallest power of two that holds what is left. Windows are then dealt to
+step groups of the task, each to the group with the fewest attention cells so far.
+
+There are no tiers of several context sizes: powers of two serve as paddings only.
 """
 
 from __future__ import annotations
