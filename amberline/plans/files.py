@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from amberline.functions import reasons
 from amberline.operators import company
+from amberline.operators.company_model import RATIOS
 from amberline.operators.splits import group_split
 from amberline.plans.registry import Tables, query
 from amberline.plans.summaries import _rounded
@@ -200,8 +201,6 @@ rt AS (SELECT c.company, c.year, CASE WHEN c.has_cover THEN c.cover ELSE c.pbit
  c.borrowings / nullif(c.income, 0) AS borrow_to_income, CASE WHEN c.networth < 0 THEN 1.0 ELSE 0.0 END AS neg_networth, CASE WHEN c.pat < 0 THEN 1.0 ELSE 0.0 END AS loss_flag, CASE WHEN c.income > 0 THEN ln(c.income) END AS log_income,
  (nullif(c.networth, 0) - p.networth) / nullif(abs(p.networth), 0) AS d_networth, (nullif(c.income, 0) - p.income) / nullif(abs(p.income), 0) AS d_income, (nullif(c.borrowings, 0) - p.borrowings) / nullif(abs(p.borrowings), 0) AS d_borrow
  FROM cy c LEFT JOIN cy p ON p.company = c.company AND p.year = c.year - 1)"""
-RATIOS = ("interest_cover", "debt_to_equity", "pat_margin", "pbdita_margin", "pbt_margin", "borrow_to_income", "borrow_to_networth", "neg_networth", "loss_flag", "log_income",
-          "d_networth", "d_income", "d_pat", "d_borrow")
 
 
 def _years(t: Tables):

@@ -10,16 +10,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from amberline.functions import reasons
-from amberline.operators import bootstrap, calibration, company, drift, histogram, model, splits
+from amberline.operators import bootstrap, calibration, drift, histogram, model, splits
 from amberline.operators.quality import null_share
 from amberline.plans.evaluation import REPLICATES
-from amberline.plans.files import RATIOS, _events, _years
 from amberline.plans.registry import Tables, query
 from amberline.session import materialise, work_dir
 
 NUMERIC = ["dpd", "utilisation", "txn_count", "inflow", "demanded", "collected", "bureau_score", "sanctioned"]
 CATEGORICAL = ["portfolio", "region"]
-COMPANY_REPLICATES = 500  # fixed value: draws of the company-year interval
 # the nine families of an ablation; what the panel carries of each
 ABLATED = {"repayment": ("dpd",), "utilisation": ("utilisation",), "cash_flow": ("inflow",), "collection": ("demanded", "collected"), "income": ("txn_count",),
            "leverage": ("sanctioned",), "bureau": ("bureau_score",), "adverse": ("bounce",), "profile": ("portfolio", "region")}
@@ -260,24 +258,6 @@ def availability_manifest(t: Tables):
     return model.availability(shares).select("column", F.round("share", 6).alias("null_share"), "family", "orphan")
 
 
-@query("ml15_company_year_model")
-def company_year_model(t: Tables):
-    """Fit and grade the company-year default model, with an interval clustered by company."""
-    years = materialise(_years(t), "company-year-measures")
-    last = years.agg(F.max("year")).first()[0] or 0  # from the data
-    rows = company.training_rows(company.financial_ratios(years), company.first_default_year(_events(t)), last)
-    rows = materialise(rows.select("company", "year", F.col("default").alias("went_bad"), *RATIOS).withColumn(
-        "side", splits.group_split(F.col("company"))), "company-years")
-    columns = [c for c in RATIOS]
-    train, test = rows.where(F.col("side") == "train"), rows.where(F.col("side") == "test")
-    scored = materialise(model.score(model.fit_scorecard(train, columns), test, columns, "p"), "company-scores")
-    hist = histogram.score_histogram(scored, "p")
-    m = histogram.rank_metrics(hist).withColumn("brier", calibration.brier(hist).select("brier").scalar())
-    span = bootstrap.auc_interval(scored, "p", COMPANY_REPLICATES, account="company").agg(F.struct(F.max("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
-    return m.withColumn("_s", span).select("n", "n_bad", *[F.round(c, 6).alias(c) for c in ("auc", "ks", "average_precision", "brier")],
-                                           F.round("_s.lo", 6).alias("auc_lo"), F.round("_s.hi", 6).alias("auc_hi"))
-
-
 @query("ml16_attribution_coverage")
 def attribution_coverage(t: Tables):
     return model.attribution_coverage(_shares(_contributions(t))).withColumn("worst_gap", F.round("worst_gap", 6))
