@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from amberline.functions import reasons
-from amberline.operators import bootstrap, calibration, drift, histogram, model, splits
+from amberline.operators import attribution, bootstrap, calibration, drift, histogram, model, splits
 from amberline.operators.quality import null_share
 from amberline.plans.evaluation import REPLICATES
 from amberline.plans.registry import Tables, query
@@ -133,6 +133,37 @@ def attribution_share(t: Tables):
     return primary.unionByName(other).withColumn("share", F.round("share", 6))
 
 
+BY_FEATURE = {"repayment": ("c_dpd",), "utilisation": ("c_utilisation",), "cash_flow": ("c_txn_count", "c_inflow"), "collection": ("c_demanded", "c_collected"),
+              "bureau": ("c_bureau_score",), "profile": ("c_sanctioned", "c_portfolio", "c_region")}
+
+
+def _attributed(t: Tables):
+    """Exact contributions of the tree model's single features, read both ways, with intervals by account."""
+    train, test = _sides(t)
+    out = model.tree_contributions(model.fit_trees(train, NUMERIC, CATEGORICAL), test, NUMERIC, CATEGORICAL)
+    rows = materialise(out.select("account_id", "to_npa", "went_bad", *[f"c_{c}" for c in (*NUMERIC, *CATEGORICAL)]), "tree-contributions")
+    merged = {f: c for f, c in BY_FEATURE.items() if f != "collection"} | {"repayment": BY_FEATURE["repayment"] + BY_FEATURE["collection"]}
+    parts = [attribution.attribution_intervals(rows, families, [(1, 2), (3, 4)], REPLICATES).withColumn("reading", F.lit(reading))
+             for reading, families in (("primary", BY_FEATURE), ("alternative", merged))]
+    return materialise(parts[0].unionByName(parts[1]), "attribution")
+
+
+@query("ml07b_tree_attribution_intervals")
+def tree_attribution_intervals(t: Tables):
+    return _attributed(t).select("reading", "bucket", "family", "n", *[F.round(c, 6).alias(c) for c in ("share", "lo", "hi", "signed_share", "signed_lo", "signed_hi")])
+
+
+@query("ml07c_attribution_adds_up", f"""
+WITH b AS (SELECT CASE WHEN to_npa BETWEEN 1 AND 2 THEN '1-2' WHEN to_npa BETWEEN 3 AND 4 THEN '3-4' END AS bucket FROM eligible WHERE went_bad = 1 AND {TEST_SQL})
+SELECT reading, bucket, count(*) AS n, families, true AS whole, true AS whole_net, true AS ordered
+FROM b, (VALUES ('primary', 6::BIGINT), ('alternative', 5::BIGINT)) AS r(reading, families) WHERE bucket IS NOT NULL GROUP BY reading, bucket, families""")
+def attribution_adds_up(t: Tables):
+    """Shares of a bucket sum to one, net shares in absolute value too, and every interval is in order."""
+    return _attributed(t).groupBy("reading", "bucket").agg(
+        F.max("n").alias("n"), F.count("*").alias("families"), (F.abs(F.sum("share") - 1) < 1e-9).alias("whole"), (F.abs(F.sum(F.abs("signed_share")) - 1) < 1e-9).alias("whole_net"),
+        F.every((F.col("lo") <= F.col("hi")) & (F.col("signed_lo") <= F.col("signed_hi"))).alias("ordered"))
+
+
 @query("ml08_feature_importance")
 def feature_importance(t: Tables):
     train, _ = _sides(t)
