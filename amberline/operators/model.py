@@ -48,10 +48,11 @@ def assembler(numeric: list[str], categorical: list[str]) -> list:
 
 
 def fit_trees(df: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "went_bad", iterations: int = 10,
-              depth: int = 4, seed: int = 7) -> PipelineModel:
+              depth: int = 4, seed: int = 7, least_rows: int = 1) -> PipelineModel:
     # a tree needs a bin for every level of a column, and one for levels it has not seen
     levels = max(df.agg(*[F.count_distinct(c) for c in categorical]).first()) if categorical else 0
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, levels + 2))
+    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, levels + 2),
+                          minInstancesPerNode=least_rows)
     return Pipeline(stages=[*assembler(list(numeric), list(categorical)), trees]).fit(with_missing_flags(df, list(numeric)))
 
 
@@ -197,9 +198,10 @@ def attribution_coverage(shares: DataFrame) -> DataFrame:
     return per.agg(F.max("families").alias("families"), F.max(F.abs(100 - F.col("total"))).alias("worst_gap"))
 
 
-def feature_importance(model: PipelineModel, numeric: list[str], categorical: list[str], k: int = 9) -> DataFrame:
-    """The ``k`` most used inputs of a tree model (one number per input column)."""
-    names = [*numeric, *[f"{c} (missing)" for c in numeric], *categorical]
+def feature_importance(model: PipelineModel, numeric: list[str], categorical: list[str], k: int = 9, labels: dict[str, str] | None = None) -> DataFrame:
+    """The ``k`` most used inputs of a tree model (one number per input column), by their readable names where given."""
+    shown = labels or {}
+    names = [*(shown.get(c, c) for c in numeric), *[f"{shown.get(c, c)} (missing)" for c in numeric], *(shown.get(c, c) for c in categorical)]
     values = model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(names, (float(v) for v in values)), key=lambda r: (-r[1], r[0]))[:k]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
@@ -209,27 +211,6 @@ def auc_of(df: DataFrame, score_column: str, label: str = "went_bad") -> DataFra
     return rank_metrics(score_histogram(df, score_column, label))
 
 
-def compare_fits(train: DataFrame, test: DataFrame, variants: dict[str, list[str]], label: str = "went_bad", fit=fit_scorecard) -> DataFrame:
-    """Fit one model per named feature list and return the test rows with one score column each.
-
-    The number of fits is the number of variants (families, rungs of a ladder).
-    """
-    out = test
-    for name, columns in variants.items():
-        model = fit(train, columns, label=label)
-        out = score(model, out, columns, f"p_{name}")
-    return materialise(out, "variants")
-
-
-def variant_aucs(scored: DataFrame, names: list[str], label: str = "went_bad") -> DataFrame:
-    """AUC of every variant, from one histogram pass, with the gap to the first one."""
-    long = scored.select(F.col(label).alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("variant"), F.col(f"p_{n}").alias("p")) for n in names])).alias("v")).select("y", "v.variant", "v.p")
-    m = rank_metrics(score_histogram(long, "p", "y", ("variant",)), ("variant",))
-    base = m.where(F.col("variant") == names[0]).select("auc").scalar()
-    return m.select("variant", "n", "auc", (F.col("auc") - base).alias("delta"))
-
-
 def missing_odds(df: DataFrame, columns: list[str], portfolio: str = "portfolio", label: str = "went_bad") -> DataFrame:
     """Odds ratio of the label for each missing flag, given portfolio (unpenalised logistic regression)."""
     rows = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in columns})

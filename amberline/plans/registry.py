@@ -28,6 +28,10 @@ class Tables:
     def panel(self) -> DataFrame:
         return star_panel.scored_panel(self.spark, self.sf_dir)
 
+    def with_stored_panel(self) -> Tables:
+        """The same tables with the derived panel written once, for queries that read it many times."""
+        return _StoredTables(self.spark, self.sf_dir, materialise(star_panel.scored_panel(self.spark, self.sf_dir), "panel"))
+
     def quarters(self) -> star_panel.Calendar:
         return star_panel.calendar(self.spark, self.sf_dir)
 
@@ -48,6 +52,14 @@ class Tables:
             .when(F.col("decision_score") >= star_panel.AMBER, "amber").otherwise("green"))
 
 
+@dataclass(frozen=True)
+class _StoredTables(Tables):
+    stored_panel: DataFrame
+
+    def panel(self) -> DataFrame:
+        return self.stored_panel
+
+
 # Views a check query may name; each is added only when it is mentioned.
 VIEWS_SQL = {
     "book": """book AS (SELECT *, CASE WHEN decision_score >= 0.40 THEN 'red'
@@ -73,6 +85,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def check_sql(name: str) -> str:
+    """The SQL check of a registered query, for a check that is made of others."""
+    return _CHECKS[name]
+
+
 def _mentions(sql: str, word: str) -> bool:
     return re.search(rf"\b{word}\b", sql) is not None
 
