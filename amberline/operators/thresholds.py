@@ -218,8 +218,12 @@ def scenario_params(p: CostParams | None = None) -> list[dict]:
     return out
 
 
-def sensitivity(hist: DataFrame, rung: Column) -> DataFrame:
-    """The chosen pair under each scenario at the given rung; the histogram is priced ten times, the book never."""
+def sensitivity(hist: DataFrame, rung: Column | None = None) -> DataFrame:
+    """The chosen pair under each scenario at the given rung; the histogram is priced ten times, the book never.
+
+    Without a rung it is the strictest that has a pair. Rungs count accounts and never
+    cost, so that is the same one in every scenario and in the unmoved case.
+    """
     scenarios = scenario_params()
     fields = list(scenarios[0])
     rows = F.explode(F.array(*[F.struct(*[F.lit(s[f]).alias(f) for f in fields]) for s in scenarios]))

@@ -138,9 +138,7 @@ SENSITIVITY_PICKS = " UNION ALL ".join(
 
 @query("th07_sensitivity", f"WITH {PICK_SQL}, {SENSITIVITY_SQL} {SENSITIVITY_PICKS}")
 def sensitivity(t: Tables):
-    hist = _hist(t)
-    rung = thresholds.pick(thresholds.cost_grid(thresholds.cut_table(hist))).select("rung").scalar()
-    return _rounded(thresholds.sensitivity(hist, rung), 4, "value")
+    return _rounded(thresholds.sensitivity(_hist(t)), 4, "value")
 
 
 ROLES_SQL = f"""{PICK_SQL}, {_evaluate_sql("SELECT 'chosen' AS role, amber, red FROM best UNION ALL SELECT 'unconstrained', amber, red FROM free UNION ALL SELECT 'current', 0.04, 0.40")},
