@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:
-    """Undirected links: both directions, no duplicates, no self-loops."""
+    """Undirected links: both directions, no duplicates, no self-loops.
+
+    Duplicates go while a link is one row, before it is turned round.
+    """
+    links = edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     cells = F.array(F.struct(F.col("src").alias("account_id"), F.col("dst").alias("partner")),
                     F.struct(F.col("dst").alias("account_id"), F.col("src").alias("partner")))
-    return edges.where(F.col("src") != F.col("dst")).select(F.explode(cells).alias("e")).select("e.*").distinct()
+    return links.select(F.explode(cells).alias("e")).select("e.*")
 
 
 def with_partner_band(book: DataFrame, edges: DataFrame, salts: int = 16) -> DataFrame:

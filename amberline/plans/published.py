@@ -301,10 +301,10 @@ def parameter_table(t: Tables):
 # ---- partner links -----------------------------------------------------------
 
 def _edges(t: Tables):
-    """Buyer-supplier links: lines are reduced to (order, supplier) before the join."""
+    """Buyer-supplier links: lines are reduced to (order, supplier) before the join; a link may come again for every order."""
     lines = t.read("lineitem").select("l_orderkey", "l_suppkey").distinct()
     pairs = lines.join(t.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return pairs.select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")).distinct()
+    return pairs.select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"))
 
 
 def _partners(t: Tables):
