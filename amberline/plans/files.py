@@ -13,7 +13,7 @@ from amberline.operators.company_model import RATIOS
 from amberline.operators.splits import group_split
 from amberline.plans.registry import Tables, query
 from amberline.plans.summaries import _rounded
-from amberline.session import work_dir
+from amberline.session import spread, work_dir
 from amberline.sources import company as company_files
 from amberline.sources import panel as panel_files
 from amberline.sources import pulls
@@ -151,7 +151,8 @@ long AS (SELECT company, year, measure, value FROM lg WHERE given)"""
 
 def _base(t: Tables):
     """Invented financials of a customer-year, all whole numbers so a text file keeps them exactly."""
-    base = t.read("orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("inc"))
+    orders = t.read("orders")
+    base = spread(orders, orders.count(), "o_custkey").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("inc"))
     k, y, inc = F.col("k"), F.col("year"), F.col("inc")
     return base.select("k", "year", *[c.alias(n) for n, c in {
         "Total Income": F.round(inc, 0), "Net worth": F.when((k + y) % 13 != 0, F.round(inc * ((k + y) % 5 - 1) / 4, 0)),

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from amberline.functions.numeric import num_of, year_of
+from amberline.session import spread
+
+
+CELLS = 500_000  # cells of wide files that one task brings together
 
 
 def _text_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -59,18 +63,20 @@ def read_wide_financials(spark: SparkSession, paths: list[str], year_row: int =
 
     Every path is a folder with ``head`` (the lines down to the measure names) and
     ``body``; files may differ in years, measures and their order. Only the heads come to
-    the driver. Where files give the same cell the last path's stands.
+    the driver. Where files give the same cell the last path's stands. Cells are dealt by
+    company and year, in tasks that go by their number.
     """
-    long = None
+    long, cells = None, 0
     for at, path in enumerate(paths):
         head = [r.value for r in spark.read.text(f"{path}/head").take(name_row + 1)]
         year_cells, names = head[year_row].split(","), head[name_row].split(",")
         years = [int(c.strip()[-4:]) if c.strip()[-4:].isdigit() else None for c in year_cells]
         columns = ["company"] + [f"c{i}" for i in range(1, len(names))]
         body = _text_rows(spark, f"{path}/body", columns).where(F.col("company").isNotNull() & (F.col("company") != names[0]))
+        cells += body.count() * len(names)
         part = financials_to_long(body, years, names).withColumn("_file", F.lit(at))
         long = part if long is None else long.unionByName(part)
     if long is None:
         return spark.createDataFrame([], "company string, year int, measure string, value double")
     last = F.max_by("value", "_file") if len(paths) > 1 else F.max("value")
-    return long.groupBy("company", "year", "measure").agg(last.alias("value"))
+    return spread(long, cells, "company", "year", most=CELLS).groupBy("company", "year", "measure").agg(last.alias("value"))
