@@ -37,15 +37,13 @@ from amberline.llm.common import map_rows, texts
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, padded_length long, step_group long")
 SEPARATOR = b"\0\0\0\0"  # id 0 ends every document
-CACHED_CHUNKS = 300_000
 
 
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
-    A single space between two non-blank characters always starts a new pre-token, so
-    texts are split there and each chunk's ids are remembered. Chunks that begin or end
-    in white space depend on their neighbours: such texts are encoded whole.
+    A text is encoded by one call. Where words have a long tail, most of the time would
+    go into filling a memory of words that are not seen again.
     """
 
     def __init__(self, path: str):
@@ -56,36 +54,11 @@ class ByteBpe:
         to_byte = _byte_letters()
         ranks = {bytes(to_byte[c] for c in token): rank for token, rank in content["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks: dict[str, bytes | None] = {}
 
     def ids(self, text: str) -> bytes:
         if any(token in text for token in self.special):
             return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        if not rest:
-            return self._whole(text)
-        try:
-            return (self._first(first) or b"") + b"".join(map(self.chunks.__getitem__, rest))
-        except (KeyError, TypeError):
-            pass
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
-        for chunk in rest:
-            if chunk not in self.chunks:
-                own = bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
-                self.chunks[chunk] = self._whole(" " + chunk) if own else None
-        found = [self.chunks[chunk] for chunk in rest]
-        if None in found or (first and first[-1].isspace()):
-            return self._whole(text)
-        return self._whole(first) + b"".join(found)
-
-    def _first(self, chunk: str) -> bytes:
-        if chunk and chunk[-1].isspace():
-            raise KeyError(chunk)
-        return self._whole(chunk)
-
-    def _whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _byte_letters() -> dict[str, int]:

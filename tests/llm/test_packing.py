@@ -34,6 +34,23 @@ def test_each_id_lies_in_one_piece(rows):
     assert sum(r["doc_id"] is None for r in rows[1]) == 1
 
 
+def test_a_text_of_rare_words_is_encoded_by_one_call(monkeypatch):
+    """op6: no call a word, however many words were never seen."""
+    encoder, calls = packing.ByteBpe(VOCABULARY), []
+
+    class Spy:
+        def encode_to_numpy(self, text, **options):
+            calls.append(text)
+            return own.encode_to_numpy(text, **options)
+
+    own = encoder.encoding
+    monkeypatch.setattr(encoder, "encoding", Spy())
+    text = " ".join(f"w{i}x{i * 7}" for i in range(2000))
+    found = np.frombuffer(encoder.ids(text), "<u4").tolist()
+    assert found == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert calls == [text]
+
+
 def test_sequences_are_gapless_and_nearly_full(rows):
     sequences = {}
     for r in rows[1]:
