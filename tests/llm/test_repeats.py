@@ -83,6 +83,31 @@ def test_long_texts_go_in_steps(monkeypatch):
     assert sorted(s for _, _, s in whole) == list(range(5000 - 49))
 
 
+def test_short_texts_are_looked_at_together():
+    """op4: one pass over arrays for many texts gives each text's own anchors; no string crosses a text's end."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (300, 0, 49, 50, 51, 200, 10, 400)]
+    ends = np.cumsum([len(t) for t in texts])
+    joined = [c for found in r.anchor_runs(np.frombuffer(b"".join(texts), np.uint8), 50, r.Hasher(12), ends.tolist()) for c in zip(*found)]
+    plain = [(k, e - len(t) + p, e - len(t) + a, e - len(t) + b) for t, e in zip(texts, ends) for k, p, a, b in r.anchors(np.frombuffer(t, np.uint8), 50, r.Hasher(12))]
+    assert joined == plain and len({p for _, p, _, _ in plain}) > 20
+    assert [g for _, g in r.grouped(texts)] == [texts] and [at for at, _ in r.grouped([b"x" * r.GROUP] * 2 + texts)] == [0, 1, 2]
+
+
+def test_codes_of_words(monkeypatch):
+    """op4: one number a word; a text's codes are the same whatever texts lie beside it."""
+    texts = [b"", b" the  cat\tsat\n", "né e\x85f né".encode(), b"\x0b\x0c", b"cat", b"x" * 700 + b" the", b""]
+    whole = r.word_codes(texts)
+    assert [len(c) // r.WORD for c in whole] == [len(t.split()) for t in texts]
+    names = {}
+    for text, codes in zip(texts, whole):
+        for word, code in zip(text.split(), np.frombuffer(codes, "<u4")):
+            assert names.setdefault(word, code) == code
+    assert len(set(names.values())) == len(names)
+    monkeypatch.setattr(r, "STEP", 5)
+    assert r.word_codes(texts) == whole == [r.word_codes([t])[0] for t in texts] and r.word_codes([]) == []
+
+
 def passages(rows, size):
     """Words covered by a passage of ``size`` words that also starts elsewhere."""
     seen = Counter()
